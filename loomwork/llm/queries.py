@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("jaccard", "substring", "packing", "mixing")
+_MODULES = ("sharding", "jaccard", "substring", "packing", "mixing")
 
 
 def _modules():
