@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("sharding", "jaccard", "substring", "packing", "mixing")
+_MODULES = ("sharding", "topk", "jaccard", "substring", "packing", "mixing", "ann")
 
 
 def _modules():
