@@ -41,7 +41,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     spent = F.coalesce(F.sum("stop").over(before), F.lit(0.0))
     weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     by = by.withColumn("level", (F.lit(budget) * F.sum("source_size").over(everything) - spent) / weight)
-    by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("stop") / F.col("w"), F.col("level"))).over(everything))
+    by = by.withColumn("level", F.max(F.when(F.col("level") <= F.col("stop") / F.col("w"), F.col("level"))).over(everything))
     return by.select("source", "source_size", F.least("stop", F.coalesce(F.col("level") * F.col("w"), F.col("stop"))).alias("target"))
 
 
@@ -114,7 +114,7 @@ WITH d AS (
     / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM o WINDOW b AS (ORDER BY stop / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(stop, w * (SELECT min(level) FROM l WHERE level <= stop / w)) AS target,
+  SELECT source, source_size, least(stop, w * (SELECT max(level) FROM l WHERE level <= stop / w)) AS target,
     CAST(('0x' || left(md5('7:' || CASE WHEN source IS NULL THEN '-' ELSE '+' || source END), 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u
   FROM l
 ), r AS (
