@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = ("relational",)
+
+
+def _modules():
+    return [import_module(f"loomwork.plans.{m}") for m in _MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _modules() for k, s in m.ORACLE.items()}
