@@ -170,7 +170,7 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     safe = np.maximum(count, 1)
     for i, (path, _, _) in enumerate(flat):
         out[i, :PATH_SIZE] = path_vector(path)
-    out[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = words / np.sqrt(safe)[:, None]
+    out[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.tanh(words / np.sqrt(safe)[:, None] / 2)  # a word repeated throughout must not drown the rest
     size = np.array([len(t) for _, t, _ in flat])
     link = np.array([k for _, _, k in flat])
     shape = [

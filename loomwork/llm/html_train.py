@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 
-from loomwork.llm.html import HIDDEN, INPUT, blocks, forward, lstm, reversed_pages, vectors
+from loomwork.llm.html import HIDDEN, INPUT, PATH_SIZE, WORD_SIZE, blocks, forward, lstm, reversed_pages, vectors
 
 MARK = "⁠"  # stands before each piece of main text in a generated page, and is taken out again
 
@@ -220,6 +220,9 @@ def train(n: int = 6000, epochs: int = 6, seed: int = 1) -> dict[str, np.ndarray
             mask = np.arange(len(x))[:, None] < sizes
             # names of classes are dropped at times, so layout has to do
             x = x * (rng.random((1, len(sizes), INPUT)) > 0.05)
+            # nor may the words of these pages count for much: other pages have others
+            w = slice(PATH_SIZE, PATH_SIZE + WORD_SIZE)
+            x[:, :, w] = np.clip(x[:, :, w] + rng.normal(size=(1, len(sizes), WORD_SIZE)) * 0.5 + rng.normal(size=x[:, :, w].shape) * 0.5, -1, 1)
             kf, kb = [], []
             xb = reversed_pages(x, sizes)
             hf, hb = lstm(x, m["wf"], m["uf"], m["bf"], kf), lstm(xb, m["wb"], m["ub"], m["bb"], kb)
