@@ -22,6 +22,7 @@ output one is replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,7 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], respace: bool = True) -> Iterator[pa.RecordBatch]:
     """Adds kept_text, n_words and n_removed; the last column holds the repeated (s, m) of the text."""
     for batch in batches:
         texts, spans = batch.column(batch.schema.get_field_index("_text")), batch.column(batch.num_columns - 1)
@@ -141,7 +142,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(edge, s[at] + m[at] - 1 + WINDOW, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 w = [w[j] for j in np.flatnonzero(keep)]
-            kept.append(b" ".join(w).decode())
+            kept.append(b" ".join(w).decode() if respace or len(w) < n else t.as_py())
             words.append(n)
             removed.append(n - len(w))
         cols = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] not in ("_text", "_spans")]
@@ -203,9 +204,10 @@ class FingerprintIndex:
         return whole.union(ends).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "m")).alias("_spans"))
 
 
-def dedup(docs: DataFrame, batches: int = 2, fanout: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 2, fanout: int = 2, respace: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) with kept_text, n_words and n_removed added; every row stays.
 
+    kept_text is the words that stay, joined by one space; unless respace, texts that lose none stay as they are.
     The rows go through the index in `batches` ranges of doc_id, as they would arrive day by day.
     """
     spark = docs.sparkSession
@@ -228,7 +230,7 @@ def dedup(docs: DataFrame, batches: int = 2, fanout: int = 2) -> DataFrame:
         joined = left.join(spans, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("_text") == F.col("_t")), "left").select(*extra, "_text", "_spans")
         fields = [f for f in joined.schema.fields if f.name not in ("_text", "_spans")]
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["kept_text string", "n_words long", "n_removed long"])
-        part = joined.mapInArrow(_cut, schema)
+        part = joined.mapInArrow(partial(_cut, respace=respace), schema)
         out = part if out is None else out.union(part)
     return out
 

@@ -259,11 +259,11 @@ def sample_of(labels: DataFrame, label: str, held_out, limit: int = SAMPLE) -> D
     return one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_part: int = 2, limit: int = SAMPLE) -> DataFrame:
-    """docs (doc_id, text, ...) without text, with held_out, score, predicted, strongest, total and signs."""
+def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_part: int = 2, limit: int = SAMPLE, keep_text: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...), without text unless asked, with held_out, score, predicted, strongest, total and signs."""
     spark = docs.sparkSession
     results = ["held_out", "score", "predicted", "strongest", "total", "signs"]
-    own = [c for c in docs.columns if c not in ("text", *results)]
+    own = [c for c in docs.columns if (keep_text or c != "text") and c not in results]
     model = char_model(docs)
     held = F.coalesce(fold(F.col("doc_id"), held_out_parts) == held_out_part, F.lit(False))
     rows = sample_of(labels, "toxic", held, limit).collect()
