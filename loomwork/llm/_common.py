@@ -82,20 +82,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     cur = materialize(
         edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), label
     )
-    state = None
     while True:
+        # done when every node hangs on one root and no root hangs on another
+        below = cur.select(F.col("hi").alias("lo"))
+        if cur.groupBy("hi").count().where("count > 1").isEmpty() and cur.join(below, "lo", "left_semi").isEmpty():
+            break
         sym = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        large = sym.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi")
         large = materialize(large, label)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("a"), F.col("lo").alias("b")).union(least.select(F.col("m").alias("a"), F.col("hi").alias("b")))
         small = materialize(small.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), label)
         discard(cur, large)
         cur = small
-        now = cur.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi") % 1000003), F.lit(0))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     roots = cur.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(cur.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

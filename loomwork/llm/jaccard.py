@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm._common import components, discard, materialize, table
@@ -103,10 +103,10 @@ def _sketch(runs: int):
                         tokens[i], paths[i] = sig[k].tobytes(), signed(path[k])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(signed(fingerprints(sets))),
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(signed(fingerprints(sets))),
                         pa.array([len(s) for s in sets], pa.int32()), pa.array(tokens, pa.binary()), pa.array(paths, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "node", "n", "sig", "paths"],
+                    names=["doc_id", "tk", "node", "n", "sig", "paths"],
                 )
 
     return kernel
@@ -148,9 +148,25 @@ def _alike(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
 _EDGES = "a long, b long"
 
 
-def _edges(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    e = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+def _forest(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """The same connections in fewer rows: each node with the smallest node that the pairs connect it to."""
+    e = np.concatenate(pairs) if pairs else np.empty((0, 2), dtype=np.int64)
+    nodes, at = np.unique(e, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[at[:, 0]], root[at[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, at[:, 0], least)
+        np.minimum.at(new, at[:, 1], least)
+        np.minimum.at(new, root[at[:, 0]], least)
+        np.minimum.at(new, root[at[:, 1]], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[root[own]]), pa.array(nodes[own])], names=["a", "b"])
 
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +184,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = k[(sig[k] == sig[k + lag]).sum(axis=1) >= REACH]
                 pairs.append(np.stack([np.minimum(node[k], node[k + lag]), np.maximum(node[k], node[k + lag])], axis=1))
         if pairs:
-            yield _edges(pairs)
+            yield _forest(pairs)
 
 
 _LEADERS = "bucket long, a long, b long, n int, sig binary"
@@ -192,12 +208,13 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(reach) or near.max() < LEADER:
                     tokens[len(lead)] = sig[k]
                     lead.append(k)
-            a = [x for x, _ in rows] + [int(node[k]) for k in lead]
-            b = [y for _, y in rows] + [int(node[k]) for k in lead]
+            tree = _forest([np.array(rows, dtype=np.int64).reshape(-1, 2)])
+            a = tree.column(0).to_pylist() + [int(node[k]) for k in lead]
+            b = tree.column(1).to_pylist() + [int(node[k]) for k in lead]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(a), bucket[lo])), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                    pa.array([0] * len(rows) + [int(n[k]) for k in lead], pa.int32()), pa.array([None] * len(rows) + [sig[k].tobytes() for k in lead], pa.binary()),
+                    pa.array([0] * tree.num_rows + [int(n[k]) for k in lead], pa.int32()), pa.array([None] * tree.num_rows + [sig[k].tobytes() for k in lead], pa.binary()),
                 ],
                 names=["bucket", "a", "b", "n", "sig"],
             )
@@ -329,16 +346,19 @@ def _verify(minimum: tuple[int, int]):
 
 
 def jaccard_join(docs: DataFrame, recall: float = 0.9995, minimum: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, class_id, rep_id, n_links.
+    """One row per row of docs (doc_id, text): doc_id, class_id, rep_id, n_links, tk (hash of the text), stays, shared.
 
     Links hold between documents whose shingle sets have Jaccard similarity of at least minimum (a fraction).
     class_id: smallest doc_id of the linked group; rep_id: smallest doc_id with an equal set; n_links: other
-    documents linked to this one, copies included.
+    documents linked to this one, copies included. stays: whether the row is, or equals, the one that stands for its group;
+    shared: whether it has words, so that equal rows are one group.
     """
     runs = runs_for(recall, minimum[0] / minimum[1])
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(runs), "doc_id long, node long, n int, sig binary, paths array<long>"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+    rows = materialize(texts.mapInArrow(_sketch(runs), "doc_id long, tk long, node long, n int, sig binary, paths array<long>"), "sketches")
     some = rows.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
     nodes = materialize(nodes, "nodes")
     slim = nodes.select("node", F.explode("paths").alias("bucket"))
     sizes = materialize(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "met")
@@ -361,16 +381,30 @@ def jaccard_join(docs: DataFrame, recall: float = 0.9995, minimum: tuple[int, in
     classes = materialize(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "classes"), "classes")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    info = nodes.select("node", "rep_id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    info = nodes.select("node", "rep_id", "head", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     info = materialize(info, "info")
-    heads = info.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    info = materialize(info.join(heads, "root").select("node", "rep_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "info")
-    bare = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "rep_id", "n_links").union(bare)
+    heads = info.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.min("head").alias("first"))
+    info = materialize(info.join(heads, "root").select("node", "rep_id", "class_id", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "info")
+    bare = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), "tk", F.lit(True).alias("stays"), F.lit(False).alias("shared"))
+    linked = some.select("doc_id", "tk", "node").join(info, "node")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
+    return linked.select("doc_id", "class_id", "rep_id", "n_links", "tk", stays.alias("stays"), F.lit(True).alias("shared")).union(bare)
+
+
+def one_of_each(docs: DataFrame, recall: float = 0.9995, minimum: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that stay when one document of each linked group does: the smallest doc_id.
+
+    Texts without words are groups of their own. All columns are kept.
+    """
+    kept = jaccard_join(docs.select("doc_id", "text"), recall, minimum).where("stays").select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), F.col("shared").alias("_s")).distinct()
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tk", F.xxhash64("text"))
+    found = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_d"]) & (keyed["_tk"] == kept["_t"]))
+    twin = F.row_number().over(Window.partitionBy("_id", "_tk").orderBy("_id"))
+    return found.withColumn("_twin", twin).where((F.col("_twin") == 1) | ~F.col("_s")).select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links")
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}
