@@ -289,8 +289,9 @@ def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     at = []
     for s in sets:
         p = np.searchsorted(words, s)
-        p = p[p < len(words)]
-        at.append(p[np.isin(words[p], s, assume_unique=True)] if len(p) else p)
+        own = p < len(words)
+        own[own] = words[p[own]] == s[own]
+        at.append(p[own])
     for c in range(0, len(words), width):
         m = np.zeros((len(sets), min(width, len(words) - c)), dtype=np.float32)
         for k, p in enumerate(at):
