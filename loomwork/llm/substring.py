@@ -201,7 +201,11 @@ class FingerprintIndex:
         least = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("_f"), F.max("doc_id").alias("_l")).where("_f < _l")
         least = materialize(least.select("anchor", "win", "_f"), "firsts")
         ends = windows.join(least, ["anchor", "win"]).where("_f < doc_id").select("doc_id", "tk", "s", "m")
-        return whole.union(ends).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "m")).alias("_spans"))
+        spans = whole.union(ends).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "m")).alias("_spans"))
+        # written before a later compaction may delete the runs that it was found in
+        spans = materialize(spans, "spans")
+        discard(segments, several, windows, least)
+        return spans
 
 
 def dedup(docs: DataFrame, batches: int = 2, fanout: int = 2, respace: bool = True) -> DataFrame:
