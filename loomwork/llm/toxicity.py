@@ -41,7 +41,7 @@ PREFIXES = (4, 5, 6, 7)
 # What each sign can stand for. Common look-alikes.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l",
 }
 _SIGNS = re.escape("".join(LOOKS))
 _GAP = r"[ .\-_*~'·]"
@@ -71,9 +71,9 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             borders[offsets] = True
             own = ~_SKIP[data]
             code = _FOLD[data[own]]
-            # a sign of its own between texts, so that none runs into the next
+            # two blank signs before each text and after the last, so that counts do not depend on how texts are dealt
             at = np.flatnonzero(borders[:-1][own])
-            code = np.concatenate([[0, 0], np.insert(code, at, 0), [0]])
+            code = np.concatenate([np.insert(code, np.repeat(at, 2), 0), [0, 0]])
             total += np.bincount(code[:-2] * 784 + code[1:-1] * 28 + code[2:], minlength=28**3)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
