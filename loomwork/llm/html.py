@@ -37,15 +37,18 @@ INPUT = PATH_SIZE + WORD_SIZE + SHAPE_SIZE
 # Elements by role. Fixed values of the HTML standard.
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption head title".split()
+    "header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption head".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = "script|style|noscript|template|textarea|iframe|object|svg|math|head|noembed|noframes|xmp|canvas|audio|video"
+#: Elements whose content is no page text: to the end of the page if left open, or only if closed.
+_RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp"
+_ASIDE = "noscript|template|object|svg|math|canvas|audio|video"
 #: An open element of the left is closed by a start tag of the right.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<({_ASIDE})\b{_ATTRIBUTES}>.*?</\2\s*>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -90,10 +93,10 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked += len(text)
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             continue
-        tag, closing = name.lower(), bool(m[2])
+        tag, closing = name.lower(), bool(m[3])
         if tag in _BLOCKS:
             flush()
             link = False
@@ -103,11 +106,11 @@ def blocks(page: str) -> list[Block]:
                         del stack[i:]
                         break
             elif tag not in _VOID:
-                if stack and stack[-1][0] == "p":
+                if stack and stack[-1][0] in ("p", "head"):
                     stack.pop()
                 while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
                     stack.pop()
-                stack.append((tag, _label(tag, m[4])))
+                stack.append((tag, _label(tag, m[5])))
         elif tag == "a":
             link = not closing
         elif tag == "br":
@@ -121,7 +124,7 @@ def blocks(page: str) -> list[Block]:
                         del stack[i:]
                         break
             else:
-                stack.append((tag, _label(tag, m[4])))
+                stack.append((tag, _label(tag, m[5])))
     if at < len(page):
         parts.append(page[at:])
         if link:
