@@ -25,7 +25,7 @@ def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of base and of its inverse, modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, SLICE_BYTES + 1)
         inv = pow(base, -1, 1 << 64)
         out = []
         for b in (base, inv):

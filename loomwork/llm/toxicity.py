@@ -177,8 +177,8 @@ def _again(pairs: np.ndarray) -> np.ndarray:
 
 def _restored(batch: pa.RecordBatch, column: str, model: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     i = batch.schema.get_field_index(column)
-    for lo in range(0, batch.num_rows, 1024):
-        texts = [restore(t or "", model) for t in batch.column(i).slice(lo, 1024).to_pylist()]
+    for lo in range(0, batch.num_rows, 256):
+        texts = [restore(t or "", model) for t in batch.column(i).slice(lo, 256).to_pylist()]
         for a, b, data, offsets in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]), "t"):
             yield lo + a, lo + b, data, offsets
 
@@ -200,17 +200,17 @@ def _count(model: np.ndarray):
 
 def _evidence(model: np.ndarray, weights: dict[int, float]):
     """Appends (strongest, total, signs) to each row's columns but text."""
-    table_ = np.zeros(CODES, dtype=np.float32)
     keys = np.fromiter(weights.keys(), dtype=np.int64, count=len(weights))
     values = np.fromiter(weights.values(), dtype=np.float32, count=len(weights))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = table_.copy()
+        w = np.zeros(CODES, dtype=np.float32)
         w[keys] = values
-        every = np.arange(CODES, dtype=np.uint64)
         lead = w > 0
-        for k in (2, 3):
-            lead |= w[(mix(every + np.uint64(k << 40)) % np.uint64(CODES)).astype(np.int64)] > 0
+        for lo in range(0, CODES, 1 << 16):
+            some = np.arange(lo, lo + (1 << 16), dtype=np.uint64)
+            for k in (2, 3):
+                lead[lo : lo + (1 << 16)] |= w[(mix(some + np.uint64(k << 40)) % np.uint64(CODES)).astype(np.int64)] > 0
         for batch in batches:
             n = batch.num_rows
             top, total, signs = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
