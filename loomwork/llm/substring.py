@@ -189,13 +189,19 @@ class FingerprintIndex:
             found = found.join(r.select("anchor", "seg", F.col("doc_id").alias(f"_f{i}")), ["anchor", "seg"], "left")
         firsts = [F.col(f"_f{i}") for i in range(len(self.runs))]
         first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
-        whole = found.where(first < F.col("doc_id")).select("doc_id", "tk", "s", "m")
+        found = materialize(found.select("anchor", "doc_id", "tk", "s", "m", (first < F.col("doc_id")).alias("_whole")), "found")
+        discard(segments)
+        whole = found.where("_whole").select("doc_id", "tk", "s", "m")
 
         several = union.groupBy("anchor").agg(F.min("seg").alias("_a"), F.max("seg").alias("_b")).where("_a <> _b").select("anchor")
         if len(self.runs) > 1:
             several = several.join(own.select("anchor").distinct(), "anchor", "left_semi")
         several = materialize(several, "several")
-        asked = union.join(several, "anchor").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "s", "m")).alias("asked"))
+        # a text can hold a segment that is no whole repeat at several places, so each is asked; of older runs the first place is enough
+        places = found.where("not _whole").select("anchor", "doc_id", "tk", "s", "m")
+        for r in self.runs[:-1]:
+            places = places.union(r.select("anchor", "doc_id", "tk", "s", "m"))
+        asked = places.join(several, "anchor").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("anchor", "s", "m")).alias("asked"))
         windows = history.select("doc_id", "tk", "text").join(asked, ["doc_id", "tk"]).mapInArrow(_spell, _WINDOWS)
         windows = materialize(windows, "windows")
         least = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("_f"), F.max("doc_id").alias("_l")).where("_f < _l")
@@ -204,7 +210,7 @@ class FingerprintIndex:
         spans = whole.union(ends).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "m")).alias("_spans"))
         # written before a later compaction may delete the runs that it was found in
         spans = materialize(spans, "spans")
-        discard(segments, several, windows, least)
+        discard(found, several, windows, least)
         return spans
 
 

@@ -82,6 +82,21 @@ def test_substring_equals_brute_force(spark, batches, fanout):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_substring_places_inside_one_text(spark, batches):
+    """A text that repeats passages inside itself, of which earlier texts hold parts; two texts under one doc_id."""
+    r = random.Random(11)
+    say = lambda n: ["w%d" % r.randrange(300) for _ in range(n)]
+    rows = []
+    for k in range(12):
+        p, q = say(90), say(70)
+        a = r.randrange(0, 30)
+        rows += [(10 * k, " ".join(p[a : a + 58] + say(9))), (10 * k + 1, " ".join(say(5) + q[3:60])), (10 * k + 5, " ".join((p + q) * 4)), (10 * k + 5, " ".join(say(20) + p + q + p))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.dedup(d, batches).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=repr) == brute(rows)
+
+
 def test_substring_long_text_in_chunks(spark, monkeypatch):
     rows = corpus(4)
     monkeypatch.setattr(substring, "_CHUNK", 64)
