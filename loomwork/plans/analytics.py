@@ -102,9 +102,9 @@ def local_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.news(spark, sf_dir).select("id", F.coalesce("pub_ts", "det_ts").alias("at"))
-    q = V.quakes(spark, sf_dir).where("magnitude >= 95")
-    pairs = R.interval_join(n, q, "at", "t", 72, 6)
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by("quake_id", F.struct((-F.col("magnitude")).alias("m"), "t", "quake_id")).alias("strongest"))
+    order = F.struct((-F.col("magnitude")).alias("m"), "t", "quake_id")
+    links = R.interval_strongest(n, V.quakes(spark, sf_dir), "id", "at", "t", 72, 6, order)
+    return links.select("id", "n", F.col("best.quake_id").alias("strongest"))
 
 
 def keyword_links(spark: SparkSession, sf_dir: str) -> DataFrame:
