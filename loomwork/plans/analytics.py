@@ -166,7 +166,7 @@ def char_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 8), " ").alias("text"))
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ def abstention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = V.table(spark, sf_dir, "benchmark").select("item_id", F.slice(T.keywords(F.col("text")), 1, 6).alias("k"))
+    q = V.table(spark, sf_dir, "benchmark").select("item_id", T.keywords(F.col("text")).alias("k"))
     n = V.news(spark, sf_dir).select("id", "title", F.explode(F.array_distinct(F.transform(T.words(F.col("title")), lambda x: F.substring(x, 1, 5)))).alias("start"))
     asked = q.select("item_id", F.size("k").alias("nk"), F.explode("k").alias("word")).withColumn("start", F.substring("word", 1, 5))
     hits = asked.join(n.select("id", "start"), "start").groupBy("item_id", "id", "nk").agg(F.count(F.lit(1)).alias("hits"))

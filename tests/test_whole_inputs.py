@@ -4,6 +4,7 @@ import datetime
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import relational
@@ -34,6 +35,11 @@ def same_without(spark, name, *cuts):
     assert got == want
 
 
+@pytest.mark.parametrize("name,cut", [("bm25_topk", "[1:8]"), ("hybrid_search", "[1:8]"), ("abstention_gate", "[1:8]"), ("keyword_coverage", "[1:6]")])
+def test_questions_are_whole(spark, name, cut):
+    same_without(spark, name, cut)
+
+
 def test_interval_links_take_all_events(spark):
     same_without(spark, "interval_links", "magnitude >= 95 AND ")
 
