@@ -36,11 +36,8 @@ def local_relation(text: Column, host: Column, words: tuple[str, ...], domains:
 # ---- vectors ---------------------------------------------------------------------------------------------------
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> DataFrame:
-    """Exact pairs (a < b, cosine) of at least `least`, computed block against block.
-
-    Vectors are packed into blocks by key order; a task holds two blocks at a time, whatever the input's size.
-    """
+def _block_pairs(vectors: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """(b, c, k, v, k2, v2): every two blocks b <= c of vectors, packed by key order."""
     v = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null")
     low, high, n = v.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
     blocks = max(1, -(-n // block))
@@ -48,28 +45,77 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block
     packed = v.withColumn("b", F.floor((F.col("k") - F.lit(low or 0)) / width).cast("int")).groupBy("b").agg(F.collect_list("k").alias("k"), F.collect_list("v").alias("v"))
     right = packed.select(F.col("b").alias("c"), F.col("k").alias("k2"), F.col("v").alias("v2"))
     asked = packed.withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
-    met = asked.join(right, "c").select("b", "c", "k", "v", "k2", "v2")
+    return asked.join(right, "c").select("b", "c", "k", "v", "k2", "v2")
+
+
+def _cosines(r) -> np.ndarray:
+    a, b = np.array(list(map(list, r.v))), np.array(list(map(list, r.v2)))
+    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
+    return a @ b.T
+
+
+def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> DataFrame:
+    """Exact pairs (a < b, cosine) of at least `least`, computed block against block.
+
+    Vectors are packed into blocks by key order; a task holds two blocks at a time, whatever the input's size.
+    """
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
-                a, b = np.array(list(map(list, r.v))), np.array(list(map(list, r.v2)))
-                a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-                s = a @ b.T
+                s = _cosines(r)
                 i, j = np.nonzero(s >= least)
                 ka, kb = np.array(r.k)[i], np.array(r.k2)[j]
                 keep = ka < kb if r.b == r.c else np.ones(len(i), dtype=bool)
                 lo, hi = np.minimum(ka, kb)[keep], np.maximum(ka, kb)[keep]
                 yield pd.DataFrame({"a": lo, "b": hi, "cosine": s[i, j][keep]})
 
-    return met.mapInPandas(compare, "a long, b long, cosine double")
+    return _block_pairs(vectors, key, vector, block).mapInPandas(compare, "a long, b long, cosine double")
 
 
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k most similar partners of every row, from pairs (a, b, cosine)."""
-    both = pairs.select("a", "b", "cosine").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+def _first_k(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k rows of each a by (-s, b)."""
+    o = np.lexsort((b, -s, a))
+    a, b, s = a[o], b[o], s[o]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[place < k], b[place < k], s[place < k]
+
+
+def nearest_rows(vectors: DataFrame, key: str, vector: str, k: int, block: int = 1024, buffer: int = 1 << 20) -> DataFrame:
+    """(a, b, cosine, rank): the k most similar other rows of every row, without a floor.
+
+    Cosines count to 9 places, ties go to the smaller key. A task keeps k partners of each row that it has met.
+    """
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for f in frames:
+            for r in f.itertuples(index=False):
+                s, ka, kb = np.round(_cosines(r), 9), np.array(r.k), np.array(r.k2)
+                for t, x, y in ((s, ka, kb), (s.T, kb, ka))[: 1 if r.b == r.c else 2]:
+                    t = np.where(x[:, None] == y[None, :], -np.inf, t)
+                    last = np.partition(t, -k, axis=1)[:, -k] if t.shape[1] > k else np.full(len(x), -2.0)
+                    i, j = np.nonzero((t >= last[:, None]) & (t >= -2))
+                    held.append(_first_k(x[i], y[j], t[i, j], k))
+                    n += len(held[-1][0])
+                if n > buffer:
+                    held = [_first_k(*map(np.concatenate, zip(*held, strict=True)), k)]
+                    n = min(len(held[0][0]), buffer // 2)
+        if held:
+            a, b, c = _first_k(*map(np.concatenate, zip(*held, strict=True)), k)
+            yield pd.DataFrame({"a": a, "b": b, "cosine": c})
+
+    return _ranked(_block_pairs(vectors, key, vector, block).mapInPandas(compare, "a long, b long, cosine double"), k)
+
+
+def _ranked(directed: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return directed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The k most similar partners of every row among the given pairs (a, b, cosine)."""
+    return _ranked(pairs.select("a", "b", "cosine").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), k)
 
 
 def char_tfidf(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -133,7 +133,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.nearest(_pairs(spark, sf_dir, 0.3), 5).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "rank")
+    return A.nearest_rows(V.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "rank")
 
 
 def pair_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

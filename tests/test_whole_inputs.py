@@ -4,14 +4,15 @@ import datetime
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import relational
+from loomwork.operators import analytics, relational
 from loomwork.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "documents", "benchmark")
+TABLES = ("events", "documents", "benchmark", "embeddings")
 
 
 def plain(v):
@@ -63,3 +64,22 @@ def test_interval_strongest_equals_pairs(spark):
                 if t and when and t - datetime.timedelta(hours=3) <= when <= t + datetime.timedelta(hours=2):
                     want.setdefault(i, []).append((-m, when, q))
         assert got == {i: (len(v), min(v)[2]) for i, v in want.items()}
+
+
+def test_nearest_neighbours_have_no_floor(spark):
+    same_without(spark, "nearest_neighbours", " WHERE cosine >= 0.3")
+
+
+def test_nearest_rows_equal_brute_force(spark):
+    """Many equal vectors, blocks of fewer rows than neighbours, pruning at every step."""
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(60, 4)), 1)
+    v[20:35] = v[3]
+    d = spark.createDataFrame([(3 * i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i, x in enumerate(np.round(u @ u.T, 9)):
+        want[3 * i] = sorted((-c, 3 * j) for j, c in enumerate(x) if j != i)[:5]
+    for block in (4, 16, 1024):
+        rows = analytics.nearest_rows(d, "id", "v", 5, block, 10).collect()
+        assert {i: [x["b"] for x in sorted(rows, key=lambda x: x["rank"]) if x["a"] == i] for i in want} == {i: [j for _, j in w] for i, w in want.items()}
