@@ -5,8 +5,8 @@ Equal sets collapse into one node first. A set is embedded as `TOKENS` min-hash
 a share equal to their Jaccard similarity in expectation. A run walks down from a root: a tree node samples one
 token place, and every set moves to the child named by its token there, so only sets that share all sampled
 tokens stay together. `runs` roots repeat this until the target recall: after `depth` steps a pair of
-similarity s is together in a run with probability s**depth, so `runs_for` takes log(1 - recall) /
-log(1 - s**depth) runs.
+similarity s that shares a part q of its tokens is together in a run with probability q**depth, so `runs_for` takes
+the least runs that reach the recall over the binomial spread of q.
 
 Buckets of at most `SMALL` sets are brute-forced on the embedded tokens. In larger ones, near-identical sets
 first collapse onto leaders, chunk by chunk, each set joined to every leader within reach (Jaccard distance is a
@@ -44,9 +44,18 @@ _A = np.array([(0x9E3779B1 * (2 * i + 1) ^ (i * 0x85EBCA77)) & 0xFFFFFFFF | 1 fo
 _B = (np.arange(TOKENS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
 
 
+def missed(runs: int, similarity: float = 0.8, depth: int = DEPTH) -> float:
+    """Probability that a pair of the given similarity never meets; its share of equal tokens is binomial, not exact."""
+    share = ((m, math.comb(TOKENS, m) * similarity**m * (1 - similarity) ** (TOKENS - m)) for m in range(TOKENS + 1))
+    return sum(p * (1 - (m / TOKENS) ** depth) ** runs for m, p in share)
+
+
 def runs_for(recall: float, similarity: float = 0.8, depth: int = DEPTH) -> int:
     """Runs after which a pair of the given similarity has met with the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
+    while missed(runs, similarity, depth) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def step(path: np.ndarray, tokens: np.ndarray, salt: int = 0) -> np.ndarray:

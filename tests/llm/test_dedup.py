@@ -215,6 +215,16 @@ def test_recall_of_runs():
     assert hits >= 294
 
 
+def test_runs_hold_the_recall_over_sketches():
+    r = np.random.default_rng(1)
+    for recall, similarity in ((0.9995, 0.8), (0.99, 0.8), (0.999, 0.7)):
+        runs = jaccard.runs_for(recall, similarity)
+        share = r.binomial(jaccard.TOKENS, similarity, 1_000_000) / jaccard.TOKENS
+        lost = ((1 - share**jaccard.DEPTH) ** runs).mean()
+        assert lost <= (1 - recall) * 1.02
+        assert abs(lost - jaccard.missed(runs, similarity)) < 0.02 * lost
+
+
 def test_components_match_union_find(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)]
