@@ -262,7 +262,7 @@ def _bm25_sql(docs: str) -> str:
   FROM btf JOIN bq USING (term) JOIN bi USING (term) JOIN bl USING (doc), ba GROUP BY query, doc)"""
 
 
-_Q = r"q AS (SELECT item_id AS query, array_to_string(regexp_extract_all(text, '\S+')[1:8], ' ') AS text FROM benchmark)"
+_Q = "q AS (SELECT item_id AS query, text FROM benchmark)"
 _HYBRID = f"""WITH {V.SQL["news"]}, {_Q}, docs AS (SELECT id AS doc, title AS text FROM news), corpus AS (SELECT doc, text FROM docs UNION ALL SELECT -query - 1, text FROM q), {_TFIDF},
 {_bm25_sql("docs")}, sem AS (SELECT -a.doc - 1 AS query, b.doc, sum(a.weight * b.weight) AS cosine FROM tfidf a JOIN tfidf b USING (term) WHERE a.doc < 0 AND b.doc >= 0 GROUP BY ALL), j AS (
   SELECT query, doc, coalesce(cosine, 0) AS cosine, coalesce(score, 0) AS lexical FROM sem FULL JOIN bm USING (query, doc)), m AS (
@@ -281,7 +281,7 @@ SELECT event, n_sources, CASE WHEN n_sources < 2 AND official = 0 THEN 'insuffic
 SELECT page_id, CASE {" ".join(f"WHEN {_is(w)} THEN 'word:{w}'" for w in ("is", "der", "de"))} WHEN host LIKE '%.therha.example.com' THEN 'domain:.therha.example.com'
   WHEN host = 'ththre.example.com' OR host LIKE '%.ththre.example.com' THEN 'domain:ththre.example.com' END AS why FROM f""",
     "interval_links": f"""WITH {V.SQL["news"]}, {V.SQL["quakes"]}, n AS (SELECT id, coalesce(pub_ts, det_ts) AS seen FROM news)
-SELECT id, count(*) AS n, arg_min(quake_id, (-magnitude, t, quake_id)) AS strongest FROM n JOIN quakes ON magnitude >= 95 AND t BETWEEN seen - INTERVAL 72 HOUR AND seen + INTERVAL 6 HOUR GROUP BY id""",
+SELECT id, count(*) AS n, arg_min(quake_id, (-magnitude, t, quake_id)) AS strongest FROM n JOIN quakes ON t BETWEEN seen - INTERVAL 72 HOUR AND seen + INTERVAL 6 HOUR GROUP BY id""",
     "keyword_links": f"""WITH {V.SQL["news"]}, {V.SQL["indicator"]}, f AS (SELECT id, lower(strip_accents(title)) AS t FROM news), r AS (
   {" UNION ALL ".join(f"SELECT id, '{k}' AS rule, {i} AS slot FROM f WHERE {' OR '.join(map(_is, ws))}" for i, (k, ws) in enumerate(TOPICS.items()))}), s AS (
   SELECT nation % 4 AS slot, max(year) AS year, CAST(sum(cents) AS BIGINT) AS cents FROM indicator GROUP BY 1) SELECT id, rule, year, cents FROM r JOIN s USING (slot)""",
@@ -290,7 +290,7 @@ SELECT id, count(*) AS n, arg_min(quake_id, (-magnitude, t, quake_id)) AS strong
   FROM x, (SELECT DISTINCT truth AS l FROM x) GROUP BY l), f AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM s)
 SELECT CAST(label AS INT) AS label, CAST(tp AS BIGINT) AS tp, fp, fn, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) AS macro_f1 FROM f""",
     "cosine_pairs": f"WITH {_VEC} SELECT a, b, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.45",
-    "nearest_neighbours": f"""WITH {_VEC}, s AS (SELECT a, b, cosine FROM p WHERE cosine >= 0.3 UNION ALL SELECT b, a, cosine FROM p WHERE cosine >= 0.3), r AS (
+    "nearest_neighbours": f"""WITH {_VEC}, s AS (SELECT a, b, cosine FROM p UNION ALL SELECT b, a, cosine FROM p), r AS (
   SELECT a AS vec_id, b AS neighbour, CAST(row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "pair_precision_recall": f"""WITH {_VEC}, h AS (SELECT count(*) FILTER (cosine >= 0.4 AND la = lb) AS tp, count(*) FILTER (cosine >= 0.4 AND la <> lb) AS fp FROM p), t AS (
   SELECT CAST(sum(c * (c - 1) // 2) AS BIGINT) AS positives FROM (SELECT count(*) AS c FROM embeddings GROUP BY label))
@@ -305,7 +305,7 @@ SELECT tp, fp, positives - tp AS fn, round(tp / (tp + fp), 6) AS precision, roun
     "abstention_gate": f"""{_HYBRID}, ga AS (SELECT query, max(cosine) FILTER (rank = 1) AS c1, max(cosine) FILTER (rank = 2) AS c2, max(lexical) AS lex FROM top GROUP BY query)
 SELECT query, CASE WHEN c1 < 0.15 THEN 'below_floor' WHEN lex <= 0 AND c1 - coalesce(c2, 0) < 0.08 THEN 'no_margin' ELSE 'answer' END AS decision FROM ga""",
     "keyword_coverage": f"""WITH {V.SQL["news"]}, kw AS (SELECT item_id, list_filter(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+'), lambda x: length(x) >= 4) AS ws FROM benchmark), k AS (
-  SELECT item_id, list_filter([CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END FOR i IN range(1, len(ws) + 1)], lambda x: x IS NOT NULL)[1:6] AS k FROM kw), a AS (
+  SELECT item_id, list_filter([CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END FOR i IN range(1, len(ws) + 1)], lambda x: x IS NOT NULL) AS k FROM kw), a AS (
   SELECT item_id, len(k) AS nk, left(unnest(k), 5) AS start FROM k), n AS (
   SELECT DISTINCT id, left(unnest(regexp_extract_all(lower(strip_accents(title)), '[a-z0-9_]+')), 5) AS start FROM news), h AS (
   SELECT item_id, id, nk, count(*) AS hits FROM a JOIN n USING (start) GROUP BY ALL) SELECT item_id, id, round(hits / nk, 6) AS coverage FROM h WHERE hits * 10 >= nk * 3""",
