@@ -31,10 +31,20 @@ def table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loomwork/{label}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table goes by discard(), or else when the driver's JVM ends.
+    """
     path = table_path(df.sparkSession, label)
     df.write.parquet(path)
+    fs, p = _at(df.sparkSession, path)
+    fs.deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomwork_path = path
     return out
@@ -45,9 +55,21 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_loomwork_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _at(df.sparkSession, path)
+            fs.delete(p, True)
+            fs.cancelDeleteOnExit(p)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that clash with none of `taken` (Spark's names are case-insensitive)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for w in wanted:
+        while w.lower() in used:
+            w += "_"
+        used.add(w.lower())
+        out.append(w)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
