@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +40,35 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs that run inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Bytes of a batch that a Python worker is sent, and that the JVM holds outside its heap meanwhile.
+BATCH = "8m"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
     The table goes by discard(), or else when the driver's JVM ends.
     """
     path = table_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):
+        df.write.parquet(path)
     fs, p = _at(df.sparkSession, path)
     fs.deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -55,9 +81,25 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_loomwork_path", None)
         if path:
-            fs, p = _at(df.sparkSession, path)
-            fs.delete(p, True)
-            fs.cancelDeleteOnExit(p)
+            drop_path(df.sparkSession, path)
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(kernel: Kernel) -> Kernel:
+    """A kernel that gives the memory it no longer uses back to the system at the end of its task: workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a GNU extension
+            if trim:
+                trim(0)
+
+    return run
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:

@@ -1,11 +1,13 @@
 """Vectorised word hashing over Arrow string columns.
 
-Everything works on the UTF-8 bytes of a column slice at once: word borders from a byte table, word
-hashes from prefix sums of a polynomial modulo 2**64, window hashes from prefix sums of mixed word hashes.
+Everything works on the UTF-8 bytes of a column slice at once: word borders from a byte table, word hashes by mixing
+eight bytes at a time, hashes of word runs by joining runs of half their size. Nothing is kept between slices.
+These hashes group and sample; where equality decides, operators compare digests of the words or the words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,27 +15,12 @@ import pyarrow as pa
 
 #: Bytes of text that one numpy pass takes; a longer single text is one pass of its own.
 SLICE_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
-_P = 0x9E3779B97F4A7C15 | 1
-_Q = 0xC2B2AE3D27D4EB4F | 1
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of base and of its inverse, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        inv = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inv):
-            a = np.full(size, b, dtype=np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        have = _powers[base] = tuple(out)
-    return have
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,44 +34,84 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the `size` bytes from each `start` on: every eight bytes pass through the mixer with what came before."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = size.astype(np.uint64) * _Q
+    left = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, rest = start[left], size[left]
+    while len(left):
+        chunk = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(rest, 8).astype(np.uint64)))
+        out[left] = mix((out[left] ^ chunk) * _P + np.uint64(1))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _P + mix(b ^ _Q))
+
+
 class Words:
     """Words of a slice of texts: `start`, `end` (byte places in `data`), `hash`, and `first` (words before each text)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
         n = len(data)
-        solid = ~_SEP[data]
+        self.solid = ~_SEP[data]
         edge = np.empty(n, dtype=bool)
         if n:
             edge[0] = True
-            np.logical_not(solid[:-1], out=edge[1:])
+            np.logical_not(self.solid[:-1], out=edge[1:])
             inner = offsets[:-1]
             edge[inner[inner < n]] = True
-        self.start = np.flatnonzero(solid & edge)
-        last = np.empty(n, dtype=bool)
+        edge &= self.solid
+        self.start = np.flatnonzero(edge)
         if n:
-            last[-1] = True
-            np.logical_not(solid[1:], out=last[:-1])
+            edge[-1] = True
+            np.logical_not(self.solid[1:], out=edge[:-1])
             ends = offsets[1:] - 1
-            last[ends[ends >= 0]] = True
-        self.end = np.flatnonzero(solid & last) + 1
+            edge[ends[ends >= 0]] = True
+        edge &= self.solid
+        self.end = np.flatnonzero(edge) + 1
         self.first = np.searchsorted(self.start, offsets)
-        pw, inv = _pow(_P, n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
-        self._sums = None
+        self.hash = byte_hashes(data, self.start, self.end - self.start)
+        self._plain: tuple[memoryview, np.ndarray, np.ndarray] | None = None
 
     def runs(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k-1 places are missing. Runs may cross texts."""
-        m = len(self.hash)
-        if m < k:
+        if len(self.hash) < k:
             return np.empty(0, dtype=np.uint64)
-        pw, inv = _pow(_Q, m)
-        if self._sums is None:
-            self._sums = np.zeros(m + 1, dtype=np.uint64)
-            np.cumsum(self.hash * pw[:m], out=self._sums[1:])
-        return mix((self._sums[k:] - self._sums[:-k]) * inv[: m - k + 1])
+        size, power, out, done = 1, self.hash, None, 0
+        while True:
+            if k & size:
+                part = power[done : done + len(self.hash) - k + 1]
+                out = part.copy() if out is None else _join(out, part)
+                done += size
+            if size * 2 > k:
+                return out
+            power = _join(power[:-size], power[size:])
+            size *= 2
+
+    def digests(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """(n x 2) longs: 128-bit BLAKE2b digests of the `count` words from each `first` on, joined by one space."""
+        if self._plain is None:
+            keep = self.solid.copy()
+            keep[1:] |= self.solid[:-1]
+            text = np.where(self.solid, self.data, np.uint8(0x20))[keep]
+            # two words meet without a separator where texts meet; no asked run crosses texts
+            place = np.cumsum(keep)
+            begin = place[self.start] - 1 if len(self.start) else self.start
+            self._plain = memoryview(text.tobytes()), begin, begin + (self.end - self.start)
+        text, begin, end = self._plain
+        digest = hashlib.blake2b
+        spans = zip(begin[first].tolist(), end[first + count - 1].tolist(), strict=True)
+        raw = b"".join([digest(text[a:b], digest_size=16).digest() for a, b in spans])
+        return np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,46 +1,55 @@
 """Substring deduplication with a log-structured fingerprint index.
 
 Every text is cut into words; a window is `WINDOW` consecutive words. Windows are grouped into segments: the
-consecutive windows of a text that share the smallest 8-word hash (their anchor). Equal windows have equal
-anchors, so whatever two texts share in windows, they share under one anchor. The index holds sorted immutable
-runs of (anchor, segment hash, first place); a new batch is merge-joined with every run:
+consecutive windows of a text that share the smallest 8-word hash (their anchor). Equal windows have equal anchors, so
+whatever two texts share in windows, they share under one anchor. The index holds sorted immutable runs of (anchor,
+segment, first document): tables bucketed and sorted by anchor, so that a batch meets them by a merge join without
+their being dealt out again. A new batch goes through it like this:
 
-1. segments that an earlier document has as a whole are repeats as a whole;
-2. where one anchor leads different segments (the ends of shared passages), the texts holding them are read
-   again and compared window by window, under 128 bits of hashes (anchor and window, independent);
-3. the batch's own run joins the index; `fanout` runs are compacted into one.
+1. its segments become a run of their own: one row for each distinct segment, with the smallest document;
+2. that run is merge-joined with every older run: segments that an earlier document has as a whole are repeats;
+3. where one anchor leads different segments (the ends of shared passages), the texts holding them are read again and
+   compared window by window;
+4. `fanout` runs are compacted into one, when the next batch comes.
 
-Only hashes and places are shuffled for the search (about one row for 22 words), and minima are combined before
-shuffling, so a passage that all documents share stays cheap. No window is sampled away: each belongs to one segment.
+Hashes only pick the anchors. Whether segments or windows are equal is verified on their words, by 128-bit BLAKE2b
+digests of the words' bytes; no two different texts with equal digests are known.
+
+Only digests and places are shuffled for the search (about one row for 22 words), and minima are combined before
+shuffling. A segment or window with a thousandth of all rows or more (there are a thousand of them at most) is joined
+by broadcast, so no task gets all places of a common passage. No window is sampled away: each belongs to one segment.
 
 Defined cases: null or empty text has no words; texts under `WINDOW` words are kept whole; a null doc_id is
 neither before nor after any other, its text is kept whole; rows with equal doc_id never remove each other's
 words (neither is smaller), each is judged alone; extra columns pass through `dedup`, a column named like an
-output one is replaced; an empty table gives an empty result.
+output one is replaced, other names never clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import discard, materialize, table
-from loomwork.llm._words import Words, mix, signed, slices
+from loomwork.llm._common import discard, drop_path, free_names, materialize, setting, table, table_path, tidy
+from loomwork.llm._words import Words, signed, slices
 
 WINDOW = 50
 ANCHOR = 8
+#: Batches of the query and the stage: with two runs compacted into one, two compactions happen.
+BATCHES, FANOUT = 4, 2
+#: Rows of a segment or window, as a part of all, from which on it is joined by broadcast; bytes of text a bucket.
+HEAVY, BUCKET_BYTES = 1000, 32 << 20
 _SPAN = WINDOW - ANCHOR + 1
 _PLACE = np.uint64((1 << 24) - 1)
-_CHUNK = 1 << 23
-_K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_CHUNK = 1 << 20
 
-_SEGMENTS = "anchor long, seg long, doc_id long, tk long, s int, m int"
-_WINDOWS = "anchor long, win long, doc_id long, tk long, s int, m int"
+_SEGMENTS = "anchor long, d1 long, d2 long, doc_id long, tk long, s int, m int"
+_WINDOWS = "d1 long, d2 long, doc_id long, tk long, s int"
 
 
 def _chain_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,19 +61,16 @@ def _chain_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def _segments(anchors: np.ndarray, windows: np.ndarray, text: np.ndarray, valid: np.ndarray):
-    """(anchor, segment hash, first window, windows) of each segment of the valid windows."""
+def _segments(anchors: np.ndarray, text: np.ndarray, valid: np.ndarray):
+    """(anchor, first window, windows) of each segment of the valid windows."""
     packed = (anchors & ~_PLACE) | np.arange(len(anchors), dtype=np.uint64)
     at = (_chain_min(packed, _SPAN) & _PLACE).astype(np.int64)
     v = np.flatnonzero(valid)
     cut = np.ones(len(v), dtype=bool)
     cut[1:] = (at[v[1:]] != at[v[:-1]]) | (text[v[1:]] != text[v[:-1]])
     b = np.flatnonzero(cut)
-    first, count = v[b], np.diff(np.append(b, len(v)))
-    a = anchors[at[first]]
-    whole = np.add.reduceat(mix(windows[v] ^ _K1), b) if len(b) else np.empty(0, dtype=np.uint64)
-    seg = mix(whole + (at[first] - first).astype(np.uint64) * _K1 + count.astype(np.uint64) * _K2)
-    return a, seg, first, count
+    first = v[b]
+    return anchors[at[first]], first, np.diff(np.append(b, len(v)))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,25 +79,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, _, data, offsets in slices(batch, "text"):
             w = Words(data, offsets)
-            anchors, windows = w.runs(ANCHOR), w.runs(WINDOW)
+            anchors = w.runs(ANCHOR)
+            windows = max(0, len(w.hash) - WINDOW + 1)
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
             parts = []
-            for c in range(0, len(windows), _CHUNK):
-                n = min(_CHUNK, len(windows) - c)
+            for c in range(0, windows, _CHUNK):
+                n = min(_CHUNK, windows - c)
                 own = text[c : c + n]
                 valid = np.arange(c, c + n) + WINDOW <= w.first[own + 1]
                 if valid.any():
-                    a, seg, first, count = _segments(anchors[c : c + n + _SPAN - 1], windows[c : c + n], own, valid)
-                    parts.append((a, seg, first + c, count))
+                    a, first, count = _segments(anchors[c : c + n + _SPAN - 1], own, valid)
+                    parts.append((a, first + c, count))
             if parts:
-                a, seg, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-                row = text[first]
+                a, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+                row, digest = text[first], w.digests(first, count + WINDOW - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(a)), pa.array(signed(seg)), pa.array(ids[lo + row]), pa.array(keys[lo + row]),
+                        pa.array(signed(a)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(ids[lo + row]), pa.array(keys[lo + row]),
                         pa.array((first - w.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)),
                     ],
-                    names=["anchor", "seg", "doc_id", "tk", "s", "m"],
+                    names=["anchor", "d1", "d2", "doc_id", "tk", "s", "m"],
                 )
 
 
@@ -102,147 +109,182 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(1).to_numpy(zero_copy_only=False)
         asked = batch.column(3)
         place = asked.offsets.to_numpy()
-        fields = {f: asked.values.field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "s", "m")}
+        fields = {f: asked.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("s", "m")}
         for lo, hi, data, offsets in slices(batch, "text"):
             w = Words(data, offsets)
-            windows = w.runs(WINDOW)
             a, b = place[lo], place[hi]
-            row = np.repeat(np.arange(lo, hi), np.diff(place[lo : hi + 1]))
-            m = fields["m"][a:b].astype(np.int64)
-            s = fields["s"][a:b].astype(np.int64)
+            s, m = fields["s"][a:b], fields["m"][a:b]
             one = np.repeat(np.arange(len(m)), m)
-            step = np.arange(len(one)) - np.repeat(np.cumsum(m) - m, m)
-            local = s[one] + step
-            row = row[one]
-            win = windows[w.first[row - lo] + local]
+            local = s[one] + np.arange(len(one)) - np.repeat(np.cumsum(m) - m, m)
+            row = np.repeat(np.arange(lo, hi), np.diff(place[lo : hi + 1]))[one]
+            digest = w.digests(w.first[row - lo] + local, np.full(len(local), WINDOW))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(fields["anchor"][a:b][one]), pa.array(signed(win)), pa.array(ids[row]), pa.array(keys[row]),
-                    pa.array(local.astype(np.int32)), pa.array(np.ones(len(local), dtype=np.int32)),
-                ],
-                names=["anchor", "win", "doc_id", "tk", "s", "m"],
-            )
+                [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(ids[row]), pa.array(keys[row]), pa.array(local.astype(np.int32))],
+                names=["d1", "d2", "doc_id", "tk", "s"],
+            )
+
+
+def _cut(text: str, spans: str, respace: bool):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Takes `text` and `spans`, the repeated (s, m) of the text, for kept_text, n_words and n_removed."""
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                texts, marked = (batch.column(batch.schema.get_field_index(c)) for c in (text, spans))
+                place, present = marked.offsets.to_numpy(), marked.is_valid().to_numpy(zero_copy_only=False)
+                s, m = (marked.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("s", "m"))
+                kept, words, removed = [], [], []
+                for i, t in enumerate(texts):
+                    w = (t.as_py() or "").encode().split()
+                    n = len(w)
+                    if present[i] and place[i] < place[i + 1]:
+                        edge = np.zeros(n + 1, dtype=np.int64)
+                        at = slice(place[i], place[i + 1])
+                        np.add.at(edge, s[at], 1)
+                        np.add.at(edge, s[at] + m[at] - 1 + WINDOW, -1)
+                        keep = np.cumsum(edge[:-1]) == 0
+                        w = [w[j] for j in np.flatnonzero(keep)]
+                    kept.append(b" ".join(w).decode() if respace or len(w) < n else t.as_py())
+                    words.append(n)
+                    removed.append(n - len(w))
+                names = [x for x in batch.schema.names if x not in (text, spans)]
+                cols = [batch.column(batch.schema.get_field_index(x)) for x in names]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(kept, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())],
+                    names=[*names, "kept_text", "n_words", "n_removed"],
+                )
 
+    return kernel
 
-def _cut(batches: Iterator[pa.RecordBatch], respace: bool = True) -> Iterator[pa.RecordBatch]:
-    """Adds kept_text, n_words and n_removed; the last column holds the repeated (s, m) of the text."""
-    for batch in batches:
-        texts, spans = batch.column(batch.schema.get_field_index("_text")), batch.column(batch.num_columns - 1)
-        place, present = spans.offsets.to_numpy(), spans.is_valid().to_numpy(zero_copy_only=False)
-        s = spans.values.field("s").to_numpy(zero_copy_only=False)
-        m = spans.values.field("m").to_numpy(zero_copy_only=False)
-        kept, words, removed = [], [], []
-        for i, t in enumerate(texts):
-            w = (t.as_py() or "").encode().split()
-            n = len(w)
-            if present[i] and place[i] < place[i + 1]:
-                edge = np.zeros(n + 1, dtype=np.int64)
-                at = slice(place[i], place[i + 1])
-                np.add.at(edge, s[at], 1)
-                np.add.at(edge, s[at] + m[at] - 1 + WINDOW, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                w = [w[j] for j in np.flatnonzero(keep)]
-            kept.append(b" ".join(w).decode() if respace or len(w) < n else t.as_py())
-            words.append(n)
-            removed.append(n - len(w))
-        cols = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] not in ("_text", "_spans")]
-        names = [x for x in batch.schema.names if x not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(kept, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())],
-            names=[*names, "kept_text", "n_words", "n_removed"],
-        )
 
+def split_join(rows: DataFrame, found: DataFrame, keys: list[str], heavy) -> DataFrame:
+    """Inner join of rows with a written table that is unique by `keys`; its `heavy` rows, few by a bound, are broadcast."""
+    light = rows.join(found.where(~heavy), keys)
+    return light.unionByName(rows.join(F.broadcast(found.where(heavy)), keys))
 
-class FingerprintIndex:
-    """Sorted immutable runs of the segments seen so far, and where their texts can be read again."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
-        self.runs: list[DataFrame] = []
+SEGMENT = ["anchor", "d1", "d2"]
 
-    def _run(self, segments: DataFrame) -> DataFrame:
-        least = segments.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "tk", "s", "m")).alias("at"))
-        return materialize(least.select("anchor", "seg", "at.*").sortWithinPartitions("anchor", "seg"), "run")
+
+class FingerprintIndex:
+    """Sorted immutable runs of the segments seen so far: tables bucketed and sorted by anchor."""
+
+    def __init__(self, spark: SparkSession, buckets: int = 8, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.runs: list[str] = []
+        self.compactions = 0
+        self._paths: dict[str, str] = {}
+
+    def _run(self, rows: DataFrame) -> str:
+        """Writes rows (anchor, d1, d2, doc_id, tk, s, m, n) as a run, one row a segment: its smallest place, its count."""
+        least = rows.groupBy(*SEGMENT).agg(F.min(F.struct("doc_id", "tk", "s", "m")).alias("at"), F.sum("n").alias("n"))
+        name = f"loomwork_run_{uuid.uuid4().hex}"
+        self._paths[name] = table_path(self.spark, "run")
+        dealt = least.select(*SEGMENT, "at.*", "n").repartition(self.buckets, "anchor").sortWithinPartitions(*SEGMENT)
+        dealt.write.bucketBy(self.buckets, "anchor").sortBy(*SEGMENT).option("path", self._paths[name]).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, self._paths.pop(name))
+
+    def drop(self) -> None:
+        """Deletes the index."""
+        while self.runs:
+            self._drop(self.runs.pop())
 
     def compact(self) -> None:
-        """Merge all runs into one; a segment keeps its smallest document."""
+        """Merges all runs into one; a segment keeps its smallest document."""
         if len(self.runs) > 1:
-            old, union = self.runs, self.runs[0]
+            old, union = self.runs, self.spark.table(self.runs[0])
             for r in old[1:]:
-                union = union.union(r)
+                union = union.unionByName(self.spark.table(r))
             self.runs = [self._run(union)]
-            discard(*old)
+            self.compactions += 1
+            for r in old:
+                self._drop(r)
 
     def ingest(self, batch: DataFrame, history: DataFrame) -> DataFrame:
-        """Adds batch (doc_id, tk, text) to the index. Returns its repeated windows: doc_id, tk, spans of (s, m).
+        """Adds batch (doc_id, tk, text) to the index. Returns its repeated windows: doc_id, tk, s, m.
 
         `history` holds the texts of all documents of the index and of the batch, with the same columns.
         """
         if len(self.runs) >= self.fanout:
             self.compact()
-        segments = materialize(batch.where("doc_id is not null").select("doc_id", "tk", "text").mapInArrow(_scan, _SEGMENTS), "segments")
-        own = self._run(segments)
-        self.runs.append(own)
-        union, found = self.runs[0], segments
-        for i, r in enumerate(self.runs):
-            union = union.union(r) if i else union
-            found = found.join(r.select("anchor", "seg", F.col("doc_id").alias(f"_f{i}")), ["anchor", "seg"], "left")
-        firsts = [F.col(f"_f{i}") for i in range(len(self.runs))]
-        first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
-        found = materialize(found.select("anchor", "doc_id", "tk", "s", "m", (first < F.col("doc_id")).alias("_whole")), "found")
-        discard(segments)
-        whole = found.where("_whole").select("doc_id", "tk", "s", "m")
-
-        several = union.groupBy("anchor").agg(F.min("seg").alias("_a"), F.max("seg").alias("_b")).where("_a <> _b").select("anchor")
-        if len(self.runs) > 1:
-            several = several.join(own.select("anchor").distinct(), "anchor", "left_semi")
-        several = materialize(several, "several")
+        segments = materialize(batch.where("doc_id is not null").select("doc_id", "tk", "text").mapInArrow(tidy(_scan), _SEGMENTS), "segments")
+        name = self._run(segments.withColumn("n", F.lit(1).cast("long")))
+        own, older = self.spark.table(name), [self.spark.table(r) for r in self.runs]
+        self.runs.append(name)
+        # joins by more columns may use tables dealt out by the anchor alone
+        with setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+            led, firsts = own.select(*SEGMENT, F.col("doc_id").alias("f"), "n"), [F.col("f")]
+            for i, r in enumerate(older):
+                led = led.join(r.select(*SEGMENT, F.col("doc_id").alias(f"f{i}")), SEGMENT, "left")
+                firsts.append(F.col(f"f{i}"))
+            first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
+            led = materialize(led.select(*SEGMENT, first.alias("f"), "n"), "led")
+            # anchors of the batch that lead different segments, here or in older runs
+            edges = [f"{f}{c}" for f in ("min", "max") for c in (1, 2)]
+            ends = lambda t, i: t.groupBy("anchor").agg(*[getattr(F, e[:3])(f"d{e[3]}").alias(f"{e}_{i}") for e in edges], F.sum("n").alias(f"n_{i}"))
+            several = ends(own, 0)
+            for i, r in enumerate(older, 1):
+                several = several.join(ends(r, i).drop(f"n_{i}"), "anchor", "left")
+            every = {e: [F.col(f"{e}_{i}") for i in range(len(older) + 1)] for e in edges}
+            least, most = ([f(*every[f"{e}{c}"]) if older else every[f"{e}{c}"][0] for c in (1, 2)] for e, f in (("min", F.least), ("max", F.greatest)))
+            several = several.where((least[0] != most[0]) | (least[1] != most[1])).select("anchor", F.col("n_0").alias("n"))
+            several = materialize(several, "several")
+            held = [materialize(r.join(several, "anchor", "left_semi").select("anchor", "doc_id", "tk", "s", "m"), "held") for r in older]
+        bar = max(HEAVY, segments.count() // HEAVY)
+        found = split_join(segments, led, SEGMENT, F.col("n") >= bar).select("anchor", "doc_id", "tk", "s", "m", (F.col("f") < F.col("doc_id")).alias("whole"))
+        found = materialize(found, "found")
+        whole = found.where("whole").select("doc_id", "tk", "s", "m")
+
         # a text can hold a segment that is no whole repeat at several places, so each is asked; of older runs the first place is enough
-        places = found.where("not _whole").select("anchor", "doc_id", "tk", "s", "m")
-        for r in self.runs[:-1]:
-            places = places.union(r.select("anchor", "doc_id", "tk", "s", "m"))
-        asked = places.join(several, "anchor").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("anchor", "s", "m")).alias("asked"))
-        windows = history.select("doc_id", "tk", "text").join(asked, ["doc_id", "tk"]).mapInArrow(_spell, _WINDOWS)
+        places = split_join(found.where("not whole"), several, ["anchor"], F.col("n") >= bar).select("doc_id", "tk", "s", "m")
+        for r in held:
+            places = places.union(r.select("doc_id", "tk", "s", "m"))
+        asked = places.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "m")).alias("asked"))
+        windows = history.select("doc_id", "tk", "text").join(asked, ["doc_id", "tk"]).mapInArrow(tidy(_spell), _WINDOWS)
         windows = materialize(windows, "windows")
-        least = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("_f"), F.max("doc_id").alias("_l")).where("_f < _l")
-        least = materialize(least.select("anchor", "win", "_f"), "firsts")
-        ends = windows.join(least, ["anchor", "win"]).where("_f < doc_id").select("doc_id", "tk", "s", "m")
-        spans = whole.union(ends).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "m")).alias("_spans"))
-        # written before a later compaction may delete the runs that it was found in
-        spans = materialize(spans, "spans")
-        discard(found, several, windows, least)
+        shared = windows.groupBy("d1", "d2").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l"), F.count(F.lit(1)).alias("n")).where("f < l")
+        shared = materialize(shared.select("d1", "d2", "f", "n"), "shared")
+        bar = max(HEAVY, windows.count() // HEAVY)
+        single = split_join(windows, shared, ["d1", "d2"], F.col("n") >= bar).where("f < doc_id").select("doc_id", "tk", "s", F.lit(1).alias("m"))
+        # written before a later compaction deletes the runs that it was found in
+        spans = materialize(whole.union(single), "spans")
+        discard(segments, led, several, *held, found, windows, shared)
         return spans
 
 
-def dedup(docs: DataFrame, batches: int = 2, fanout: int = 2, respace: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, respace: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with kept_text, n_words and n_removed added; every row stays.
 
     kept_text is the words that stay, joined by one space; unless respace, texts that lose none stay as they are.
     The rows go through the index in `batches` ranges of doc_id, as they would arrive day by day.
     """
     spark = docs.sparkSession
-    extra = [c for c in docs.columns if c not in ("text", "kept_text", "n_words", "n_removed")]
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / max(2, batches) for i in range(1, max(2, batches))], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))[: batches - 1]
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    index, out = FingerprintIndex(spark, fanout), None
+    outputs = ("text", "kept_text", "n_words", "n_removed")
+    extra = [c for c in docs.columns if c not in outputs]
+    wanted = [i / max(2, batches) for i in range(1, max(2, batches))]
+    cuts, size = docs.agg(F.percentile_approx("doc_id", wanted, 10000), F.sum(F.octet_length("text"))).first()
+    cuts = sorted(set(cuts or []))[: batches - 1]
+    index = index or FingerprintIndex(spark, max(4, (size or 0) // BUCKET_BYTES), fanout)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").where("doc_id is not null")
+    spans = []
     for i in range(len(cuts) + 1):
-        own = F.lit(True)
-        if i:
-            own = F.col("doc_id") > cuts[i - 1]
-        if i < len(cuts):
-            own = own & (F.col("doc_id") <= cuts[i])
-        if i == 0:
-            own = F.coalesce(own, F.lit(True))
-        past = keyed.where(F.col("doc_id") <= cuts[i]) if i < len(cuts) else keyed.where("doc_id is not null")
-        spans = index.ingest(keyed.where(own), past).select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), "_spans")
-        left = docs.where(own).select(*extra, F.col("text").alias("_text"))
-        joined = left.join(spans, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("_text") == F.col("_t")), "left").select(*extra, "_text", "_spans")
-        fields = [f for f in joined.schema.fields if f.name not in ("_text", "_spans")]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["kept_text string", "n_words long", "n_removed long"])
-        part = joined.mapInArrow(partial(_cut, respace=respace), schema)
-        out = part if out is None else out.union(part)
-    return out
+        past = keyed.where(F.col("doc_id") <= cuts[i]) if i < len(cuts) else keyed
+        spans.append(index.ingest(past.where(F.col("doc_id") > cuts[i - 1]) if i else past, past))
+    index.drop()
+    repeats = spans[0]
+    for s in spans[1:]:
+        repeats = repeats.union(s)
+    text, marked, d, t = free_names([*docs.columns, *outputs], "_text", "_spans", "_doc", "_key")
+    repeats = repeats.groupBy(F.col("doc_id").alias(d), F.col("tk").alias(t)).agg(F.collect_list(F.struct("s", "m")).alias(marked))
+    left = docs.select(*extra, F.col("text").alias(text))
+    joined = left.join(repeats, (F.col("doc_id") == F.col(d)) & (F.xxhash64(text) == F.col(t)), "left").select(*extra, text, marked)
+    fields = [f for f in joined.schema.fields if f.name not in (text, marked)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept_text string", "n_words long", "n_removed long"])
+    return joined.mapInArrow(tidy(_cut(text, marked, respace)), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

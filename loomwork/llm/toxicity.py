@@ -8,7 +8,7 @@
    replaces the span.
 3. The restored text's words, and their first 4 to 7 bytes, once and repeated, are looked up among the signs of toxicity: those
    which a sample of at most `SAMPLE` labelled documents (in hash order) ties to the label, by G-test, with
-   their log odds as weights. A logistic model over the strongest weight and the weights' sum gives the score.
+   their log odds as weights; the `most_signs` most telling ones, a parameter of the model's size like the sample's. A logistic model over the strongest weight and the weights' sum gives the score.
 
 Defined cases: null or empty text scores like a text without signs; without labelled documents of both kinds in
 the training fold every score is the share of toxic labels there (0 if none); null labels and labels of unknown
@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import materialize, table
-from loomwork.llm._words import _pow, mix, slices
+from loomwork.llm._common import free_names, materialize, table, tidy
+from loomwork.llm._words import byte_hashes, mix, slices
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
 CODES = 1 << 22
-#: Least G statistic and log odds of a sign, and most signs kept.
+#: Least G statistic and log odds of a sign, and most signs learned: the model's size, like the sample's.
 LEAST_G, LEAST_ODDS, MOST_SIGNS = 25.0, 1.5, 16_384
+#: Spans that a worker remembers the spelling of.
+SPANS = 50_000
 PREFIXES = (4, 5, 6, 7)
 
 # What each sign can stand for. Common look-alikes.
@@ -81,7 +83,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def char_model(docs: DataFrame) -> np.ndarray:
     """Log probabilities [previous two, next] over 28 signs, counted over all texts."""
-    counts = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(tidy(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(28**3)
     n[[r[0] for r in counts]] = [r[1] for r in counts]
     n = n.reshape(28, 28, 28)
@@ -125,7 +127,7 @@ def restore(text: str, model: np.ndarray) -> str:
     def spell(m: re.Match) -> str:
         span = m.group(0).lower()
         if (out := _known.get(span)) is None:
-            if len(_known) > 200_000:
+            if len(_known) >= SPANS:
                 _known.clear()
             out = _known[span] = decode(span, model)
         return out
@@ -154,15 +156,11 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     after = np.concatenate([letter[1:], [False]]) & ~border[1:] if n else np.zeros(0, dtype=bool)
     start, end = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
     text = np.searchsorted(offsets, start, side="right") - 1
-    pw, inv = _pow(0x9E3779B97F4A7C15 | 1, n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], out=sums[1:])
     size = end - start
-    yield text, (mix((sums[end] - sums[start]) * inv[start] + size.astype(np.uint64) + np.uint64(1000)) % np.uint64(CODES)).astype(np.int64)
+    yield text, ((byte_hashes(data, start, size) + np.uint64(1000)) % np.uint64(CODES)).astype(np.int64)
     for k in PREFIXES:
         long = size >= k
-        s = start[long]
-        yield text[long], (mix((sums[s + k] - sums[s]) * inv[s] + np.uint64(k)) % np.uint64(CODES)).astype(np.int64)
+        yield text[long], (byte_hashes(data, start[long], np.full(int(long.sum()), k)) % np.uint64(CODES)).astype(np.int64)
 
 
 def _again(pairs: np.ndarray) -> np.ndarray:
@@ -198,8 +196,8 @@ def _count(model: np.ndarray):
     return kernel
 
 
-def _evidence(model: np.ndarray, weights: dict[int, float]):
-    """Appends (strongest, total, signs) to each row's columns but text."""
+def _evidence(model: np.ndarray, weights: dict[int, float], text: str):
+    """Appends (strongest, total, signs) to each row's columns but `text`."""
     keys = np.fromiter(weights.keys(), dtype=np.int64, count=len(weights))
     values = np.fromiter(weights.values(), dtype=np.float32, count=len(weights))
 
@@ -214,7 +212,7 @@ def _evidence(model: np.ndarray, weights: dict[int, float]):
         for batch in batches:
             n = batch.num_rows
             top, total, signs = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-            for lo, _, data, offsets in _restored(batch, "_text", model):
+            for lo, _, data, offsets in _restored(batch, text, model):
                 # only codes that lead to a sign, alone or repeated, are sorted
                 found = [t[lead[c]] * CODES + c[lead[c]] for t, c in codes(data, offsets)]
                 pairs = _again(np.concatenate(found))
@@ -223,7 +221,7 @@ def _evidence(model: np.ndarray, weights: dict[int, float]):
                 np.maximum.at(top, row, weight)
                 np.add.at(total, row, weight)
                 np.add.at(signs, row, 1)
-            i = batch.schema.get_field_index("_text")
+            i = batch.schema.get_field_index(text)
             keep = [j for j in range(batch.num_columns) if j != i]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(j) for j in keep), pa.array(top), pa.array(total), pa.array(signs)],
@@ -259,7 +257,7 @@ def sample_of(labels: DataFrame, label: str, held_out, limit: int = SAMPLE) -> D
     return one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_part: int = 2, limit: int = SAMPLE, keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_part: int = 2, limit: int = SAMPLE, keep_text: bool = False, most_signs: int = MOST_SIGNS) -> DataFrame:
     """docs (doc_id, text, ...), without text unless asked, with held_out, score, predicted, strongest, total and signs."""
     spark = docs.sparkSession
     results = ["held_out", "score", "predicted", "strongest", "total", "signs"]
@@ -269,7 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_
     rows = sample_of(labels, "toxic", held, limit).collect()
     known = spark.createDataFrame([(r[0], r[1]) for r in rows], "_id long, _y int")
     learn = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(known), "_id").select("_y", "text", "_id")
-    counts = learn.select("_y", "text").mapInArrow(_count(model), "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = learn.select("_y", "text").mapInArrow(tidy(_count(model)), "code long, pos long, neg long").groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n_pos = sum(r[1] for r in rows)
     n_neg = len(rows) - n_pos
     weights: dict[int, float] = {}
@@ -280,17 +278,18 @@ def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_
         g = 2 * (part(p, (p + q) * share) + part(q, (p + q) * (1 - share)))
         odds = F.log(((p + 0.5) / (n_pos + 1.0)) / ((q + 0.5) / (n_neg + 1.0)))
         found = counts.select("code", g.alias("g"), odds.alias("w")).where((F.col("g") >= LEAST_G) & (F.col("w") >= LEAST_ODDS))
-        weights = {r[0]: r[2] for r in found.orderBy(F.desc("g"), "code").limit(MOST_SIGNS).collect()}
-    kernel, shape = _evidence(model, weights), "strongest double, total double, signs long"
+        weights = {r[0]: r[2] for r in found.orderBy(F.desc("g"), "code").limit(most_signs).collect()}
+    [text] = free_names([*docs.columns, *results], "_text")
+    kernel, shape = tidy(_evidence(model, weights, text)), "strongest double, total double, signs long"
     w = None
     if weights:
-        seen = learn.select("_y", F.col("text").alias("_text")).mapInArrow(kernel, f"_y int, {shape}").select("_y", "strongest", "total")
+        seen = learn.select("_y", F.col("text").alias(text)).mapInArrow(kernel, f"_y int, {shape}").select("_y", "strongest", "total")
         x = np.array(seen.groupBy("_y", "strongest", "total").count().orderBy("_y", "strongest", "total").collect(), dtype=float).reshape(-1, 4)
         x = np.repeat(x, x[:, 3].astype(int), axis=0)
         w = logistic(np.column_stack([x[:, 1], np.log1p(x[:, 2])]), x[:, 0])
     fields = [docs.schema[c] for c in own]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), shape])
-    out = docs.select(*own, F.col("text").alias("_text")).mapInArrow(kernel, schema)
+    out = docs.select(*own, F.col("text").alias(text)).mapInArrow(kernel, schema)
     if w is None:
         z = F.lit(float(n_pos / len(rows)) if rows else 0.0)
     else:
