@@ -5,19 +5,21 @@ Equal sets collapse into one node first. A set is embedded as `TOKENS` min-hash
 a share equal to their Jaccard similarity in expectation. A run walks down from a root: a tree node samples one
 token place, and every set moves to the child named by its token there, so only sets that share all sampled
 tokens stay together. `runs` roots repeat this until the target recall: after `depth` steps a pair of
-similarity s that shares a part q of its tokens is together in a run with probability q**depth, so `runs_for` takes
-the least runs that reach the recall over the binomial spread of q.
+similarity s that shares a part q of its tokens is together in a run with probability q**depth, and stays so through
+any number of further splits with probability `lives(q)`; `runs_for` takes the least runs that reach the recall over
+the binomial spread of q.
 
 Buckets of at most `SMALL` sets are brute-forced on the embedded tokens. In larger ones, near-identical sets
 first collapse onto leaders, chunk by chunk, each set joined to every leader within reach (Jaccard distance is a
-metric, so similar sets have leaders at least 0.6 alike; the estimate must reach 0.5); the leaders are then
-brute-forced, or split on more tokens if there are still more than `LARGE`. What this yields is a forest of
-candidate groups, not pairs. Inside a candidate group all sets are compared exactly, in blocks of `BLOCK` sets,
+metric, so sets of similarity s have leaders at least s - 0.16 alike; the estimate must reach s - 0.3); the leaders are
+then brute-forced, or, if there are still more than `LARGE`, go down `BRANCHES` paths by two more tokens each. What this
+yields is a forest of candidate groups, not pairs. Inside a candidate group all sets are compared exactly, in blocks of `BLOCK` sets,
 so links come out whole and a group of any size is many bounded tasks.
 
 Defined cases: null or empty text has no shingles, is linked to nothing and is its own class; a null doc_id
-never names a class, and a text that only such rows hold is linked to its copies alone; repeated rows and equal sets
-are linked copies; extra columns are ignored; an empty table gives an empty result.
+never names a class (a group of such rows alone has a null one), its text is linked like any other; repeated rows and
+equal sets are linked copies; extra columns are ignored, and none clashes in `one_of_each`; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,24 +32,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import components, discard, materialize, table
+from loomwork.llm._common import components, discard, free_names, materialize, table, tidy
 from loomwork.llm._words import Words, mix, signed, slices
 
 SHINGLE = 5
 TOKENS = 128
 DEPTH = 4
 SMALL, LARGE, CHUNK, BLOCK = 32, 4096, 2048, 256
-#: Least share of equal tokens for a candidate; a pair at 0.8 is below it once in 10**9.
-REACH, LEADER = 64, 118
+#: Paths that a set of a large bucket goes on along; equal tokens from which on a set is its leader's follower.
+BRANCHES, LEADER = 3, 118
 
 _A = np.array([(0x9E3779B1 * (2 * i + 1) ^ (i * 0x85EBCA77)) & 0xFFFFFFFF | 1 for i in range(TOKENS)], dtype=np.uint32)
 _B = (np.arange(TOKENS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
 
 
+def lives(q: float) -> float:
+    """Probability that two sets sharing a part q of their tokens stay together down to any depth of further splits."""
+    x = 1.0
+    for _ in range(200):  # a branching process: each of BRANCHES paths keeps both with probability q * q
+        x = 1 - (1 - q * q * x) ** BRANCHES
+    return x
+
+
 def missed(runs: int, similarity: float = 0.8, depth: int = DEPTH) -> float:
     """Probability that a pair of the given similarity never meets; its share of equal tokens is binomial, not exact."""
     share = ((m, math.comb(TOKENS, m) * similarity**m * (1 - similarity) ** (TOKENS - m)) for m in range(TOKENS + 1))
-    return sum(p * (1 - (m / TOKENS) ** depth) ** runs for m, p in share)
+    return sum(p * (1 - (m / TOKENS) ** depth * lives(m / TOKENS)) ** runs for m, p in share)
+
+
+def reach(minimum: tuple[int, int]) -> int:
+    """Equal tokens that make a candidate: a pair at the least similarity, or its leaders, has fewer once in 10**4 or less."""
+    return max(1, math.floor(TOKENS * (minimum[0] / minimum[1] - 0.3)))
 
 
 def runs_for(recall: float, similarity: float = 0.8, depth: int = DEPTH) -> int:
@@ -150,8 +165,9 @@ def _tokens(column) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint16).reshape(-1, TOKENS)
 
 
-def _alike(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
-    return 10 * np.minimum(n1, n2) >= 8 * np.maximum(n1, n2)
+def _alike(n1: np.ndarray, n2: np.ndarray, minimum: tuple[int, int]) -> np.ndarray:
+    """Whether sets of these sizes can be as similar as that."""
+    return minimum[1] * np.minimum(n1, n2).astype(np.int64) >= minimum[0] * np.maximum(n1, n2).astype(np.int64)
 
 
 _EDGES = "a long, b long"
@@ -178,102 +194,109 @@ def _forest(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[root[own]]), pa.array(nodes[own])], names=["a", "b"])
 
 
-def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges within small buckets: rows (bucket, node, n, sig) sorted by bucket."""
-    for t in _groups(batches, 1):
-        bucket, node, n = (t.column(i).to_numpy() for i in range(3))
-        sig, pairs = _tokens(t.column(3)), []
-        for lag in range(1, SMALL):
-            i = np.flatnonzero(bucket[lag:] == bucket[:-lag])
-            if not len(i):
-                break
-            i = i[(node[i] != node[i + lag]) & _alike(n[i], n[i + lag])]
-            for c in range(0, len(i), 8192):
-                k = i[c : c + 8192]
-                k = k[(sig[k] == sig[k + lag]).sum(axis=1) >= REACH]
-                pairs.append(np.stack([np.minimum(node[k], node[k + lag]), np.maximum(node[k], node[k + lag])], axis=1))
-        if pairs:
-            yield _forest(pairs)
+def _brute(minimum: tuple[int, int]):
+    least = reach(minimum)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate edges within small buckets: rows (bucket, node, n, sig) sorted by bucket."""
+        for t in _groups(batches, 1):
+            bucket, node, n = (t.column(i).to_numpy() for i in range(3))
+            sig, pairs = _tokens(t.column(3)), []
+            for lag in range(1, SMALL):
+                i = np.flatnonzero(bucket[lag:] == bucket[:-lag])
+                if not len(i):
+                    break
+                i = i[(node[i] != node[i + lag]) & _alike(n[i], n[i + lag], minimum)]
+                for c in range(0, len(i), 8192):
+                    k = i[c : c + 8192]
+                    k = k[(sig[k] == sig[k + lag]).sum(axis=1) >= least]
+                    pairs.append(np.stack([np.minimum(node[k], node[k + lag]), np.maximum(node[k], node[k + lag])], axis=1))
+            if pairs:
+                yield _forest(pairs)
+
+    return kernel
 
 
 _LEADERS = "bucket long, a long, b long, n int, sig binary"
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, chunk, node, n, sig) by (bucket, chunk): edges to leaders, and leaders (a = b, with their tokens)."""
-    for t in _groups(batches, 2):
-        bucket, chunk = t.column(0).to_numpy(), t.column(1).to_numpy()
-        cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])))
-        for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
-            part = t.slice(lo, hi - lo)
-            node, n, sig = part.column(2).to_numpy(), part.column(3).to_numpy(), _tokens(part.column(4))
-            order = np.argsort(node, kind="stable")
-            lead, rows = [], []
-            tokens = np.empty((hi - lo, TOKENS), dtype=np.uint16)
-            for k in order:
-                near = (tokens[: len(lead)] == sig[k]).sum(axis=1)
-                reach = np.flatnonzero(near >= REACH)
-                rows += [(int(node[lead[j]]), int(node[k])) for j in reach if node[lead[j]] != node[k]]
-                if not len(reach) or near.max() < LEADER:
-                    tokens[len(lead)] = sig[k]
-                    lead.append(k)
-            tree = _forest([np.array(rows, dtype=np.int64).reshape(-1, 2)])
-            a = tree.column(0).to_pylist() + [int(node[k]) for k in lead]
-            b = tree.column(1).to_pylist() + [int(node[k]) for k in lead]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(a), bucket[lo])), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                    pa.array([0] * tree.num_rows + [int(n[k]) for k in lead], pa.int32()), pa.array([None] * tree.num_rows + [sig[k].tobytes() for k in lead], pa.binary()),
-                ],
-                names=["bucket", "a", "b", "n", "sig"],
-            )
+def _lead(minimum: tuple[int, int]):
+    least = reach(minimum)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, chunk, node, n, sig) by (bucket, chunk): edges to leaders, and leaders (a = b, with their tokens)."""
+        for t in _groups(batches, 2):
+            bucket, chunk = t.column(0).to_numpy(), t.column(1).to_numpy()
+            cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])))
+            for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+                part = t.slice(lo, hi - lo)
+                node, n, sig = part.column(2).to_numpy(), part.column(3).to_numpy(), _tokens(part.column(4))
+                order = np.argsort(node, kind="stable")
+                lead, rows = [], []
+                tokens = np.empty((hi - lo, TOKENS), dtype=np.uint16)
+                for k in order:
+                    near = (tokens[: len(lead)] == sig[k]).sum(axis=1)
+                    met = np.flatnonzero(near >= least)
+                    rows += [(int(node[lead[j]]), int(node[k])) for j in met if node[lead[j]] != node[k]]
+                    if not len(met) or near.max() < LEADER:
+                        tokens[len(lead)] = sig[k]
+                        lead.append(k)
+                tree = _forest([np.array(rows, dtype=np.int64).reshape(-1, 2)])
+                a = tree.column(0).to_pylist() + [int(node[k]) for k in lead]
+                b = tree.column(1).to_pylist() + [int(node[k]) for k in lead]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(a), bucket[lo])), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                        pa.array([0] * tree.num_rows + [int(n[k]) for k in lead], pa.int32()), pa.array([None] * tree.num_rows + [sig[k].tobytes() for k in lead], pa.binary()),
+                    ],
+                    names=["bucket", "a", "b", "n", "sig"],
+                )
+
+    return kernel
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaders of large buckets, split on two more tokens; a node samples one path, often two (1.5 on average)."""
+    """Leaders of large buckets, each along `BRANCHES` paths of two more tokens."""
     for batch in batches:
         if not batch.num_rows:
             continue
         path = batch.column(0).to_numpy().view(np.uint64)[:, None]
         sig = _tokens(batch.column(3))
-        for branch in range(2):
-            keep = np.ones(len(sig), dtype=bool) if not branch else mix(path[:, 0] + np.uint64(77)) % np.uint64(2) == 0
-            if keep.any():
-                child = step(step(path[keep], sig[keep], branch + 1), sig[keep])
-                own = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(child[:, 0])), *own.columns[1:]], names=batch.schema.names)
+        for branch in range(BRANCHES):
+            child = step(step(path, sig, branch + 1), sig)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(child[:, 0])), *batch.columns[1:]], names=batch.schema.names)
 
 
-def _candidates(cells: DataFrame, level: int = 0, small: int = SMALL, large: int = LARGE, chunk: int = CHUNK) -> DataFrame:
+def _candidates(cells: DataFrame, minimum: tuple[int, int], level: int = 0, small: int = SMALL, large: int = LARGE, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between sets of a bucket that may be similar; cells are (bucket, node, n, sig) or lack n and sig."""
     spark = cells.sparkSession
     sizes = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = materialize(sizes, "buckets")
     met = cells.join(sizes, "bucket")
     few = met.where(F.col("size") <= small).select("bucket", "node", "n", "sig")
-    edges = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute, _EDGES)
+    edges = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_brute(minimum)), _EDGES)
     if sizes.where(F.col("size") > small).isEmpty():
         return materialize(edges, "candidates")
     split = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / chunk)).cast("int")
     many = met.where(F.col("size") > small).select("bucket", split.alias("chunk"), "node", "n", "sig")
-    led = materialize(many.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_lead, _LEADERS), "leaders")
+    led = materialize(many.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(_lead(minimum)), _LEADERS), "leaders")
     edges = edges.union(led.where("a <> b").select("a", "b"))
     leaders = led.where("a = b").select("bucket", F.col("a").alias("node"), "n", "sig")
     left = materialize(leaders.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).join(sizes.where(F.col("size") > chunk).select("bucket"), "bucket", "left_semi"), "left")
     again = leaders.join(left.where((F.col("size") > 1) & (F.col("size") <= large)), "bucket").select("bucket", F.lit(0).alias("chunk"), "node", "n", "sig")
-    edges = edges.union(again.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_lead, _LEADERS).where("a <> b").select("a", "b"))
+    edges = edges.union(again.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(_lead(minimum)), _LEADERS).where("a <> b").select("a", "b"))
     edges = materialize(edges, "candidates")
     rest = left.where(F.col("size") > large)
     if rest.isEmpty():
         return edges
     rest = leaders.join(rest, "bucket")
     if level < 8:
-        return edges.union(_candidates(rest.select("bucket", "node", "n", "sig").mapInArrow(_deeper, "bucket long, node long, n int, sig binary"), level + 1, small, large, chunk))
+        return edges.union(_candidates(rest.select("bucket", "node", "n", "sig").mapInArrow(tidy(_deeper), "bucket long, node long, n int, sig binary"), minimum, level + 1, small, large, chunk))
     blocks = F.ceil(F.col("size") / chunk).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = rest.select("bucket", "node", "n", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     pairs = pairs.select(F.xxhash64("bucket", F.least("own", "other")).alias("bucket"), F.greatest("own", "other").alias("chunk"), "node", "n", "sig")
-    return edges.union(pairs.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_lead, _LEADERS).where("a <> b").select("a", "b"))
+    return edges.union(pairs.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(_lead(minimum)), _LEADERS).where("a <> b").select("a", "b"))
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +388,7 @@ def jaccard_join(docs: DataFrame, recall: float = 0.9995, minimum: tuple[int, in
     """
     runs = runs_for(recall, minimum[0] / minimum[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    rows = materialize(texts.mapInArrow(_sketch(runs), "doc_id long, tk long, node long, n int, sig binary, paths array<long>"), "sketches")
+    rows = materialize(texts.mapInArrow(tidy(_sketch(runs)), "doc_id long, tk long, node long, n int, sig binary, paths array<long>"), "sketches")
     some = rows.where("n > 0")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
@@ -374,20 +397,24 @@ def jaccard_join(docs: DataFrame, recall: float = 0.9995, minimum: tuple[int, in
     sizes = materialize(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "met")
     met = slim.join(sizes, "bucket").select("bucket", "node")
     cells = materialize(met.join(nodes.select("node", "n", "sig"), "node").select("bucket", "node", "n", "sig"), "cells")
-    edges = _candidates(cells)
+    edges = _candidates(cells, minimum)
     groups = materialize(components(edges, "groups"), "groups")
     discard(cells, sizes)
 
     counts = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = groups.join(counts, "root").join(nodes.select("node", "rep_id", "copies"), "node")
-    asked = asked.select(F.col("rep_id").alias("doc_id"), "node", F.col("root").alias("grp"), "blocks", "copies").where("doc_id is not null")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id").select("doc_id", "text", "node", "grp", "blocks", "copies")
-    sets = texts.mapInArrow(_resolve, "node long, grp long, blocks int, copies long, shingles binary")
+    asked = groups.join(counts, "root").join(nodes.select("node", "head", "copies"), "node")
+    asked = asked.select("head.doc_id", "head.tk", "node", F.col("root").alias("grp"), "blocks", "copies")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+    # rows without an id: one of those with a text is enough, and copies go before the shuffle
+    nameless = keyed.where("doc_id is null").groupBy("tk").agg(F.first("text").alias("text"))
+    texts = keyed.join(asked, ["doc_id", "tk"]).select("doc_id", "text", "node", "grp", "blocks", "copies")
+    texts = texts.unionByName(nameless.join(asked.where("doc_id is null"), "tk").select("doc_id", "text", "node", "grp", "blocks", "copies"))
+    sets = texts.mapInArrow(tidy(_resolve), "node long, grp long, blocks int, copies long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.select("grp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "copies", "shingles")
     dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "shingles")
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    found = materialize(dealt.mapInArrow(_verify(minimum), "node long, links long, root long"), "links")
+    found = materialize(dealt.mapInArrow(tidy(_verify(minimum)), "node long, links long, root long"), "links")
     classes = materialize(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "classes"), "classes")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -406,11 +433,12 @@ def one_of_each(docs: DataFrame, recall: float = 0.9995, minimum: tuple[int, int
 
     Texts without words are groups of their own. All columns are kept.
     """
-    kept = jaccard_join(docs.select("doc_id", "text"), recall, minimum).where("stays").select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), F.col("shared").alias("_s")).distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tk", F.xxhash64("text"))
-    found = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_d"]) & (keyed["_tk"] == kept["_t"]))
-    twin = F.row_number().over(Window.partitionBy("_id", "_tk").orderBy("_id"))
-    return found.withColumn("_twin", twin).where((F.col("_twin") == 1) | ~F.col("_s")).select(*docs.columns)
+    own_id, own_key, row, d, t, shared = free_names(docs.columns, "_id", "_tk", "_twin", "_d", "_t", "_s")
+    kept = jaccard_join(docs.select("doc_id", "text"), recall, minimum).where("stays").select(F.col("doc_id").alias(d), F.col("tk").alias(t), F.col("shared").alias(shared)).distinct()
+    keyed = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_key, F.xxhash64("text"))
+    found = keyed.join(kept, keyed[own_id].eqNullSafe(kept[d]) & (keyed[own_key] == kept[t]))
+    twin = F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(own_id))
+    return found.withColumn(row, twin).where((F.col(row) == 1) | ~F.col(shared)).select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

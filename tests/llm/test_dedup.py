@@ -74,6 +74,38 @@ def corpus(seed=0):
     return rows
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_collide_in_polynomials_differ(spark):
+    """The two words hash alike under every polynomial with an odd base modulo 2**64."""
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    shared = ["w%d" % i for i in range(49)]
+    rows = [(1, " ".join([*shared, one])), (2, " ".join([*shared, two])), (3, " ".join([*shared, one, "tail"]))]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 50}
+
+
+def test_batches_of_the_query_are_compacted(spark):
+    rows = corpus(9)
+    index = substring.FingerprintIndex(spark, 4)
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), index=index).collect()
+    assert index.compactions == substring.BATCHES - 2 > 0 and not index.runs
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=repr) == brute(rows)
+
+
+def test_common_passages_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HEAVY", 3)
+    rows = corpus(3)
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=repr) == brute(rows)
+
+
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (2, 2), (5, 2)])
 def test_substring_equals_brute_force(spark, batches, fanout):
     rows = corpus()
@@ -182,10 +214,21 @@ def test_large_buckets_and_blocks(spark, monkeypatch):
     rows = near_copies(7, 120)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     plain = jaccard._candidates
-    monkeypatch.setattr(jaccard, "_candidates", lambda cells, level=0, *a: plain(cells, level, 3, 12, 10))
+    monkeypatch.setattr(jaccard, "_candidates", lambda cells, minimum, level=0, *a: plain(cells, minimum, level, 3, 12, 10))
     assert joined(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_join(rows)
 
 
+def test_join_links_of_rows_without_an_id(spark):
+    """Near copies that only rows with a null id hold link like any other, on either side."""
+    r = random.Random(8)
+    a, b = (["w%d" % r.randrange(500) for _ in range(200)] for _ in range(2))
+    rows = [(1, a), (None, [*a[:-1], "z"]), (None, [*a[:-1], "z"]), (None, b), (None, ["y", *b[1:]]), (4, ["x", *b[1:]]), (None, [*a[:-2], "q", "z"])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    want = brute_join(rows)
+    assert want[0] != (1, 1, 1, 0)
+    assert joined(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_join_awkward_rows(awkward, nothing):
     d = awkward.withColumn("node", F.lit("clash")).withColumn("tk", F.lit("clash"))
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
@@ -220,7 +263,8 @@ def test_runs_hold_the_recall_over_sketches():
     for recall, similarity in ((0.9995, 0.8), (0.99, 0.8), (0.999, 0.7)):
         runs = jaccard.runs_for(recall, similarity)
         share = r.binomial(jaccard.TOKENS, similarity, 1_000_000) / jaccard.TOKENS
-        lost = ((1 - share**jaccard.DEPTH) ** runs).mean()
+        alive = np.array([jaccard.lives(m / jaccard.TOKENS) for m in range(jaccard.TOKENS + 1)])[(share * jaccard.TOKENS).astype(int)]
+        lost = ((1 - share**jaccard.DEPTH * alive) ** runs).mean()
         assert lost <= (1 - recall) * 1.02
         assert abs(lost - jaccard.missed(runs, similarity)) < 0.02 * lost
 
