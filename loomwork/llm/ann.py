@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import discard, materialize, table
+from loomwork.llm._common import discard, materialize, table, tidy
 from loomwork.llm._grid import grid, matrix, numbered, packed, unpacked
 from loomwork.llm.topk import valid
 
@@ -271,21 +271,21 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
         own = distinct.where(F.size("embedding") == width).orderBy(F.xxhash64("first", "g"), "g").limit(SAMPLE)
         fitted[width] = Curves(np.array([r[0] for r in own.select("embedding").collect()]), curves, seed)
     reach = {w: max(LEAST, int(np.ceil(share * n))) for w, n in counts.items()}
-    keys = distinct.select("g", "embedding").mapInArrow(_keys(fitted), "space long, key long")
+    keys = distinct.select("g", "embedding").mapInArrow(tidy(_keys(fitted)), "space long, key long")
     keys = keys.repartitionByRange("space", "key").sortWithinPartitions("space", "key")
     step = {w: max(1, r // MARKS) for w, r in reach.items()}
     # MARKS / share marks of an ordering, and two more for each partition that it crosses: no more on more vectors
     marks: dict[int, list] = {}
-    for part, space, n, key in keys.mapInArrow(_marks(step, curves), "part int, space long, n long, key long").collect():
+    for part, space, n, key in keys.mapInArrow(tidy(_marks(step, curves)), "part int, space long, n long, key long").collect():
         marks.setdefault(space, []).append((part, n, key))
     windows = {w: ([Marks(marks[w * curves + c]) for c in range(curves)], reach[w]) for w in counts}
 
-    held = materialize(distinct.select("g", "embedding").mapInArrow(_blocks(fitted, BLOCK), _BLOCKS), "held")
+    held = materialize(distinct.select("g", "embedding").mapInArrow(tidy(_blocks(fitted, BLOCK)), _BLOCKS), "held")
     held = numbered(held, "id", "no")
     asked = distinct.where("asks").select("g", "embedding").coalesce(max(1, sum(counts.values()) // 100_000))
-    asked = materialize(asked.mapInArrow(_blocks(fitted, QUERIES_A_BLOCK, windows), _BLOCKS), "asked")
+    asked = materialize(asked.mapInArrow(tidy(_blocks(fitted, QUERIES_A_BLOCK, windows)), _BLOCKS), "asked")
     asked = numbered(asked, "id", "block").select("width", "block", F.col("n").alias("q_n"), F.col("g").alias("q_g"), F.col("v").alias("q_v"), F.col("places").alias("windows"))
-    found = materialize(grid(asked, held, ["width"]).mapInArrow(_rerank(k + 1), "q_g long, g long, score double"), "found")
+    found = materialize(grid(asked, held, ["width"]).mapInArrow(tidy(_rerank(k + 1)), "q_g long, g long, score double"), "found")
     found = found.join(distinct.select("g", "first"), "g")
     best = F.row_number().over(Window.partitionBy("q_g").orderBy("score", "first"))
     found = found.withColumn("n", best).where(F.col("n") <= k + 1).select("q_g", "g", "score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import materialize, ranked, table
+from loomwork.llm._common import materialize, ranked, table, tidy
 from loomwork.llm.bpe import encoder
 
 CAPACITY = 4096
@@ -75,7 +75,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all docs (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked, ids (uint32 bytes)."""
     kernel = _cut(tokenizer or default_tokenizer(), capacity, with_ids)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, _PIECES + (", ids binary" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(kernel), _PIECES + (", ids binary" if with_ids else ""))
 
 
 Filling = list[tuple[int, int]]
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     order = ranked(keyed, ["length"], ["bucket"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return order.select(*names, "rank").mapInArrow(_place(dealt), _PIECES + ", sequence_id long, offset long")
+    return order.select(*names, "rank").mapInArrow(tidy(_place(dealt)), _PIECES + ", sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, packing: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

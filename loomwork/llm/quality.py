@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import materialize, table
+from loomwork.llm._common import free_names, materialize, table, tidy
 from loomwork.llm._words import Words, slices
 from loomwork.llm.toxicity import fold, sample_of
 
@@ -95,21 +95,25 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        i = batch.schema.get_field_index("_text")
-        keep = [j for j in range(batch.num_columns) if j != i]
-        for lo, hi, data, offsets in slices(batch, "_text"):
-            x = statistics(data, offsets)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in keep), rows], names=[*(batch.schema.names[j] for j in keep), "_x"])
+def _scan(text: str, out: str):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.get_field_index(text)
+            keep = [j for j in range(batch.num_columns) if j != i]
+            for lo, hi, data, offsets in slices(batch, text):
+                x = statistics(data, offsets)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in keep), rows], names=[*(batch.schema.names[j] for j in keep), out])
+
+    return kernel
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs without text, with `_x`: array<double> of FEATURES."""
-    own = [f for f in docs.schema.fields if f.name not in ("text", "_x")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "_x array<double>"])
-    return docs.select(*(f.name for f in own), F.col("text").alias("_text")).mapInArrow(_scan, schema)
+def with_statistics(docs: DataFrame, out: str) -> DataFrame:
+    """docs without text, with `out`, a name that docs lack: array<double> of FEATURES."""
+    own = [f for f in docs.schema.fields if f.name != "text"]
+    [text] = free_names([*docs.columns, out], "_text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), f"`{out}` array<double>"])
+    return docs.select(*(f.name for f in own), F.col("text").alias(text)).mapInArrow(tidy(_scan(text, out)), schema)
 
 
 class Trees:
@@ -189,10 +193,10 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return out.freeze()
 
 
-def _apply(trees: Trees):
+def _apply(trees: Trees, column: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("_x")
+            i = batch.schema.get_field_index(column)
             x = batch.column(i).flatten().to_numpy().reshape(batch.num_rows, len(FEATURES)) if batch.num_rows else np.zeros((0, len(FEATURES)))
             keep = [j for j in range(batch.num_columns) if j != i]
             yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in keep), pa.array(trees.predict(x))], names=[*(batch.schema.names[j] for j in keep), "score"])
@@ -208,13 +212,16 @@ def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 5, held_out_
     held = F.coalesce(fold(F.col("doc_id"), held_out_parts) == held_out_part, F.lit(False))
     rows = sample_of(labels, "quality", held, limit).collect()
     known = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in rows], "_id long, _y int"))
-    seen = materialize(with_statistics(docs.select(*own, "text")), "statistics")
-    learn = seen.select(F.col("doc_id").cast("long").alias("_id"), "_x").join(known, "_id").orderBy("_id", "_x").select("_y", "_x").limit(2 * limit).toPandas()
+    [x_name] = free_names([*docs.columns, *results], "_x")
+    seen = materialize(with_statistics(docs.select(*own, "text"), x_name), "statistics")
+    # a document of the sample is learned from once, whatever rows have its id
+    learn = seen.select(F.col("doc_id").cast("long").alias("_id"), F.col(x_name).alias("_x")).join(known, "_id").groupBy("_id", "_y").agg(F.min("_x").alias("_x"))
+    learn = learn.orderBy("_id").select("_y", "_x").toPandas()
     x = np.array(learn["_x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     trees = grow(x, learn["_y"].to_numpy(dtype=float))
     fields = [docs.schema[c] for c in own]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
-    out = seen.mapInArrow(_apply(trees), schema).withColumn("held_out", held)
+    out = seen.mapInArrow(tidy(_apply(trees, x_name)), schema).withColumn("held_out", held)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).select(*own, *results)
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import discard, materialize, table
+from loomwork.llm._common import discard, materialize, table, tidy
 from loomwork.llm._grid import grid, matrix, numbered, packed, unpacked
 
 SHARD, QUERIES_A_BLOCK = 8192, 512
@@ -192,7 +192,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     norm = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     order = [F.desc("norm"), F.col("vec_id"), F.xxhash64("weights")]
     sorted_rows = rows.withColumn("norm", norm).repartitionByRange(max(1, -(-rows.count() // SHARD)), *order).sortWithinPartitions(*order)
-    shards = materialize(sorted_rows.select("vec_id", "weights").mapInArrow(_shards, "shard long, n int, ids binary, weights binary"), "shards")
+    shards = materialize(sorted_rows.select("vec_id", "weights").mapInArrow(tidy(_shards), "shard long, n int, ids binary, weights binary"), "shards")
     shards = numbered(shards, "shard", "no")
     asked = materialize(rows.where("asks").groupBy("vec_id").agg(F.min("weights").alias("weights")), "asked")
     blocks = max(1, -(-asked.count() // QUERIES_A_BLOCK))
@@ -202,7 +202,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         one = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
         one = one.groupBy("block").agg(*[F.collect_list(c).alias(f"q_{o}") for c, o in (("vec_id", "ids"), ("weights", "weights"), ("theta", "theta"))])
         met = grid(one, held).select("block", "q_ids", "q_weights", "q_theta", "n", "ids", "weights")
-        return met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+        return met.mapInArrow(tidy(_meet(k)), "query_id long, vec_id long, score long")
 
     none = F.lit(float("-inf"))
     first = materialize(meet(asked.withColumn("theta", none), shards.where("no = 0")), "first")
