@@ -96,21 +96,41 @@ def fewest(sizes, capacity):
     return best[0]
 
 
-def test_plan_is_valid_and_close_to_the_best():
+def check_plan(found, counts, capacity):
+    used = defaultdict(int)
+    for times, filling in found:
+        assert times > 0 and sum(x * k for x, k in filling) <= capacity
+        for x, k in filling:
+            used[x] += times * k
+    assert dict(used) == counts
+    return sum(t for t, _ in found)
+
+
+def test_plans_equal_exhaustive_packing():
     r = np.random.default_rng(0)
-    over = 0
-    for _ in range(40):
-        sizes = sorted(r.integers(1, 31, 9).tolist(), reverse=True)
+    hard = [[56, 46, 43, 43, 43, 36, 28, 24, 21, 20, 18, 18]]
+    for k in range(300):
+        hard.append(sorted(r.integers(*((1, 31), (18, 60), (5, 40), (25, 51))[k % 4], r.integers(1, 13)).tolist(), reverse=True))
+    for k, sizes in enumerate(hard):
+        capacity = 100 if k % 4 != 1 or not k else 60
         counts = {x: sizes.count(x) for x in sizes}
-        found = packing.plan(counts, 30)
-        used = defaultdict(int)
-        for times, filling in found:
-            assert times > 0 and sum(x * k for x, k in filling) <= 30
-            for x, k in filling:
-                used[x] += times * k
-        assert dict(used) == counts
-        over += sum(t for t, _ in found) - fewest(sizes, 30)
-    assert over <= 2
+        found, proved = packing.plan(counts, capacity)
+        least = packing.least_sequences(counts, capacity)
+        assert check_plan(found, counts, capacity) == fewest(sizes, capacity) >= least and proved
+
+
+def test_plans_of_many_pieces():
+    """Piece counts of corpora; a budget that is spent leaves a whole plan and says that nothing is proved."""
+    r = np.random.default_rng(1)
+    for low, high, n in ((1, 4097, 3000), (1400, 2100, 500), (700, 1500, 900), (1, 40, 20_000), (1366, 1400, 301)):
+        x, c = np.unique(r.integers(low, high, n), return_counts=True)
+        counts = dict(zip(x.tolist(), c.tolist(), strict=True))
+        found, proved = packing.plan(counts, 4096)
+        size = check_plan(found, counts, 4096)
+        assert size >= packing.least_sequences(counts, 4096) and (proved or size > packing.least_sequences(counts, 4096))
+        some, proved = packing.plan(counts, 4096, nodes=10)
+        assert check_plan(some, counts, 4096) >= size
+    assert packing.plan({}, 10) == ([], True)
 
 
 # ---- mixing ----------------------------------------------------------------------------------------------------
