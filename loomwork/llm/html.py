@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import table
+from loomwork.llm._common import free_names, table, tidy
 from loomwork.llm._words import Words, slices
 
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE, HIDDEN = 192, 24, 8, 24
@@ -47,10 +48,12 @@ _ASIDE = "noscript|template|object|svg|math|canvas|audio|video"
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<({_ASIDE})\b{_ATTRIBUTES}>.*?</\2\s*>"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_ASIDES = frozenset(_ASIDE.split("|"))
+_ASIDE_END = re.compile(rf"</({_ASIDE})\s*>", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDE = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
@@ -76,6 +79,9 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, link, at = 0, False, 0
+    ends: dict[str, list[int]] = {}  # of the closing tags of elements whose content is no text
+    for m in _ASIDE_END.finditer(page):
+        ends.setdefault(m[1].lower(), []).append(m.end())
 
     def flush() -> None:
         nonlocal linked
@@ -86,17 +92,23 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if link:
                 linked += len(text)
         at = m.end()
-        name = m[4]
+        name = m[3]
         if name is None:
             continue
-        tag, closing = name.lower(), bool(m[3])
+        tag, closing = name.lower(), bool(m[2])
+        if tag in _ASIDES and not closing:
+            close = ends.get(tag, [])
+            k = bisect_right(close, at)
+            if k < len(close):
+                at = close[k]
+                continue
         if tag in _BLOCKS:
             flush()
             link = False
@@ -110,7 +122,7 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
                 while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
                     stack.pop()
-                stack.append((tag, _label(tag, m[5])))
+                stack.append((tag, _label(tag, m[4])))
         elif tag == "a":
             link = not closing
         elif tag == "br":
@@ -124,7 +136,7 @@ def blocks(page: str) -> list[Block]:
                         del stack[i:]
                         break
             else:
-                stack.append((tag, _label(tag, m[5])))
+                stack.append((tag, _label(tag, m[4])))
     if at < len(page):
         parts.append(page[at:])
         if link:
@@ -258,10 +270,10 @@ def main_text(pages: list[str], model: dict[str, np.ndarray]) -> list[str]:
     return ["\n".join(b[1] for b, p in zip(page, probs, strict=True) if p >= 0.5) for page, probs in zip(cut, label(vectors(cut), model), strict=True)]
 
 
-def _kernel(model: dict[str, np.ndarray]):
+def _kernel(model: dict[str, np.ndarray], column: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("_html")
+            i = batch.schema.get_field_index(column)
             keep = [j for j in range(batch.num_columns) if j != i]
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -278,7 +290,8 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
     """pages (html, ...) without html, with text (its main text) and n_chars (code points of it)."""
     own = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "text string", "n_chars long"])
-    return pages.select(*(f.name for f in own), F.col("html").alias("_html")).mapInArrow(_kernel(model or load_model()), schema)
+    [column] = free_names([*pages.columns, "text", "n_chars"], "_html")
+    return pages.select(*(f.name for f in own), F.col("html").alias(column)).mapInArrow(tidy(_kernel(model or load_model(), column)), schema)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
