@@ -8,7 +8,7 @@ Start: linked documents dealt round-robin over the shards. Each round, every (gr
 the shard where most of its group is (the label most neighbours carry). The demand between two shards is admitted
 as far as it is matched by demand the other way or the receiving shard has room under its quota; the quotas are
 joined to the requests, which are admitted by gain (neighbours met) through prefix sums over counted cells, the
-last one in part. It ends when nobody asks or nothing moves. Loads never pass a shard's quota, so the final
+last one in part. It ends when nobody asks, nothing moves, or no more links come to lie within shards. Loads never pass a shard's quota, so the final
 counts are equal up to one row (law `rows`), exactly.
 
 Everything is DataFrame operations; only the shards' loads and demands (shards squared numbers) reach the driver.
@@ -54,15 +54,23 @@ def quotas(demand: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     return {k: v for k, v in out.items() if v > 0}
 
 
-def propagate(linked: DataFrame, caps: list[int], cells: int, rounds: int = 10) -> DataFrame:
-    """Rows (group, s, n): how many documents of each linked group (group, n) go to shard s; loads stay under caps."""
+def propagate(linked: DataFrame, caps: list[int], cells: int, rounds: int | None = None) -> DataFrame:
+    """Rows (group, s, n): how many documents of each linked group (group, n) go to shard s; loads stay under caps.
+
+    Rounds go on until none brings more linked documents together (the links within shards, a whole number under a
+    fixed bound, rise with every round that counts), or for `rounds` of them.
+    """
     spark, k = linked.sparkSession, len(caps)
     bucket = F.pmod("g", F.lit(cells))
     start = _global_prefix(linked, [], GROUP, bucket, "n", "off")
     shard = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     share = F.floor((F.col("off") + F.col("n") - 1 - F.col("s")) / k) - F.floor((F.col("off") - 1 - F.col("s")) / k)
     state = materialize(start.withColumn("s", shard).select(*GROUP, "s", share.cast("long").alias("n")).where("n > 0"), "labels")
-    for _ in range(rounds):
+    # decimals: a group of a third of all rows has more links than a long counts
+    together = lambda t: t.agg(F.coalesce(F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")), F.lit(0))).first()[0]
+    links, done = together(state), 0
+    while rounds is None or done < rounds:
+        done += 1
         load = dict(state.groupBy("s").agg(F.sum("n")).collect())
         label = F.struct("n", F.pmod(F.xxhash64("g", "s"), F.lit(1 << 20)).alias("tie"), "s")
         best = F.max(label).over(Window.partitionBy(*GROUP))
@@ -81,8 +89,12 @@ def propagate(linked: DataFrame, caps: list[int], cells: int, rounds: int = 10)
         moves = materialize(moves, "moves")
         change = state.unionByName(moves.select(*GROUP, "s", (-F.col("moved")).alias("n"))).unionByName(moves.select(*GROUP, F.col("p").alias("s"), F.col("moved").alias("n")))
         new = materialize(change.groupBy(*GROUP, "s").agg(F.sum("n").alias("n")).where("n > 0"), "labels")
-        discard(state, moves)
-        state = new
+        discard(moves)
+        if (more := together(new)) <= links:
+            discard(new)
+            break
+        discard(state)
+        state, links = new, more
     return state
 
 

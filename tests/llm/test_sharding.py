@@ -45,3 +45,69 @@ def test_quotas_never_pass_demand_or_room():
     assert all(q[k] <= demand[k] for k in q)
     for p, room in enumerate([0, 5, 1]):
         assert sum(v for (_, t), v in q.items() if t == p) - sum(v for (s, _), v in q.items() if s == p) <= room
+
+
+def links_within(groups):
+    """Pairs of equal texts in one shard; groups: lists of shards."""
+    return sum(c * (c - 1) // 2 for g in groups for c in Counter(g).values())
+
+
+def test_whole_table_and_its_cut_edges(spark):
+    """The query's rows on a table; far fewer links are cut than by a deal at random, none that brute force would keep."""
+    sf = "/root/testdata/sf0.01"
+    rows = sharding.op1_sharding(spark, sf).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    check(rows, len(docs))
+    assert {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None}
+    assert all(r["size"] == len((docs[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((docs[r["doc_id"]] or "").encode()) for r in rows)
+    mine, dealt = {}, {}
+    for r in rows:
+        mine.setdefault(docs[r["doc_id"]], []).append(r["shard"])
+        dealt.setdefault(docs[r["doc_id"]], []).append(zlib.crc32(str(r["doc_id"]).encode()) % 8)
+    every = sum(len(g) * (len(g) - 1) // 2 for g in mine.values())
+    assert every > 0 and links_within(mine.values()) == every > 2 * links_within(dealt.values())
+
+
+def brute_propagation(sizes, caps):
+    """The same rounds, document by document: links within shards after settling."""
+    k, at, groups = len(caps), 0, []
+    for n in sizes:
+        groups.append([(at + j) % k for j in range(n)])
+        at += n
+    best = links_within(groups)
+    while True:
+        load = Counter(s for g in groups for s in g)
+        asks = []
+        for i, g in enumerate(groups):
+            count = Counter(g)
+            top = max(count.values())
+            to = min(s for s in count if count[s] == top)
+            asks += [(-top, i, s, to) for s in g if s != to]
+        quota = sharding.quotas(Counter((s, p) for _, _, s, p in asks), [caps[p] - load[p] for p in range(k)])
+        moved = [list(g) for g in groups]
+        for _, i, s, p in sorted(asks):
+            if quota.get((s, p), 0) > 0:
+                quota[s, p] -= 1
+                moved[i].remove(s)
+                moved[i].append(p)
+        if links_within(moved) <= best:
+            return best
+        groups, best = moved, links_within(moved)
+
+
+def test_propagation_against_brute_force(spark):
+    """Rounds on counted cells bring as many links together as rounds on single documents, within a tenth."""
+    import random
+
+    r = random.Random(2)
+    for sizes in ([2] * 40, [3, 5, 9, 2, 2, 30, 4, 4, 7], [r.randrange(2, 25) for _ in range(60)]):
+        n = sum(sizes) + 40
+        caps = [n // 8 + (s < n % 8) for s in range(8)]
+        linked = spark.createDataFrame([(i * 7919, 0, 1, m) for i, m in enumerate(sizes)], "g long, text_crc32 long, size long, n long")
+        state = sharding.propagate(linked, caps, 3).collect()
+        got = {}
+        for x in state:
+            got.setdefault(x["g"], []).extend([x["s"]] * x["n"])
+        load = Counter(s for g in got.values() for s in g)
+        assert sorted(map(len, got.values())) == sorted(sizes) and all(load[s] <= caps[s] for s in load)
+        assert links_within(got.values()) >= 0.9 * brute_propagation(sizes, caps)
