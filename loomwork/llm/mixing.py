@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm._common import WORD, materialize, ranked, table
+from loomwork.llm._common import WORD, free_names, materialize, ranked, table
 
 WEIGHTS = (3, 1, 2)
 BUDGET, LIMIT = 1.5, 2.0
@@ -79,18 +79,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     """docs (doc_id, text, source, ...) with size, source_size, target, copies and taken; every row stays."""
     own = [c for c in docs.columns if c not in _OUT]
     placed = copies_of(docs, weights, budget, limit, seed)
+    own_id, key, twin = free_names([*docs.columns, *_OUT], "_id", "_key", "_twin")
+    there = dict(zip([*placed.columns, "k"], free_names([*docs.columns, own_id, key, twin, *_OUT], *(f"_{c}" for c in [*placed.columns, "k"])), strict=True))
     # repeated rows differ in nothing: the k-th of them takes the k-th of their results
-    twin = Window.partitionBy("doc_id", "source", "tk").orderBy("copies")
-    placed = placed.withColumn("k", F.row_number().over(twin)).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "tk", "k", *_OUT)])
-    keyed = docs.select(*own).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
-    keyed = keyed.withColumn("_twin", F.row_number().over(Window.partitionBy("_id", "source", "_text").orderBy("_id")))
-    on = keyed["_id"].eqNullSafe(placed["_doc_id"]) & keyed["source"].eqNullSafe(placed["_source"]) & (keyed["_text"] == placed["_tk"]) & (keyed["_twin"] == placed["_k"])
-    return keyed.join(placed, on).select(*own, *[F.col(f"_{c}").alias(c) for c in _OUT])
+    placed = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "source", "tk").orderBy("copies")))
+    placed = placed.select(*[F.col(c).alias(n) for c, n in there.items()])
+    keyed = docs.select(*own).withColumn(own_id, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64("text"))
+    keyed = keyed.withColumn(twin, F.row_number().over(Window.partitionBy(own_id, "source", key).orderBy(own_id)))
+    on = keyed[own_id].eqNullSafe(placed[there["doc_id"]]) & keyed["source"].eqNullSafe(placed[there["source"]])
+    on = on & (keyed[key] == placed[there["tk"]]) & (keyed[twin] == placed[there["k"]])
+    return keyed.join(placed, on).select(*own, *[F.col(there[c]).alias(c) for c in _OUT])
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mixture itself: each row of mix() as often as it has copies."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy")
+    [each] = free_names(mixed.columns, "_copy")
+    return mixed.where("copies > 0").withColumn(each, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(each)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,17 @@ def test_blocks_of_broken_pages():
     assert html.blocks("") == [] and html.blocks("<p") == []
 
 
+def test_unclosed_elements_take_no_longer():
+    """Elements without an end are read on as text; 40,000 of them take a second or so, not minutes."""
+    import time
+
+    began = time.time()
+    for name in ("svg", "object", "canvas", "math"):
+        assert [b[1] for b in html.blocks(f"<p>a<{name}>" * 40_000 + "b")][-1] == "ab"
+    assert [b[1] for b in html.blocks("<p>a<svg>b</SVG >c<svg>d<object>e</object>f")] == ["ac" + "d" + "f"]
+    assert time.time() - began < 20
+
+
 def test_recurrent_labels_equal_single_pages():
     r = html_train.examples(12, 4)
     m = html.load_model()
