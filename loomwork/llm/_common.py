@@ -57,8 +57,9 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
-#: Bytes of a batch that a Python worker is sent, and that the JVM holds outside its heap meanwhile.
-BATCH = "8m"
+#: Bytes of a batch that a Python worker is sent, and that the JVM holds outside its heap meanwhile; bytes of a written
+#: table that a task holds until it writes them.
+BATCH, ROW_GROUP = "4m", 16 << 20
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -68,7 +69,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = table_path(df.sparkSession, label)
     with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     fs, p = _at(df.sparkSession, path)
     fs.deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LET
 _CHUNK = re.compile(r"[^\t-\r ]+")
 _NONE = np.int32(2**31 - 1)
 #: Words kept per worker; when full, the words not asked for since the last time are dropped.
-CACHE = 100_000
+CACHE = 50_000
 
 
 def _byte_chars() -> list[str]:

@@ -215,8 +215,8 @@ class FingerprintIndex:
         name = self._run(segments.withColumn("n", F.lit(1).cast("long")))
         own, older = self.spark.table(name), [self.spark.table(r) for r in self.runs]
         self.runs.append(name)
-        # joins by more columns may use tables dealt out by the anchor alone
-        with setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        # joins by more columns may use tables dealt out by the anchor alone, and runs are read in the order they were written in
+        with setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"), setting(self.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
             led, firsts = own.select(*SEGMENT, F.col("doc_id").alias("f"), "n"), [F.col("f")]
             for i, r in enumerate(older):
                 led = led.join(r.select(*SEGMENT, F.col("doc_id").alias(f"f{i}")), SEGMENT, "left")
