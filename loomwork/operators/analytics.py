@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,25 @@ from loomwork.functions import text as T
 
 
 def topic_of(text: Column, rules: dict[str, tuple[str, ...]], other: str = "other") -> Column:
-    """The topic with most distinct keywords in the folded text; ties to the topic listed first."""
-    hits = []
-    for i, (topic, words) in enumerate(rules.items()):
-        n = sum((F.when(T.whole_word(text, w), 1).otherwise(0) for w in words), F.lit(0))
-        hits.append(F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(topic).alias("topic")))
-    best = F.array_max(F.array(*hits))
-    return F.when(best["n"] > 0, best["topic"]).otherwise(F.lit(other))
+    """The topic with most distinct keywords in the folded text; ties to the topic listed first.
+
+    Single words meet the text's words in one intersection of arrays; only phrases are searched for.
+    """
+    single = {t: [w for w in ws if re.fullmatch("[a-z0-9_]+", w)] for t, ws in rules.items()}
+    every = sorted({w for ws in single.values() for w in ws})
+    # one pass over the text: its distinct words among the rules'
+    held = F.array_intersect(F.array(*map(F.lit, every)), F.regexp_extract_all(text, F.lit(r"[a-z0-9_]+"), F.lit(0))) if every else F.array()
+
+    def best(found: Column) -> Column:
+        hits = []
+        for i, (topic, words) in enumerate(rules.items()):
+            own = F.size(F.array_intersect(found, F.array(*map(F.lit, single[topic])))) if single[topic] else F.lit(0)
+            phrases = [F.when(T.whole_word(text, w), 1).otherwise(0) for w in words if w not in single[topic]]
+            hits.append(F.struct(sum(phrases, own).alias("n"), F.lit(-i).alias("i"), F.lit(topic).alias("topic")))
+        return F.array_max(F.array(*hits))
+
+    top = F.transform(F.array(held), best)[0]
+    return F.when(top["n"] > 0, top["topic"]).otherwise(F.lit(other))
 
 
 def local_relation(text: Column, host: Column, words: tuple[str, ...], domains: tuple[str, ...]) -> Column:
@@ -176,32 +189,75 @@ def capped_clusters(items: DataFrame, pairs: DataFrame, least: float, margin: fl
     own = items.join(roots, items["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key")).select("root", "key", "hours", "v")
     links = pairs.join(roots.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "cosine")
 
-    def merge(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("key")
-        group = {k: i for i, k in enumerate(left["key"])}
-        members = {i: [k] for i, k in enumerate(left["key"])}
-        total = {i: np.array(v, dtype=float) for i, v in enumerate(left["v"])}
-        when = {i: ([h] if h == h and h is not None else []) for i, h in enumerate(left["hours"])}
-        for r in right.sort_values(["cosine", "a", "b"], ascending=[False, True, True]).itertuples():
-            x, y = group[r.a], group[r.b]
-            if x == y or len(members[x]) + len(members[y]) > most:
-                continue
-            dates = when[x] + when[y]
-            if dates and max(dates) - min(dates) > span_hours:
-                continue
-            if total[x] @ total[y] / (len(members[x]) * len(members[y])) < least - margin:
-                continue
-            if len(members[x]) < len(members[y]):
-                x, y = y, x
-            for k in members[y]:
-                group[k] = x
-            members[x] += members.pop(y)
-            total[x] = total[x] + total.pop(y)
-            when[x] += when.pop(y)
-        first = {g: min(m) for g, m in members.items()}
-        return pd.DataFrame({"key": list(group), "group": [first[g] for g in group.values()]})
-
-    return own.groupBy("root").cogroup(links.groupBy("root")).applyInPandas(merge, "key long, group long")
+    def cluster(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        keys = np.sort(left["key"].to_numpy())
+        left = left.set_index("key").loc[keys]
+        n = len(keys)
+        # what is known of a group stands at its smallest member; `up` leads there
+        up, size, total = np.arange(n), np.ones(n, dtype=np.int64), np.array(left["v"].tolist(), dtype=float)
+        hours = left["hours"].to_numpy(dtype=float)
+        early, late = np.where(np.isnan(hours), np.inf, hours), np.where(np.isnan(hours), -np.inf, hours)
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        def joinable(x: int, y: int) -> bool:
+            together = size[x] + size[y] <= most and max(late[x], late[y]) - min(early[x], early[y]) <= span_hours
+            return bool(together) and float(total[x] @ total[y]) >= (least - margin) * size[x] * size[y]
+
+        order = np.lexsort((right["b"], right["a"], -right["cosine"]))
+        ends = np.searchsorted(keys, right[["a", "b"]].to_numpy()[order])
+        for i, j in ends:
+            x, y = sorted((top(i), top(j)))
+            if x != y and joinable(x, y):
+                up[y], size[x], total[x] = x, size[x] + size[y], total[x] + total[y]
+                early[x], late[x] = min(early[x], early[y]), max(late[x], late[y])
+        return pd.DataFrame({"key": keys, "group": keys[[top(i) for i in range(n)]]})
+
+    return own.groupBy("root").cogroup(links.groupBy("root")).applyInPandas(cluster, "key long, group long")
+
+
+def pairs_in_time(vectors: DataFrame, key: str, vector: str, hours: str, least: float, window: int, block: int = 1024) -> DataFrame:
+    """similar_pairs() of rows whose `hours` lie within `window` of each other, or are missing for one.
+
+    Dated rows are blocked by time, so a block meets those of its own and the next stretch of `window` hours only;
+    rows without a date meet everything.
+    """
+    v = vectors.select(F.col(key).alias("k"), F.col(hours).cast("double").alias("h"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null")
+    v = v.withColumn("t", F.floor(F.col("h") / window))
+    sub = F.pmod(F.xxhash64("k"), F.greatest(F.lit(1), F.ceil(F.col("n") / block))).cast("int")
+    dealt = v.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t"))).withColumn("s", sub)
+    packed = dealt.groupBy("t", "s").agg(F.collect_list("k").alias("k"), F.collect_list("h").alias("h"), F.collect_list("v").alias("v"))
+    dated, undated = packed.where("t is not null"), packed.where("t is null")
+    other = lambda x: x.select("t", *[F.col(c).alias(f"{c}2") for c in "skhv"])
+    met = dated.withColumn("t2", F.explode(F.array(F.col("t"), F.col("t") + 1))).withColumnRenamed("t", "t1")
+    met = met.join(other(dated).withColumnRenamed("t", "t2"), "t2").where((F.col("t1") < F.col("t2")) | (F.col("s") <= F.col("s2")))
+    cols = [*"skhv", *(f"{c}2" for c in "skhv")]
+    met = met.withColumn("one", (F.col("t1") == F.col("t2")) & (F.col("s") == F.col("s2"))).select(*cols, "one")
+    # undated blocks meet each other and all dated ones
+    blank = F.transform("k", lambda _: F.lit(float("nan")))
+    number = packed.select(F.col("t").alias("nt"), F.col("s").alias("ns")).withColumn("no", F.row_number().over(Window.orderBy("nt", "ns")))
+    last = number.agg(F.max("no")).first()[0] or 0
+    second = packed.join(number, F.col("t").eqNullSafe(F.col("nt")) & (F.col("s") == F.col("ns")))
+    second = second.select("no", F.col("t").isNotNull().alias("dated"), *[(blank if c == "h" else F.col(c)).alias(f"{c}2") for c in "skhv"])
+    asked = undated.withColumn("h", blank).withColumn("no", F.explode(F.sequence(F.lit(1), F.lit(max(1, last)))))
+    loose = asked.join(second, "no").where(F.col("dated") | (F.col("s") <= F.col("s2")))
+    loose = loose.withColumn("one", ~F.col("dated") & (F.col("s") == F.col("s2"))).select(*cols, "one")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                c = _cosines(r)
+                apart = np.abs(np.array(r.h, dtype=float)[:, None] - np.array(r.h2, dtype=float)[None])
+                i, j = np.nonzero((c >= least) & ~(apart > window))
+                a, b = np.array(r.k)[i], np.array(r.k2)[j]
+                keep = a < b if r.one else np.ones(len(i), dtype=bool)
+                yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[i, j][keep]})
+
+    return met.unionByName(loose).mapInPandas(compare, "a long, b long, cosine double")
 
 
 @F.pandas_udf(DoubleType())

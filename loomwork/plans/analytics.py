@@ -149,9 +149,18 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.components(_pairs(spark, sf_dir, 0.45).select("a", "b"))
 
 
+def _dated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return e.select(F.col("vec_id").alias("key"), F.when(F.col("vec_id") % 9 != 0, F.col("vec_id") * 7 % 400).cast("double").alias("hours"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def pairs_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.pairs_in_time(_dated_vectors(spark, sf_dir), "key", "v", "hours", 0.4, 72).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 def capped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("key"), F.when(F.col("vec_id") % 9 != 0, F.col("vec_id") * 7 % 400).cast("double").alias("hours"), F.col("embedding").cast("array<double>").alias("v"))
-    return A.capped_clusters(e, _pairs(spark, sf_dir, 0.42), 0.42, 0.05, 40, 168)
+    e = _dated_vectors(spark, sf_dir)
+    return A.capped_clusters(e, A.pairs_in_time(e, "key", "v", "hours", 0.42, 72), 0.42, 0.05, 40, 168)
 
 
 def independent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +244,7 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ranked_inbox, score_components, inbox_summary, evidence_state, keyword_topic, local_relation, interval_links, keyword_links, confusion_macro_f1,
-    cosine_pairs, nearest_neighbours, pair_precision_recall, components, capped_clusters, independent_sources, char_tfidf_top_terms, bm25_topk,
+    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, independent_sources, char_tfidf_top_terms, bm25_topk,
     hybrid_search, abstention_gate, keyword_coverage, figure_check, word_limits, cached_decisions, claim_citations,
 )}
 
@@ -270,6 +279,9 @@ _HYBRID = f"""WITH {V.SQL["news"]}, {_Q}, docs AS (SELECT id AS doc, title AS te
   SELECT query, doc, cosine, lexical, 0.6::DOUBLE * CASE WHEN s > 0 THEN cosine / s ELSE 0 END + 0.4::DOUBLE * CASE WHEN l > 0 THEN lexical / l ELSE 0 END AS score FROM j JOIN m USING (query)), tk AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS INT) AS rank FROM fu), top AS (SELECT * FROM tk WHERE rank <= 5)"""
 
+#: BM25 of whole questions over titles, for queries of other modules.
+_BM25_NEWS = f"""WITH {V.SQL["news"]}, {_Q}, docs AS (SELECT id AS doc, title AS text FROM news), {_bm25_sql("docs")}"""
+
 ORACLE = {
     "ranked_inbox": f"WITH {_SCORED_SQL}, r AS (SELECT CAST(row_number() OVER (ORDER BY tenths DESC, urgency DESC, id) AS INT) AS place, * FROM b) SELECT place, id, topic, band, tenths / 10 AS score, relevance, impact, urgency, novelty, evidence FROM r WHERE place <= 20",
     "score_components": f"WITH {_SCORED_SQL} SELECT id, topic, local, relevance, impact, urgency, novelty, evidence, tenths, band FROM b",
@@ -290,6 +302,8 @@ SELECT id, count(*) AS n, arg_min(quake_id, (-magnitude, t, quake_id)) AS strong
   FROM x, (SELECT DISTINCT truth AS l FROM x) GROUP BY l), f AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM s)
 SELECT CAST(label AS INT) AS label, CAST(tp AS BIGINT) AS tp, fp, fn, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) AS macro_f1 FROM f""",
     "cosine_pairs": f"WITH {_VEC} SELECT a, b, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.45",
+    "pairs_in_time": f"""WITH {_VEC}, t AS (SELECT vec_id, CASE WHEN vec_id % 9 <> 0 THEN vec_id * 7 % 400 END AS h FROM embeddings)
+SELECT a, b, round(cosine, 6) AS cosine FROM p JOIN t x ON x.vec_id = a JOIN t y ON y.vec_id = b WHERE cosine >= 0.4 AND (x.h IS NULL OR y.h IS NULL OR abs(x.h - y.h) <= 72)""",
     "nearest_neighbours": f"""WITH {_VEC}, s AS (SELECT a, b, cosine FROM p UNION ALL SELECT b, a, cosine FROM p), r AS (
   SELECT a AS vec_id, b AS neighbour, CAST(row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "pair_precision_recall": f"""WITH {_VEC}, h AS (SELECT count(*) FILTER (cosine >= 0.4 AND la = lb) AS tp, count(*) FILTER (cosine >= 0.4 AND la <> lb) AS fp FROM p), t AS (

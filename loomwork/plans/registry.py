@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("relational", "analytics", "editorial", "streams")
+_MODULES = ("relational", "analytics", "editorial", "inbox", "streams")
 
 
 def _modules():
