@@ -11,16 +11,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_right
+from operator import itemgetter
 
 import numpy as np
 
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
+_SPLIT = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\t-\r {_LETTERS}0-9]+")
 _CHUNK = re.compile(r"[^\t-\r ]+")
 _NONE = np.int32(2**31 - 1)
-#: Words kept per worker; when full, the words not asked for since the last time are dropped.
-CACHE = 50_000
+#: Words kept while a task runs; when full, the words not asked for since the last time are dropped.
+CACHE = 400_000
 
 
 def _byte_chars() -> list[str]:
@@ -108,18 +110,19 @@ class WordBpe:
         return done
 
     def _learn(self, words: list[str]) -> None:
-        coded = sorted(((w.encode(), w) for w in words), key=lambda x: len(x[0]))
-        for lo in range(0, len(coded), 8192):
-            part = coded[lo : lo + 8192]
-            while part:
-                most = max(8, len(part[0][0]) * 5 // 4)
-                k = next((i for i, x in enumerate(part) if len(x[0]) > most), len(part))
-                if len(part[0][0]) > 200:
-                    for _, w in part[:k]:
-                        self.cache[w] = self._whole(w)
-                else:
-                    self.cache.update(zip((x[1] for x in part[:k]), self._merge([x[0] for x in part[:k]]), strict=True))
-                part = part[k:]
+        coded = sorted(((len(raw := w.encode()), raw, w) for w in words), key=itemgetter(0))
+        sizes = [x[0] for x in coded]
+        lo = 0
+        while lo < len(coded):
+            # words of about equal length, 8192 at most
+            hi = min(lo + 8192, bisect_right(sizes, max(8, sizes[lo] * 5 // 4)))
+            part = coded[lo:hi]
+            if sizes[lo] > 200:
+                for _, _, w in part:
+                    self.cache[w] = self._whole(w)
+            else:
+                self.cache.update(zip((x[2] for x in part), self._merge([x[1] for x in part]), strict=True))
+            lo = hi
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -137,6 +140,10 @@ class WordBpe:
                 out.append((chunk,))
         return out
 
+    def forget(self) -> None:
+        """Drops the words kept, for what comes after in the same worker."""
+        self.cache, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
         cache = self.cache

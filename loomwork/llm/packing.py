@@ -69,7 +69,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
                 if with_ids:
                     cols, names = [*cols, pa.array(ids, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        bpe.old = {}
+        bpe.forget()
 
     return kernel
 
