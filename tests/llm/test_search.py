@@ -72,3 +72,36 @@ def test_hilbert_visits_neighbouring_cells():
     assert sorted(key) == list(range(512))
     path = grid[np.argsort(key)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_neighbours_recall_where_the_share_sets_the_reach(spark):
+    """20,000 vectors without any structure: the window is SHARE of them, past LEAST."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.SHARE * len(x) > ann.LEAST
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(d, F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for query in range(0, len(x), 100):
+        near = ((x.astype(float) - x[query]) ** 2).sum(axis=1)
+        near[query] = np.inf
+        hits += len(set(np.argsort(near, kind="stable")[:10].tolist()) & {g["vec_id"] for g in got if g["query_id"] == query})
+    assert len(got) == 2000 and hits / 2000 >= 0.9
+
+
+def test_search_skips_postings_and_shards():
+    """Less is traversed and probed than compared by brute force; short rows' shards are skipped; rows stay exact."""
+    r = np.random.default_rng(5)
+    w = np.floor(64 * r.normal(size=(6000, 64)) / 8).astype(np.int64)
+    w[4000:] //= 16
+    ids = np.arange(6000)
+    s = topk.Search(ids[:40] * 3, w[ids[:40] * 3], np.full(40, -np.inf), 20)
+    for lo in range(0, 6000, 1000):
+        s.visit(topk.Shard(ids[lo : lo + 1000], w[lo : lo + 1000]))
+    for q, own in enumerate(s.own):
+        scores = w @ w[own]
+        order = np.lexsort((ids, -scores))
+        order = order[order != own][:20]
+        assert s.best[q][0].tolist() == order.tolist() and s.best[q][1].tolist() == scores[order].tolist()
+    assert s.work.traversed + s.work.probed < 0.75 * s.work.everything and s.work.skipped >= 40
