@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -282,26 +282,70 @@ def independent_sources(members: DataFrame, least: float = 0.9) -> DataFrame:
 # ---- retrieval -------------------------------------------------------------------------------------------------
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """(query, doc, score) of all hits: Okapi BM25 over folded white-space tokens, from a postings table.
+#: Folders of a written index; a term's folder is its hash, so that a question opens those of its terms only.
+FOLDERS = 64
 
-    docs (doc, text), queries (query, text). Negative idf values become `floor` times the mean idf. Only postings
-    of query terms reach the scoring join; a repeated query token counts each time.
-    """
-    long = docs.select("doc", F.explode(T.tokens(F.col("text"))).alias("term"))
-    tf = long.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.select("doc", F.size(T.tokens(F.col("text"))).alias("dl"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total.select("n")))
-    raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, doc, tf, dl): the postings of docs (doc, text) over folded white-space tokens, with the documents' lengths."""
+    words = docs.select("doc", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_weights(docs: DataFrame, index: DataFrame, floor: float = 0.25) -> DataFrame:
+    """(term, idf, avgdl) of an index of docs; negative idf values become `floor` times the mean idf."""
+    total = docs.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
+    raw = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")).join(idf, "term")
-    hits = tf.join(asked, "term").join(length, "doc").join(F.broadcast(total.select("avgdl")))
+    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _scored(index: DataFrame, weights: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+    hits = index.join(asked.join(weights, "term"), "term")
     gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query", "doc").agg(F.sum(gain).alias("score"))
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """(query, doc, score) of all hits: Okapi BM25 of queries (query, text) against docs (doc, text), indexed for this call.
+
+    Only postings of query terms reach the scoring join; a repeated query token counts each time.
+    """
+    index = postings(docs)
+    return _scored(index, term_weights(docs, index, floor), _asked(queries), k1, b)
+
+
+def _folder(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, floor: float = 0.25) -> None:
+    """The postings and weights of docs as tables by folders of terms, for any number of bm25_indexed() calls.
+
+    Postings are dealt by ranges of (folder, doc), so that a very common term is spread over several tasks and files.
+    """
+    spark = docs.sparkSession
+    rows = postings(docs).withColumn("folder", _folder("term"))
+    rows.repartitionByRange("folder", "doc").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
+    index = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    weights = term_weights(docs, index, floor).withColumn("folder", _folder("term"))
+    weights.repartition("folder").write.partitionBy("folder").parquet(f"{path}/weights")
+
+
+def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25() from a written index: reads the folders of the queries' terms only (at most FOLDERS numbers come to the driver)."""
+    asked = _asked(queries)
+    met = [r[0] for r in asked.select(_folder("term")).distinct().collect()]
+    read = lambda name, shape: spark.read.schema(f"{shape}, folder int").parquet(f"{path}/{name}").where(F.col("folder").isin(met)).drop("folder")
+    doc = spark.read.parquet(f"{path}/postings").schema["doc"].dataType.simpleString()
+    return _scored(read("postings", f"term string, doc {doc}, dl int, tf long"), read("weights", "term string, idf double, avgdl double"), asked, k1, b)
+
+
 def fuse(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.6) -> DataFrame:
     """(query, doc, score, cosine, lexical): alpha * semantic / max + (1 - alpha) * lexical / max, maxima by query."""
     both = semantic.join(lexical.withColumnRenamed("score", "lex"), ["query", "doc"], "full_outer").select("query", "doc", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("lex", F.lit(0.0)).alias("lex"))

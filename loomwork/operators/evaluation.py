@@ -56,6 +56,34 @@ def answer_problems(questions: DataFrame, given: DataFrame) -> DataFrame:
     return q.select("id", F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda p: p.isNotNull()).alias("problems"))
 
 
+def answer_schema(questions: dict[str, tuple[str, ...] | int | None]) -> dict:
+    """The JSON schema of answers to questions by id: options of a choice, a number of levels of a score, or None for yes or no."""
+    rules = {}
+    for key, allowed in questions.items():
+        match allowed:
+            case None:
+                rules[key] = {"type": "boolean"}
+            case int(levels):
+                rules[key] = {"type": "integer", "enum": [*range(levels)]}
+            case options:
+                rules[key] = {"type": "string", "enum": [*options]}
+    return {"type": "object", "properties": rules, "required": [*rules], "additionalProperties": False}
+
+
+def chosen_topics(by_words: DataFrame, decided: DataFrame) -> DataFrame:
+    """(key, topic, method, confidence, fallback): the decided topic, else that of the keywords and why.
+
+    by_words: (key, topic). decided: (key, option, confidence, reason), one row for each key that was asked; a null
+    option is an abstention, whose reason is `no_answer` where none is given. Keys that were not asked have no reason.
+    """
+    x = by_words.join(decided.withColumn("asked", F.lit(True)), "key", "left")
+    given = F.col("option").isNotNull()
+    return x.select(
+        "key", F.coalesce("option", "topic").alias("topic"), F.when(given, "decision").otherwise("words").alias("method"), F.when(given, F.col("confidence")).alias("confidence"),
+        F.when(~given & F.col("asked"), F.coalesce("reason", F.lit("no_answer"))).alias("fallback"),
+    )
+
+
 def normalised(level: Column, levels: Column) -> Column:
     """A score's level as a share of the highest, within 0 and 1."""
     return F.when(levels > 1, F.least(F.greatest(level / (levels - 1), F.lit(0.0)), F.lit(1.0)))

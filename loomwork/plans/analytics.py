@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import numeric as N
 from loomwork.functions import text as T
 from loomwork.operators import analytics as A
+from loomwork.operators import evaluation as X
 from loomwork.operators import relational as R
 from loomwork.sources import views as V
 
@@ -95,6 +96,14 @@ def keyword_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", A.topic_of(T.fold(F.col("text")), TOPICS).alias("topic"))
 
 
+def topic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of documents where a classifier answered two of three, and abstained on some of those."""
+    words = keyword_topic(spark, sf_dir).withColumnRenamed("doc_id", "key")
+    d = V.table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("option"))
+    decided = d.select("key", "option", F.lit(0.9).alias("confidence"), F.when(F.col("key") % 2 == 0, "timeout").alias("reason"))
+    return X.chosen_topics(words, decided)
+
+
 def local_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = V.web_news(spark, sf_dir)
     return w.select("page_id", A.local_relation(T.fold(F.col("title")), T.host(F.col("url")), ("is", "der", "de"), (".therha.example.com", "ththre.example.com")).alias("why"))
@@ -243,7 +252,7 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ranked_inbox, score_components, inbox_summary, evidence_state, keyword_topic, local_relation, interval_links, keyword_links, confusion_macro_f1,
+    ranked_inbox, score_components, inbox_summary, evidence_state, keyword_topic, topic_choice, local_relation, interval_links, keyword_links, confusion_macro_f1,
     cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, independent_sources, char_tfidf_top_terms, bm25_topk,
     hybrid_search, abstention_gate, keyword_coverage, figure_check, word_limits, cached_decisions, claim_citations,
 )}
@@ -289,6 +298,9 @@ ORACLE = {
     "evidence_state": f"""WITH {V.SQL["news"]}, g AS (SELECT id % 97 AS event, count(DISTINCT outlet) AS n_sources, max(CAST(id % 5 = 0 AS INT)) AS official, count(*) FILTER (pub_ts IS NULL) AS pending FROM news GROUP BY 1)
 SELECT event, n_sources, CASE WHEN n_sources < 2 AND official = 0 THEN 'insufficient' WHEN n_sources >= 2 AND pending = 0 THEN 'sufficient' ELSE 'partial' END AS state FROM g""",
     "keyword_topic": f"WITH f AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents) SELECT doc_id, {_TOPIC_SQL} AS topic FROM f",
+    "topic_choice": f"""WITH f AS (SELECT doc_id, lang, lower(strip_accents(text)) AS t FROM documents), w AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN lang END AS option, {_TOPIC_SQL} AS topic FROM f)
+SELECT key, coalesce(option, topic) AS topic, CASE WHEN option IS NULL THEN 'words' ELSE 'decision' END AS method, CASE WHEN option IS NOT NULL THEN CAST(0.9 AS DOUBLE) END AS confidence,
+  CASE WHEN option IS NULL AND key % 3 < 2 THEN CASE WHEN key % 2 = 0 THEN 'timeout' ELSE 'no_answer' END END AS fallback FROM w""",
     "local_relation": f"""WITH {V.SQL["web_news"]}, {V.SQL["url"]}, f AS (SELECT page_id, lower(strip_accents(w.title)) AS t, k.host FROM web_news w JOIN keyed k USING (page_id))
 SELECT page_id, CASE {" ".join(f"WHEN {_is(w)} THEN 'word:{w}'" for w in ("is", "der", "de"))} WHEN host LIKE '%.therha.example.com' THEN 'domain:.therha.example.com'
   WHEN host = 'ththre.example.com' OR host LIKE '%.ththre.example.com' THEN 'domain:ththre.example.com' END AS why FROM f""",

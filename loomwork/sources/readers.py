@@ -112,6 +112,47 @@ def feed(spark: SparkSession, path: str, outlet: str, kind: str = "item", exclud
     return rows.where(~T.is_null_token(F.col("title")) & ~T.is_null_token(F.col("url"))).withColumn("excluded", skip).withColumn("published_ts", T.utc_time(F.col("published")))
 
 
+def language(spark: SparkSession, path: str, default: str) -> str:
+    """The language a feed states of itself: its channel's element, else the attribute of its root, else `default`."""
+    said = spark.read.format("xml").option("rowTag", "channel").schema("language string").load(path).where("trim(language) <> ''").first()
+    if said:
+        return said["language"].strip()
+    for root in ("rss", "feed", "rdf:RDF"):
+        own = spark.read.format("xml").option("rowTag", root).schema("`_xml:lang` string").load(path).where("`_xml:lang` <> ''").first()
+        if own:
+            return own[0]
+    return default
+
+
+def sitemap(spark: SparkSession, path: str, outlet: str, excluded: tuple[str, ...] = (), month: str | None = None) -> DataFrame:
+    """feed() of a sitemap; an address without a date takes its lastmod, in `month` (yyyy-mm, a day to either side) if given.
+
+    `from_lastmod` marks such dates. An index of sitemaps is an error: its children are what to read.
+    """
+    if spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).where("loc is not null").first():
+        raise ValueError(f"{path} is an index of sitemaps")
+    rows = feed(spark, path, outlet, "url", excluded)
+    changed = T.utc_time(F.col("lastmod"))
+    if month:
+        first = F.lit(f"{month}-01").cast("date")
+        changed = F.when((changed >= F.date_sub(first, 1).cast("timestamp")) & (changed < F.date_add(F.add_months(first, 1), 1).cast("timestamp")), changed)
+    instead = F.col("published_ts").isNull() & changed.isNotNull()
+    return rows.withColumn("from_lastmod", instead).withColumn("published_ts", F.coalesce("published_ts", changed))
+
+
+def months(window: DataFrame, last: int) -> DataFrame:
+    """(month) yyyy-mm of the months that a window (start, end), end excluded, touches; the newest `last` of them."""
+    final = F.col("end") - F.expr("interval 1 microsecond")
+    every = F.sequence(F.trunc("start", "month"), F.trunc(final, "month"), F.expr("interval 1 month"))
+    return window.where("start < end").select(F.explode(every).alias("m")).distinct().orderBy(F.desc("m")).limit(last).select(F.date_format("m", "yyyy-MM").alias("month"))
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """(key, answer): the latest stored decision of each key; damaged lines count as absent."""
+    rows = spark.read.schema("key string, answer double, at timestamp").json(path).where("key is not null and answer is not null")
+    return rows.groupBy("key").agg(F.max_by("answer", F.struct("at", "answer")).alias("answer"))
+
+
 def groups(spark: SparkSession, path: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, warnings) of a group file: one JSON object a line with group_id and ids; an id belongs to its first group."""
     raw = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")

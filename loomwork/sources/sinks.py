@@ -22,6 +22,11 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def store_decisions(df: DataFrame, path: str) -> None:
+    """Decisions (key, answer, at) appended to a store that readers.decisions() reads; the committer leaves no halves."""
+    df.select("key", "answer", "at").write.mode("append").json(path)
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str, path: str) -> None:
     """The next version of a keyed table: new rows replace those of their key; the old version stays as it is."""
     kept = current.join(new.select(key), key, "left_anti")

@@ -101,3 +101,22 @@ def test_problems_of_answers(spark):
     g = spark.createDataFrame([(1, "c"), (2, "4"), (3, "1.5"), (4, "0.5"), (6, "maybe"), (9, "a")], "id long, value string")
     got = {r["id"]: r["problems"] for r in X.answer_problems(q, g).collect()}
     assert got == {1: ["unknown_option"], 2: ["range"], 3: ["range"], 4: ["type"], 5: ["missing"], 6: ["type"], 9: ["extra"]}
+
+
+def test_written_index_answers_like_bm25(spark, tmp_path):
+    texts = [(i, None if i == 3 else "" if i == 4 else " ".join(f"w{(i * j) % 11}" for j in range(1, 3 + i % 5)) + " common") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    asked = spark.createDataFrame([(1, "w1 W1 common"), (2, "w7 unheard"), (3, ""), (4, None)], "query long, text string")
+    A.write_index(docs, str(tmp_path / "index"))
+    got, want = ({(r["query"], r["doc"]): round(r["score"], 9) for r in x.collect()} for x in (A.bm25_indexed(spark, str(tmp_path / "index"), asked), A.bm25(docs, asked)))
+    assert got == want and {q for q, _ in got} == {1, 2}
+    assert A.bm25_indexed(spark, str(tmp_path / "index"), asked.where("query = 3")).collect() == []
+
+
+def test_chosen_topics_and_schema(spark):
+    words = spark.createDataFrame([(k, "w") for k in range(4)], "key long, topic string")
+    decided = spark.createDataFrame([(0, "d", 0.8, None), (1, None, None, "budget"), (2, None, 0.1, None)], "key long, option string, confidence double, reason string")
+    got = [tuple(r) for r in X.chosen_topics(words, decided).orderBy("key").collect()]
+    assert got == [(0, "d", "decision", 0.8, None), (1, "w", "words", None, "budget"), (2, "w", "words", None, "no_answer"), (3, "w", "words", None, None)]
+    schema = X.answer_schema({"t": ("a", "b"), "s": 3, "y": None})
+    assert schema["required"] == ["t", "s", "y"] and schema["properties"]["s"] == {"type": "integer", "enum": [0, 1, 2]} and schema["properties"]["y"] == {"type": "boolean"}

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.sources import readers, sinks
@@ -94,3 +95,38 @@ def test_upsert_and_redaction(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 1), ("b", 3)}
     raw = spark.createDataFrame([("x", {"v": "1", "w": "2"})], "k string, raw map<string,string>")
     assert sinks.redacted(raw, ("v",), "raw").first()["raw"] == {"w": "2"}
+
+
+def test_sitemap_dates(spark, tmp_path):
+    url = "<url><loc>https://x.org/{0}</loc>{1}<image:image><image:title>T {0}</image:title></image:image></url>"
+    rows = [url.format("a", "<lastmod>2026-09-30T12:00:00Z</lastmod>"), url.format("b", "<lastmod>2026-08-30T23:00:00Z</lastmod>"), url.format("c", "<lastmod>2026-10-01T12:00:00Z</lastmod>"), url.format("d", "")]
+    head = '<urlset xmlns="http://s" xmlns:image="http://i">'
+    (tmp_path / "s.xml").write_text(head + "".join(rows) + "</urlset>")
+    got = {r["url"][-1]: (r["from_lastmod"], str(r["published_ts"])) for r in readers.sitemap(spark, str(tmp_path / "s.xml"), "X", month="2026-09").collect()}
+    assert got == {"a": (True, "2026-09-30 12:00:00"), "b": (False, "None"), "c": (True, "2026-10-01 12:00:00"), "d": (False, "None")}
+    (tmp_path / "i.xml").write_text('<sitemapindex xmlns="http://s"><sitemap><loc>https://x.org/s.xml</loc></sitemap></sitemapindex>')
+    with pytest.raises(ValueError):
+        readers.sitemap(spark, str(tmp_path / "i.xml"), "X")
+
+
+def test_language_of_feeds(spark, tmp_path):
+    item = "<item><title>One</title><link>https://x.org/1</link></item>"
+    (tmp_path / "a.xml").write_text(f"<rss><channel><language>es-PA</language>{item}</channel></rss>")
+    (tmp_path / "b.xml").write_text(f'<rdf:RDF xmlns:rdf="http://r" xml:lang="en"><channel><title>c</title></channel>{item}</rdf:RDF>')
+    (tmp_path / "c.xml").write_text(f"<rss><channel>{item}</channel></rss>")
+    assert [readers.language(spark, str(tmp_path / f"{k}.xml"), "fr") for k in "abc"] == ["es-PA", "en", "fr"]
+    assert [r["title"] for r in readers.feed(spark, str(tmp_path / "b.xml"), "X").collect()] == ["One"]
+
+
+def test_months(spark):
+    w = spark.sql("select timestamp'2026-07-31 10:00:00' as start, timestamp'2026-10-01 00:00:00' as end")
+    assert [r[0] for r in readers.months(w, 9).collect()] == ["2026-09", "2026-08", "2026-07"]
+    assert [r[0] for r in readers.months(w, 2).collect()] == ["2026-09", "2026-08"]
+
+
+def test_decision_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for answer, at in ((0.2, "2026-01-01"), (0.7, "2026-01-02")):
+        sinks.store_decisions(spark.sql(f"select 'a' as key, double({answer}) as answer, timestamp'{at}' as at"), path)
+    (tmp_path / "store" / "broken.json").write_text('{"key": "b", "ans\n{"key": "c"}\n')
+    assert [tuple(r) for r in readers.decisions(spark, path).collect()] == [("a", 0.7)]
