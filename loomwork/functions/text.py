@@ -199,3 +199,40 @@ def number_text(c: Column) -> Column:
 def json_payload(c: Column) -> Column:
     """The JSON of an answer that may be fenced."""
     return F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+
+
+def utc_text(c: Column) -> Column:
+    """A time as canonical text in UTC, to the second."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def custom_time(c: Column, pattern: str, zone: str = "UTC") -> Column:
+    """A time written in a source's own pattern (without zone) and zone; a weekday before it is passed over; null if unreadable."""
+    return F.to_utc_timestamp(F.try_to_timestamp(F.regexp_replace(strip(c), r"^\p{L}+\.?,\s*", ""), F.lit(pattern)), zone)
+
+
+def annotated(text: Column, notes: Column) -> Column:
+    """The text with [a1] written as [a1: note] where the map has a note; notes themselves are not searched for marks."""
+    marks = F.regexp_extract_all(text, F.lit(r"\[(a\d+)\]"), F.lit(1))
+
+    def piece(part: Column, i: Column) -> Column:
+        mark = F.get(marks, i)
+        return F.concat(part, F.coalesce(F.concat(F.lit("["), mark, F.coalesce(F.concat(F.lit(": "), notes[mark]), F.lit("")), F.lit("]")), F.lit("")))
+
+    return F.array_join(F.transform(F.split(text, r"\[a\d+\]", -1), piece), "")
+
+
+def canonical_key(fields: Column) -> Column:
+    """sha256 of a map as compact JSON with sorted keys: equal for equal maps in any order of their entries."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields)))), 256)
+
+
+def cited_indicator(name: Column, country: Column, year: Column, value: Column, unit: Column) -> Column:
+    """`name, country, year: value unit`; a year without a value is said to have none."""
+    said = F.when(value.isNull(), F.lit("no published value")).otherwise(F.concat_ws(" ", number_text(value), unit))
+    return F.concat(F.concat_ws(", ", name, country, year.cast("string")), F.lit(": "), said)
+
+
+def cited_quake(magnitude: Column, place: Column, at: Column) -> Column:
+    """`M magnitude, place, time`, leaving out what is null."""
+    return F.concat_ws(", ", F.concat(F.lit("M "), number_text(magnitude)), place, utc_text(at))

@@ -85,3 +85,35 @@ def adaptive_chunks(start: int, end: int, count, most: int = 250, least: int = 6
         if n < most // 2:
             size = min(first, size * 2)
     return out
+
+
+def evidence_fields(names: dict[str, Column]) -> Column:
+    """A map of the fields that may be cited, without those that are null or blank."""
+    every = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[c.cast("string") for c in names.values()]))
+    return F.map_filter(every, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
+
+
+def claim_pairs(claims: DataFrame, evidence: DataFrame, seed: int = 7) -> DataFrame:
+    """(pair, case, claim, text, evidence_id, evidence): one row for each citation of a claim, for blind labelling.
+
+    claims: (case, claim, text, cited array), evidence: (id, evidence). No verdict is carried; `pair` is a hash of the
+    citation and the seed, and the order to label in. Citations of unknown evidence have a null text; repeated ones count once.
+    """
+    one = claims.select("case", "claim", "text", F.explode(F.array_distinct("cited")).alias("evidence_id"))
+    pair = F.md5(F.concat_ws("|", F.lit(seed), "case", "claim", "evidence_id"))
+    return one.join(evidence.withColumnRenamed("id", "evidence_id"), "evidence_id", "left").select(pair.alias("pair"), "case", "claim", "text", "evidence_id", "evidence")
+
+
+def editor_sample(ranked: DataFrame, n: int = 15, seed: int = 7) -> DataFrame:
+    """(place, key, title) of the n first rows (key, title, rank) in an order that tells nothing of rank or score."""
+    top = ranked.orderBy("rank", "key").limit(n)
+    return top.select(F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "key")), "key")).alias("place"), "key", "title")
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """Tables of measures as one, with a column `section`; columns that a section lacks are null."""
+    out = None
+    for name, df in sections.items():
+        one = df.withColumn("section", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import numeric as N
@@ -84,6 +84,23 @@ def chosen_topics(by_words: DataFrame, decided: DataFrame) -> DataFrame:
     )
 
 
+def decision_summary(chosen: DataFrame, reasons: int = 5) -> DataFrame:
+    """(part, value, n, cost): rows and cost by topic and by method, and the commonest reasons of fallbacks."""
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(c).alias("value")) for p, c in (("topic", "topic"), ("method", "method"), ("fallback", "fallback"))])
+    g = chosen.select(F.explode(parts).alias("p"), "cost").where("p.value is not null").groupBy("p.part", "p.value").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    order = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "value"))
+    return g.withColumn("_i", order).where((F.col("part") != "fallback") | (F.col("_i") <= reasons)).drop("_i")
+
+
+def call_measures(calls: DataFrame) -> DataFrame:
+    """(task, n, n_failed, median, mean, attempts, cost) of logged calls (task, ok, latency, attempts, cost); latencies of good ones only."""
+    good = F.when(F.col("ok"), F.col("latency"))
+    return calls.groupBy("task").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("n_failed"), F.round(F.median(good), 6).alias("median"), F.round(F.avg(good), 6).alias("mean"),
+        F.sum("attempts").alias("attempts"), F.sum("cost").alias("cost"),
+    )
+
+
 def normalised(level: Column, levels: Column) -> Column:
     """A score's level as a share of the highest, within 0 and 1."""
     return F.when(levels > 1, F.least(F.greatest(level / (levels - 1), F.lit(0.0)), F.lit(1.0)))

@@ -104,6 +104,16 @@ def topic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chosen_topics(words, decided)
 
 
+def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priced = topic_choice(spark, sf_dir).withColumn("cost", F.when(F.col("method") == "decision", F.col("key") % 7).otherwise(0))
+    return X.decision_summary(priced, 1)
+
+
+def call_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.table(spark, sf_dir, "conversations").where("text is not null")
+    return X.call_measures(c.select(F.col("role").alias("task"), (F.col("turn") % 4 != 3).alias("ok"), F.length("text").alias("latency"), (F.col("turn") % 2 + 1).alias("attempts"), (F.col("conv_id") % 5).alias("cost")))
+
+
 def local_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = V.web_news(spark, sf_dir)
     return w.select("page_id", A.local_relation(T.fold(F.col("title")), T.host(F.col("url")), ("is", "der", "de"), (".therha.example.com", "ththre.example.com")).alias("why"))
@@ -252,7 +262,7 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ranked_inbox, score_components, inbox_summary, evidence_state, keyword_topic, topic_choice, local_relation, interval_links, keyword_links, confusion_macro_f1,
+    ranked_inbox, score_components, inbox_summary, evidence_state, keyword_topic, topic_choice, decision_summary, call_measures, local_relation, interval_links, keyword_links, confusion_macro_f1,
     cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, independent_sources, char_tfidf_top_terms, bm25_topk,
     hybrid_search, abstention_gate, keyword_coverage, figure_check, word_limits, cached_decisions, claim_citations,
 )}
@@ -291,6 +301,9 @@ _HYBRID = f"""WITH {V.SQL["news"]}, {_Q}, docs AS (SELECT id AS doc, title AS te
 #: BM25 of whole questions over titles, for queries of other modules.
 _BM25_NEWS = f"""WITH {V.SQL["news"]}, {_Q}, docs AS (SELECT id AS doc, title AS text FROM news), {_bm25_sql("docs")}"""
 
+_CHOICE_SQL = f"""WITH f AS (SELECT doc_id, lang, lower(strip_accents(text)) AS t FROM documents), w AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN lang END AS option, {_TOPIC_SQL} AS topic FROM f)
+SELECT key, coalesce(option, topic) AS topic, CASE WHEN option IS NULL THEN 'words' ELSE 'decision' END AS method, CASE WHEN option IS NOT NULL THEN CAST(0.9 AS DOUBLE) END AS confidence,
+  CASE WHEN option IS NULL AND key % 3 < 2 THEN CASE WHEN key % 2 = 0 THEN 'timeout' ELSE 'no_answer' END END AS fallback FROM w"""
 ORACLE = {
     "ranked_inbox": f"WITH {_SCORED_SQL}, r AS (SELECT CAST(row_number() OVER (ORDER BY tenths DESC, urgency DESC, id) AS INT) AS place, * FROM b) SELECT place, id, topic, band, tenths / 10 AS score, relevance, impact, urgency, novelty, evidence FROM r WHERE place <= 20",
     "score_components": f"WITH {_SCORED_SQL} SELECT id, topic, local, relevance, impact, urgency, novelty, evidence, tenths, band FROM b",
@@ -298,9 +311,13 @@ ORACLE = {
     "evidence_state": f"""WITH {V.SQL["news"]}, g AS (SELECT id % 97 AS event, count(DISTINCT outlet) AS n_sources, max(CAST(id % 5 = 0 AS INT)) AS official, count(*) FILTER (pub_ts IS NULL) AS pending FROM news GROUP BY 1)
 SELECT event, n_sources, CASE WHEN n_sources < 2 AND official = 0 THEN 'insufficient' WHEN n_sources >= 2 AND pending = 0 THEN 'sufficient' ELSE 'partial' END AS state FROM g""",
     "keyword_topic": f"WITH f AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents) SELECT doc_id, {_TOPIC_SQL} AS topic FROM f",
-    "topic_choice": f"""WITH f AS (SELECT doc_id, lang, lower(strip_accents(text)) AS t FROM documents), w AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN lang END AS option, {_TOPIC_SQL} AS topic FROM f)
-SELECT key, coalesce(option, topic) AS topic, CASE WHEN option IS NULL THEN 'words' ELSE 'decision' END AS method, CASE WHEN option IS NOT NULL THEN CAST(0.9 AS DOUBLE) END AS confidence,
-  CASE WHEN option IS NULL AND key % 3 < 2 THEN CASE WHEN key % 2 = 0 THEN 'timeout' ELSE 'no_answer' END END AS fallback FROM w""",
+    "topic_choice": _CHOICE_SQL,
+    "decision_summary": f"""WITH c AS ({_CHOICE_SQL}), p AS (SELECT *, CASE WHEN method = 'decision' THEN key % 7 ELSE 0 END AS cost FROM c), g AS (
+  SELECT 'topic' AS part, topic AS value, cost FROM p UNION ALL SELECT 'method', method, cost FROM p UNION ALL SELECT 'fallback', fallback, cost FROM p), s AS (
+  SELECT part, value, count(*) AS n, CAST(sum(cost) AS BIGINT) AS cost FROM g WHERE value IS NOT NULL GROUP BY ALL)
+SELECT * FROM s QUALIFY part <> 'fallback' OR row_number() OVER (PARTITION BY part ORDER BY n DESC, value) <= 1""",
+    "call_measures": """SELECT role AS task, count(*) AS n, count(*) FILTER (turn % 4 = 3) AS n_failed, round(median(length(text)) FILTER (turn % 4 <> 3), 6) AS median, round(avg(length(text)) FILTER (turn % 4 <> 3), 6) AS mean,
+  CAST(sum(turn % 2 + 1) AS BIGINT) AS attempts, CAST(sum(conv_id % 5) AS BIGINT) AS cost FROM conversations WHERE text IS NOT NULL GROUP BY role""",
     "local_relation": f"""WITH {V.SQL["web_news"]}, {V.SQL["url"]}, f AS (SELECT page_id, lower(strip_accents(w.title)) AS t, k.host FROM web_news w JOIN keyed k USING (page_id))
 SELECT page_id, CASE {" ".join(f"WHEN {_is(w)} THEN 'word:{w}'" for w in ("is", "der", "de"))} WHEN host LIKE '%.therha.example.com' THEN 'domain:.therha.example.com'
   WHEN host = 'ththre.example.com' OR host LIKE '%.ththre.example.com' THEN 'domain:ththre.example.com' END AS why FROM f""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions import text as T
 from loomwork.operators import editorial as E
 from loomwork.plans.analytics import _SCORED_SQL, cosine_pairs, scored
 from loomwork.plans.analytics import ORACLE as _A
@@ -65,7 +66,27 @@ def news_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", F.row_number().over(order).alias("newest_first"), F.row_number().over(first).alias("undated_first"))
 
 
-QUERIES = {f.__name__: f for f in (recommended_actions, outlet_display_names, case_verdicts, news_by_local_day, reference_instant, recirculated_groups, label_pairs, claim_checks, news_order)}
+def claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of conversations with the two benchmark items they cite."""
+    c = V.table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    claims = c.select(F.col("conv_id").alias("case"), F.col("turn").alias("claim"), "text", F.array(F.col("conv_id") % 40, F.col("turn") % 40).alias("cited")).distinct()
+    items = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("evidence"))
+    return E.claim_pairs(claims, items)
+
+
+def editor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 longest titles, in an order that hides their lengths; the limit is the feature."""
+    n = V.news(spark, sf_dir).where("title is not null").select(F.col("id").alias("key"), "title", (-F.length("title")).alias("rank"))
+    return E.editor_sample(n, 15)
+
+
+def citation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be cited of pages, and its key."""
+    e = V.table(spark, sf_dir, "pages").select("page_id", E.evidence_fields({"url": F.col("url"), "even": F.when(F.col("page_id") % 2 == 0, F.lit("yes")), "blank": F.lit(" ")}).alias("f"))
+    return e.select("page_id", F.size("f").alias("n"), T.canonical_key(F.col("f")).alias("key"))
+
+
+QUERIES = {f.__name__: f for f in (recommended_actions, outlet_display_names, case_verdicts, news_by_local_day, reference_instant, recirculated_groups, label_pairs, claim_checks, news_order, claim_pairs, editor_sample, citation_fields)}
 
 _FIG = r"list_sort(list_distinct(list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)*'), lambda x: CASE WHEN ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') = '' THEN '0' ELSE ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') END)))"
 ORACLE = {
@@ -90,4 +111,10 @@ SELECT "case", claim, array_to_string(list_filter([CASE WHEN n > 1 THEN 'duplica
   CASE WHEN len(regexp_extract_all(regexp_replace(lower(strip_accents(text)), '\[a\d+\]', ' ', 'g'), '[a-z0-9_]+')) > 80 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS reasons FROM j""",
     "news_order": f"""WITH {V.SQL["news"]} SELECT id, CAST(row_number() OVER (PARTITION BY outlet ORDER BY pub_ts DESC NULLS LAST, id) AS INT) AS newest_first,
   CAST(row_number() OVER (PARTITION BY outlet ORDER BY pub_ts ASC NULLS FIRST, id) AS INT) AS undated_first FROM news""",
+    "claim_pairs": """WITH c AS (SELECT DISTINCT conv_id AS "case", turn AS claim, text, unnest(list_distinct([conv_id % 40, turn % 40])) AS evidence_id FROM conversations WHERE role = 'assistant')
+SELECT md5('7|' || "case" || '|' || claim || '|' || evidence_id) AS pair, "case", claim, c.text, evidence_id, b.text AS evidence FROM c LEFT JOIN benchmark b ON b.item_id = c.evidence_id""",
+    "editor_sample": f"""WITH {V.SQL["news"]}, t AS (SELECT id, title FROM news WHERE title IS NOT NULL ORDER BY length(title) DESC, id LIMIT 15)
+SELECT CAST(row_number() OVER (ORDER BY md5('7|' || id), id) AS INT) AS place, id AS key, title FROM t""",
+    "citation_fields": """SELECT page_id, CAST((url IS NOT NULL AND trim(url) <> '')::INT + (page_id % 2 = 0)::INT AS INT) AS n,
+  sha256('{' || array_to_string(list_filter([CASE WHEN page_id % 2 = 0 THEN '"even":"yes"' END, CASE WHEN trim(url) <> '' THEN '"url":' || CAST(to_json(url) AS VARCHAR) END], lambda x: x IS NOT NULL), ',') || '}') AS key FROM pages""",
 }

@@ -42,7 +42,13 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drain(e)
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_weekly_sliding, stream_sessions, stream_latest_state, stream_first_seen)}
+def stream_cached_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = V.table(spark, sf_dir, "conversations").where("length(text) % 3 = 0").select(F.sha2("text", 256).alias("key"), (F.length("text") % 100).alias("answer")).distinct()
+    asked = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("key"))
+    return S.drain(S.cached(asked, cache).select("conv_id", "turn", "origin", "answer"))
+
+
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_weekly_sliding, stream_sessions, stream_latest_state, stream_first_seen, stream_cached_decisions)}
 
 ORACLE = {
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -52,4 +58,6 @@ ORACLE = {
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
     "stream_latest_state": "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_cached_decisions": """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'cache' ELSE 'open' END AS origin, CAST(CASE WHEN length(text) % 3 = 0 THEN length(text) % 100 END AS INT) AS answer
+FROM conversations""",
 }

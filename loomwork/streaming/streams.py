@@ -21,6 +21,17 @@ def read(spark: SparkSession, path: str, schema, files_per_trigger: int | None =
     return r.option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name.replace('.parquet', '')}*.parquet")
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of JSON lines that sinks.append_log() grows, as a stream; lines that do not parse are null in every column."""
+    return spark.readStream.schema(schema).json(path)
+
+
+def cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """A stream of questions (key, ...) with their cached answer and its origin; `cache` (key, answer) has one row a key."""
+    known = cache.select("key", "answer", F.lit(True).alias("_known"))
+    return asked.join(known, "key", "left").withColumn("origin", F.when(F.col("_known"), "cache").otherwise("open")).drop("_known")
+
+
 def tumbling(events: DataFrame, time: str, late: str, width: str, *by: str) -> DataFrame:
     """Counts per window and key; rows later than `late` behind the newest are not waited for."""
     stamped = events.withColumn("_t", F.col(time).cast("timestamp"))

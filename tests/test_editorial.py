@@ -29,3 +29,8 @@ def test_pair_sample_fills_from_other_strata(spark):
     pairs = spark.createDataFrame([(i, i + 1, "big") for i in range(20)] + [(100, 101, "small")], "a long, b long, stratum string")
     got = E.pair_strata(pairs, 3).collect()
     assert len(got) == 6 and sum(r["stratum"] == "small" for r in got) == 1
+
+
+def test_report_keeps_sections_apart(spark):
+    a, b = spark.sql("select 'x' as measure, 1 as n"), spark.sql("select 'y' as measure, 0.5D as share")
+    assert sorted(map(tuple, E.report({"one": a, "two": b}).select("section", "measure", "n", "share").collect())) == [("one", "x", 1, None), ("two", "y", None, 0.5)]

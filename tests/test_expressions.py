@@ -78,3 +78,16 @@ def test_abstention(spark):
     rows = [("below", 1, 0.1, 1.0), ("margin", 1, 0.5, 0.0), ("margin", 2, 0.45, 0.0), ("clear", 1, 0.5, 0.0), ("clear", 2, 0.3, 0.0), ("lexical", 1, 0.5, 2.0), ("lexical", 2, 0.5, 0.0)]
     got = A.abstention(spark.createDataFrame(rows, "query string, rank int, cosine double, lexical double"))
     assert {tuple(r) for r in got.collect()} == {("below", "below_floor"), ("margin", "no_margin"), ("clear", "answer"), ("lexical", "answer")}
+
+
+def test_citations_marks_and_keys(spark):
+    row = spark.sql("select 'A [a1] and [a2], [a1].' as t, map('a1', 'see [a2]') as notes, map('x', '1', 'y', null) as m, map('y', null, 'x', '1') as w")
+    got = row.select(T.annotated(F.col("t"), F.col("notes")).alias("t"), (T.canonical_key(F.col("m")) == T.canonical_key(F.col("w"))).alias("same")).first()
+    assert tuple(got) == ("A [a1: see [a2]] and [a2], [a1: see [a2]].", True)
+    time = lambda c: T.utc_text(T.custom_time(F.lit(c), "dd/MM/yyyy HH:mm", "America/Panama"))
+    assert tuple(spark.range(1).select(time("lunes, 21/09/2026 22:30"), time("21/09/2026 01:00"), time("never")).first()) == ("2026-09-22T03:30:00Z", "2026-09-21T06:00:00Z", None)
+    cite = spark.range(1).select(
+        T.cited_indicator(F.lit("GDP"), F.lit("PAN"), F.lit(2020), F.lit(0.0), F.lit("usd")), T.cited_indicator(F.lit("GDP"), F.lit("PAN"), F.lit(2020), F.lit(None).cast("double"), F.lit("usd")),
+        T.cited_quake(F.lit(5.5), F.lit(None).cast("string"), F.lit("2026-01-01").cast("timestamp")),
+    )
+    assert tuple(cite.first()) == ("GDP, PAN, 2020: 0 usd", "GDP, PAN, 2020: no published value", "M 5.5, 2026-01-01T00:00:00Z")
