@@ -292,11 +292,10 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(docs: DataFrame, index: DataFrame, floor: float = 0.25) -> DataFrame:
-    """(term, idf, avgdl) of an index of docs; negative idf values become `floor` times the mean idf."""
+def term_weights(docs: DataFrame, df: DataFrame, floor: float = 0.25) -> DataFrame:
+    """(term, idf, avgdl) of docs and their document frequencies (term, df); negative idf values become `floor` times the mean idf."""
     total = docs.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
-    raw = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.join(F.broadcast(total)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
@@ -305,19 +304,25 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _scored(index: DataFrame, weights: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
-    hits = index.join(asked.join(weights, "term"), "term")
+def _scored(index: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
     gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query", "doc").agg(F.sum(gain).alias("score"))
+    return index.join(asked, "term").groupBy("query", "doc").agg(F.sum(gain).alias("score"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """(query, doc, score) of all hits: Okapi BM25 of queries (query, text) against docs (doc, text), indexed for this call.
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, small: int = 200_000) -> DataFrame:
+    """(query, doc, score) of all hits: Okapi BM25 of queries (query, text) against docs (doc, text), one row a doc.
 
-    Only postings of query terms reach the scoring join; a repeated query token counts each time.
+    Texts are dealt by doc once; term counts and scores then need no exchange, since a document's postings lie together.
+    Only tokens that are asked for are counted; the asked terms are broadcast up to `small` of them, and joined by
+    shuffles beyond. Document frequencies are counted before they are shuffled. A repeated query token counts each time.
     """
-    index = postings(docs)
-    return _scored(index, term_weights(docs, index, floor), _asked(queries), k1, b)
+    asked = _asked(queries)
+    near = F.broadcast if asked.limit(small + 1).count() <= small else lambda df: df
+    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = docs.select("doc", "text").repartition("doc").select("doc", T.tokens(F.col("text")).alias("w"))
+    tokens = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).join(near(asked.select("term").distinct()), "term", "left_semi")
+    index = tokens.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _scored(index, near(term_weights(docs, df, floor).join(near(asked), "term")), k1, b)
 
 
 def _folder(term: str) -> Column:
@@ -333,7 +338,8 @@ def write_index(docs: DataFrame, path: str, floor: float = 0.25) -> None:
     rows = postings(docs).withColumn("folder", _folder("term"))
     rows.repartitionByRange("folder", "doc").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
     index = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-    weights = term_weights(docs, index, floor).withColumn("folder", _folder("term"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = term_weights(docs, df, floor).withColumn("folder", _folder("term"))
     weights.repartition("folder").write.partitionBy("folder").parquet(f"{path}/weights")
 
 
@@ -343,7 +349,8 @@ def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame, k1: float =
     met = [r[0] for r in asked.select(_folder("term")).distinct().collect()]
     read = lambda name, shape: spark.read.schema(f"{shape}, folder int").parquet(f"{path}/{name}").where(F.col("folder").isin(met)).drop("folder")
     doc = spark.read.parquet(f"{path}/postings").schema["doc"].dataType.simpleString()
-    return _scored(read("postings", f"term string, doc {doc}, dl int, tf long"), read("weights", "term string, idf double, avgdl double"), asked, k1, b)
+    weights = read("weights", "term string, idf double, avgdl double")
+    return _scored(read("postings", f"term string, doc {doc}, dl int, tf long"), asked.join(weights, "term"), k1, b)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.6) -> DataFrame:
