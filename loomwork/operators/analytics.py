@@ -292,11 +292,19 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(docs: DataFrame, df: DataFrame, floor: float = 0.25) -> DataFrame:
-    """(term, idf, avgdl) of docs and their document frequencies (term, df); negative idf values become `floor` times the mean idf."""
-    total = docs.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = df.join(F.broadcast(total)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
+def term_weights(docs: DataFrame, floor: float = 0.25) -> DataFrame:
+    """(term, idf, avgdl) of docs (doc, text); negative idf values become `floor` times the mean idf.
+
+    One pass counts all: the empty term, which no text holds, stands for the document itself and carries its length.
+    Its row stays in the result and meets no question.
+    """
+    words = docs.select(T.tokens(F.col("text")).alias("w"))
+    terms = words.select(F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("w"), F.array().cast("array<string>")))).alias("term"))
+    none = F.col("term") == ""
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg(F.when(none, F.col("dl"))).alias("dl"))
+    total = counts.agg(F.max(F.when(none, F.col("df"))).alias("n"), F.max("dl").alias("avgdl"))
+    raw = counts.join(F.broadcast(total)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg(F.when(~none, F.col("raw"))).alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
@@ -318,11 +326,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """
     asked = _asked(queries)
     near = F.broadcast if asked.limit(small + 1).count() <= small else lambda df: df
-    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     words = docs.select("doc", "text").repartition("doc").select("doc", T.tokens(F.col("text")).alias("w"))
     tokens = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).join(near(asked.select("term").distinct()), "term", "left_semi")
     index = tokens.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return _scored(index, near(term_weights(docs, df, floor).join(near(asked), "term")), k1, b)
+    return _scored(index, near(term_weights(docs, floor).join(near(asked), "term")), k1, b)
 
 
 def _folder(term: str) -> Column:
@@ -334,12 +341,9 @@ def write_index(docs: DataFrame, path: str, floor: float = 0.25) -> None:
 
     Postings are dealt by ranges of (folder, doc), so that a very common term is spread over several tasks and files.
     """
-    spark = docs.sparkSession
     rows = postings(docs).withColumn("folder", _folder("term"))
     rows.repartitionByRange("folder", "doc").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
-    index = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = term_weights(docs, df, floor).withColumn("folder", _folder("term"))
+    weights = term_weights(docs, floor).where("term <> ''").withColumn("folder", _folder("term"))
     weights.repartition("folder").write.partitionBy("folder").parquet(f"{path}/weights")
 
 
