@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("sharding", "quality", "topk", "jaccard", "substring", "toxicity", "packing", "mixing", "ann", "html", "audit", "repair")
+_MODULES = ("sharding", "quality", "topk", "jaccard", "substring", "toxicity", "packing", "mixing", "ann", "html", "audit", "repair", "pieces")
 
 
 def _modules():
