@@ -83,8 +83,8 @@ def coverage(query: Column, title: Column) -> Column:
 
 
 def comparable_title(c: Column) -> Column:
-    """Folded, without a bracketed agency tag at either end, other signs as single spaces."""
-    bare = F.regexp_replace(fold(c), r"\([^()]{1,40}\)", " ")
+    """Folded, without bracketed agency tags, other signs as single spaces."""
+    bare = F.regexp_replace(fold(c), r"\([^)]{1,40}\)", " ")
     return F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " "))
 
 

@@ -9,6 +9,7 @@ from loomwork.functions import numeric as N
 from loomwork.functions import text as T
 from loomwork.operators import analytics as A
 from loomwork.operators import evaluation as X
+from loomwork.operators import inbox as I
 from loomwork.operators import relational as R
 from loomwork.sources import views as V
 
@@ -31,37 +32,50 @@ _TOPIC_SQL = (
     + " ".join(f"WHEN ({n}) = greatest({', '.join(_N)}) THEN '{t}'" for n, t in zip(_N, TOPICS, strict=True))
     + " END"
 )
-_SCORED_SQL = f"""{V.SQL["news"]}, f AS (SELECT *, lower(strip_accents(title)) AS t FROM news), k AS (SELECT *, {_TOPIC_SQL} AS topic,
+#: Official series by slot: those with a value in a year that counts.
+_OFFICIAL_SQL = f"""{V.SQL["indicator"]}, official AS (SELECT nation % 4 AS slot FROM indicator WHERE (year + nation % 4) % 3 <> 0 GROUP BY 1)"""
+_SCORED_SQL = f"""{V.SQL["news"]}, {_OFFICIAL_SQL}, f AS (SELECT *, lower(strip_accents(title)) AS t FROM news), k AS (SELECT *, {_TOPIC_SQL} AS topic,
   CASE {" ".join(f"WHEN {_is(w)} THEN 'word:{w}'" for w in LOCAL_WORDS)} WHEN outlet IN ('src1', 'src2') THEN 'domain:' || outlet END AS local FROM f), h AS (
   SELECT *, CASE WHEN coalesce(pub_ts, det_ts) IS NOT NULL THEN CAST(greatest(0, date_diff('hour', coalesce(pub_ts, det_ts), TIMESTAMP '{REFERENCE}')) AS BIGINT) END AS age,
     CAST(abs(date_diff('hour', pub_ts, det_ts)) AS BIGINT) AS span FROM k), c AS (
   SELECT *, CAST(CASE WHEN local IS NOT NULL THEN 5000 ELSE 0 END + CASE WHEN topic IN ('politics', 'economy') THEN 5000 ELSE 0 END AS BIGINT) AS relevance,
     CAST(CASE topic {" ".join(f"WHEN '{k}' THEN {v}" for k, v in IMPACT.items())} END AS BIGINT) AS impact,
-    CAST(CASE WHEN age IS NULL THEN 0 WHEN age <= 24 THEN 10000 WHEN age >= 720 THEN 0 ELSE (2 * (720 - age) * 10000 + 696) // (2 * 696) END AS BIGINT) AS urgency,
-    CAST(CASE WHEN span IS NULL OR span <= 1 THEN 10000 WHEN span >= 4 THEN 0 ELSE (2 * (4 - span) * 10000 + 3) // 6 END AS BIGINT) AS novelty,
-    CAST(3333 // 2 + CASE WHEN id % 5 = 0 THEN 5000 ELSE 0 END AS BIGINT) AS evidence FROM h), s AS (
+    CAST(CASE WHEN age IS NULL THEN 0 WHEN age <= 24 THEN 10000 WHEN age >= 168 THEN 0 ELSE (2 * (168 - age) * 10000 + 144) // (2 * 144) END AS BIGINT) AS urgency,
+    CAST(CASE WHEN age IS NULL THEN 0 WHEN coalesce(span, 0) <= 72 THEN 10000 WHEN span >= 720 THEN 0 ELSE (2 * (720 - span) * 10000 + 648) // (2 * 648) END AS BIGINT) AS novelty,
+    CAST(1667 + CASE WHEN EXISTS (FROM official WHERE slot = id % 5) THEN 5000 ELSE 0 END AS BIGINT) AS evidence FROM h), s AS (
   SELECT *, CAST(({" + ".join(f"(2 * {k} * {w} + 100) // 200" for k, w in WEIGHTS.items())} + 5) // 10 AS BIGINT) AS tenths FROM c), b AS (
   SELECT *, CASE WHEN tenths < 400 THEN 'low' WHEN tenths < 700 THEN 'mid' ELSE 'high' END AS band FROM s)"""
 
 
+def official_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slot, year, value): an official series by slot; some years have no value."""
+    by = V.indicator(spark, sf_dir).groupBy((F.col("nation") % 4).alias("slot"), "year").agg(F.sum("cents").alias("value"))
+    return by.withColumn("value", F.when((F.col("year") + F.col("slot")) % 3 != 0, F.col("value")))
+
+
+def official_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots whose series has any value."""
+    return official_values(spark, sf_dir).where("value is not null").select("slot").distinct()
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News with topic, local relation, the five components in basis points, score in tenths and band."""
-    n = V.news(spark, sf_dir)
+    """News, each a topic of its own, with topic, local relation, the five components in basis points, score in tenths and band."""
+    n, c = V.news(spark, sf_dir), I.Criteria()
     t = T.fold(F.col("title"))
-    hours = lambda a, b: F.floor((F.unix_seconds(b.cast("timestamp")) - F.unix_seconds(a.cast("timestamp"))) / 3600)
     reference = F.lit(REFERENCE).cast("timestamp_ntz")
     n = n.withColumn("topic", A.topic_of(t, TOPICS)).withColumn("local", A.local_relation(t, F.col("outlet"), LOCAL_WORDS, LOCAL_OUTLETS))
-    n = n.withColumn("age", F.greatest(F.lit(0), hours(F.coalesce("pub_ts", "det_ts"), reference)))
-    n = n.withColumn("age", F.when(F.coalesce("pub_ts", "det_ts").isNotNull(), F.col("age")))
-    n = n.withColumn("span", F.abs(hours(F.col("pub_ts"), F.col("det_ts"))))
+    at = F.coalesce("pub_ts", "det_ts")
+    n = n.withColumn("since", F.when(at.isNotNull(), F.greatest(F.lit(0), I.seconds(at, reference))))
+    n = n.withColumn("between", F.when(at.isNotNull(), F.coalesce(F.abs(I.seconds(F.col("pub_ts"), F.col("det_ts"))), F.lit(0))))
     half = lambda c: F.when(c, 5000).otherwise(0)
-    impact = F.create_map(*[F.lit(x) for kv in IMPACT.items() for x in kv])[F.col("topic")]
+    impact = F.coalesce(F.create_map(*[F.lit(x) for kv in IMPACT.items() for x in kv])[F.col("topic")], F.lit(c.base_impact))
+    known = official_slots(spark, sf_dir).select("slot", F.lit(True).alias("official"))
+    n = n.withColumn("slot", F.col("id") % 5).join(known, "slot", "left").withColumn("official", F.coalesce("official", F.lit(False)))
     n = n.select(
         "*",
         (half(F.col("local").isNotNull()) + half(F.col("topic").isin(*EDITORIAL))).cast("long").alias("relevance"), impact.cast("long").alias("impact"),
-        F.when(F.col("age").isNull(), 0).otherwise(N.ramp(F.col("age"), 24, 720)).cast("long").alias("urgency"),
-        F.when(F.col("span").isNull(), N.ONE).otherwise(N.ramp(F.col("span"), 1, 4)).cast("long").alias("novelty"),
-        (F.lit(3333 // 2) + half(F.col("id") % 5 == 0)).cast("long").alias("evidence"),
+        I.fading(F.col("since"), c.urgency).alias("urgency"), I.fading(F.col("between"), c.novelty).alias("novelty"),
+        I.evidence_points(F.lit(1), F.col("official"), c.full_sources).cast("long").alias("evidence"),
     )
     total = sum((N.contribution(F.col(k), w) for k, w in WEIGHTS.items()), F.lit(0))
     return n.withColumn("tenths", N.ratio_half_up(total, 10)).withColumn("band", N.band(F.col("tenths")))
@@ -84,13 +98,6 @@ def inbox_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.zero_filled(counts, domain, ["band"], "n")
 
 
-def evidence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = V.news(spark, sf_dir).withColumn("event", F.col("id") % 97)
-    g = n.groupBy("event").agg(F.count_distinct("outlet").alias("n_sources"), F.max((F.col("id") % 5 == 0).cast("int")).alias("official"), F.count_if(F.col("pub_ts").isNull()).alias("pending"))
-    state = F.when((F.col("n_sources") < 2) & (F.col("official") == 0), "insufficient").when((F.col("n_sources") >= 2) & (F.col("pending") == 0), "sufficient").otherwise("partial")
-    return g.select("event", "n_sources", state.alias("state"))
-
-
 def keyword_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents")
     return d.select("doc_id", A.topic_of(T.fold(F.col("text")), TOPICS).alias("topic"))
@@ -182,11 +189,6 @@ def capped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.capped_clusters(e, A.pairs_in_time(e, "key", "v", "hours", 0.42, 72), 0.42, 0.05, 40, 168)
 
 
-def independent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = V.news(spark, sf_dir).select((F.col("id") % 61).alias("group"), F.col("id").alias("key"), "outlet", "title")
-    return A.independent_sources(n)
-
-
 def char_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = A.char_tfidf(V.news(spark, sf_dir), "id", "title")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("weight", 8)), "term")
@@ -262,8 +264,8 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ranked_inbox, score_components, inbox_summary, evidence_state, keyword_topic, topic_choice, decision_summary, call_measures, local_relation, interval_links, keyword_links, confusion_macro_f1,
-    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, independent_sources, char_tfidf_top_terms, bm25_topk,
+    ranked_inbox, score_components, inbox_summary, keyword_topic, topic_choice, decision_summary, call_measures, local_relation, interval_links, keyword_links, confusion_macro_f1,
+    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, char_tfidf_top_terms, bm25_topk,
     hybrid_search, abstention_gate, keyword_coverage, figure_check, word_limits, cached_decisions, claim_citations,
 )}
 
@@ -308,8 +310,6 @@ ORACLE = {
     "ranked_inbox": f"WITH {_SCORED_SQL}, r AS (SELECT CAST(row_number() OVER (ORDER BY tenths DESC, urgency DESC, id) AS INT) AS place, * FROM b) SELECT place, id, topic, band, tenths / 10 AS score, relevance, impact, urgency, novelty, evidence FROM r WHERE place <= 20",
     "score_components": f"WITH {_SCORED_SQL} SELECT id, topic, local, relevance, impact, urgency, novelty, evidence, tenths, band FROM b",
     "inbox_summary": f"WITH {_SCORED_SQL}, d AS (SELECT unnest(['low', 'mid', 'high']) AS band) SELECT d.band, count(b.id) AS n FROM d LEFT JOIN b USING (band) GROUP BY d.band",
-    "evidence_state": f"""WITH {V.SQL["news"]}, g AS (SELECT id % 97 AS event, count(DISTINCT outlet) AS n_sources, max(CAST(id % 5 = 0 AS INT)) AS official, count(*) FILTER (pub_ts IS NULL) AS pending FROM news GROUP BY 1)
-SELECT event, n_sources, CASE WHEN n_sources < 2 AND official = 0 THEN 'insufficient' WHEN n_sources >= 2 AND pending = 0 THEN 'sufficient' ELSE 'partial' END AS state FROM g""",
     "keyword_topic": f"WITH f AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents) SELECT doc_id, {_TOPIC_SQL} AS topic FROM f",
     "topic_choice": _CHOICE_SQL,
     "decision_summary": f"""WITH c AS ({_CHOICE_SQL}), p AS (SELECT *, CASE WHEN method = 'decision' THEN key % 7 ELSE 0 END AS cost FROM c), g AS (

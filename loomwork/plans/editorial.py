@@ -12,13 +12,6 @@ from loomwork.plans.analytics import ORACLE as _A
 from loomwork.sources import views as V
 
 
-def recommended_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    state = F.when(F.col("id") % 5 == 0, "sufficient").when(F.col("id") % 3 == 0, "partial").otherwise("insufficient")
-    todo = E.actions(F.col("band"), state, F.col("pub_ts").isNull().cast("int"), F.coalesce(F.col("span") >= 3, F.lit(False)))
-    return s.select("id", F.array_join(todo, ",").alias("actions"))
-
-
 def outlet_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.news(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, F.upper("outlet")).otherwise(F.initcap("outlet")).alias("outlet"))
     return E.display_names(n, "outlet", "id")
@@ -86,13 +79,10 @@ def citation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page_id", F.size("f").alias("n"), T.canonical_key(F.col("f")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (recommended_actions, outlet_display_names, case_verdicts, news_by_local_day, reference_instant, recirculated_groups, label_pairs, claim_checks, news_order, claim_pairs, editor_sample, citation_fields)}
+QUERIES = {f.__name__: f for f in (outlet_display_names, case_verdicts, news_by_local_day, reference_instant, recirculated_groups, label_pairs, claim_checks, news_order, claim_pairs, editor_sample, citation_fields)}
 
 _FIG = r"list_sort(list_distinct(list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)*'), lambda x: CASE WHEN ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') = '' THEN '0' ELSE ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') END)))"
 ORACLE = {
-    "recommended_actions": f"""WITH {_SCORED_SQL}, st AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'sufficient' WHEN id % 3 = 0 THEN 'partial' ELSE 'insufficient' END AS state FROM b)
-SELECT id, array_to_string(list_filter([CASE WHEN band = 'high' THEN 'review_first' END, CASE WHEN state = 'insufficient' THEN 'find_second_source' END, CASE WHEN pub_ts IS NULL THEN 'request_official_data' END,
-  CASE WHEN span >= 3 THEN 'check_original_date' END, CASE WHEN band = 'low' AND state <> 'sufficient' THEN 'watch' END, CASE WHEN band <> 'low' AND state = 'sufficient' THEN 'draft' END], lambda x: x IS NOT NULL), ',') AS actions FROM st""",
     "outlet_display_names": f"""WITH {V.SQL["news"]}, n AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(outlet) ELSE upper(outlet[1]) || lower(outlet[2:]) END AS outlet FROM news)
 SELECT lower(outlet) AS key, arg_min(outlet, id) AS shown FROM n GROUP BY 1""",
     "case_verdicts": """WITH r AS (SELECT o_custkey % 50 AS "case", count(*) FILTER (o_totalprice > 3000) AS p, count(*) FILTER (NOT o_totalprice > 3000) AS f, bool_or(o_custkey % 7 = 0) AS partial FROM orders GROUP BY 1)

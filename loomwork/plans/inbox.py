@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.operators import analytics as A
+from loomwork.operators import editorial as E
 from loomwork.operators import evaluation as X
 from loomwork.operators import inbox as I
-from loomwork.plans.analytics import _BM25_NEWS, _SCORED_SQL, EDITORIAL, IMPACT, REFERENCE, WEIGHTS, scored
+from loomwork.operators import replicas
+from loomwork.plans.analytics import _BM25_NEWS, _SCORED_SQL, EDITORIAL, IMPACT, REFERENCE, WEIGHTS, official_values, scored
 from loomwork.sources import views as V
 
 # ---- topics ----------------------------------------------------------------------------------------------------
@@ -17,13 +19,42 @@ from loomwork.sources import views as V
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return s.select(F.floor(F.col("id") / 4).alias("group"), "id", "outlet", "topic", F.col("local").isNotNull().alias("local"), (F.col("id") % 5 == 0).alias("official"), "pub_ts", "det_ts")
+    return s.select(F.floor(F.col("id") / 4).alias("group"), "id", "outlet", "title", "topic", F.col("local").isNotNull().alias("local"), "pub_ts", "det_ts")
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, slot, year, value, series, status: news with the official series of its slot."""
+    news = V.news(spark, sf_dir).select("id", (F.col("id") % 5).alias("slot"))
+    return I.series_links(news, official_values(spark, sf_dir), "slot")
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     outside = items.where("id % 28 = 0").select("group", F.lit(None).cast("long").alias("relevance"), F.lit(10_000).cast("long").alias("impact"), F.lit(2500).cast("long").alias("urgency"))
-    return I.topics(items, F.lit(REFERENCE).cast("timestamp_ntz"), WEIGHTS, IMPACT, EDITORIAL, outside)
+    official = I.context(_linked(spark, sf_dir).select(F.floor(F.col("id") / 4).alias("group"), "status"))
+    return I.topics(items, F.lit(REFERENCE).cast("timestamp_ntz"), WEIGHTS, IMPACT, EDITORIAL, outside, official)
+
+
+def independent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of all headlines of a language: outlets count once however many of them carry nearly the same text."""
+    return replicas.independent_sources(V.news(spark, sf_dir).select(F.col("lang").alias("group"), F.col("id").alias("key"), "outlet", "title"))
+
+
+def replica_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines of a language by their source where every headline is an outlet of its own: families of near copies."""
+    n = V.news(spark, sf_dir).select(F.col("lang").alias("group"), F.col("id").alias("key"), F.col("id").cast("string").alias("outlet"), "title")
+    by = replicas.source_of(n).groupBy("group", "source").agg(F.count(F.lit(1)).alias("n"))
+    return by.where("n > 1").select("group", F.col("source").alias("first"), "n")
+
+
+def evidence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of evidence of every topic, from its independent sources and official series."""
+    return _topics(spark, sf_dir).select("group", "n_outlets", "n_sources", "official", "pending", "state")
+
+
+def recommended_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    todo = E.actions(F.col("band"), F.col("state"), F.col("pending"), F.col("recirculated"))
+    return _topics(spark, sf_dir).select("group", F.array_join(todo, ",").alias("actions"))
 
 
 def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +80,7 @@ def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = V.news(spark, sf_dir).select("id", (F.col("id") % 5).alias("slot"))
-    values = V.indicator(spark, sf_dir).groupBy((F.col("nation") % 4).alias("slot"), "year").agg(F.sum("cents").alias("value"))
-    return I.series_links(news, values.withColumn("value", F.when((F.col("year") + F.col("slot")) % 3 != 0, F.col("value"))), "slot").select("id", "slot", "year", "value", "series", "status")
+    return _linked(spark, sf_dir).select("id", "slot", "year", "value", "series", "status")
 
 
 def adaptive_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,23 +172,50 @@ def evidence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    topic_scores, topic_inbox, filtered_inbox, topics_by_state, group_summary, series_links, adaptive_timeline, answered_questions, answer_problems,
+    topic_scores, topic_inbox, filtered_inbox, evidence_state, recommended_actions, independent_sources, replica_families, topics_by_state, group_summary, series_links, adaptive_timeline, answered_questions, answer_problems,
     abstention_measures, support_measures, classifier_agreement, time_saving, source_catalogue, subset_coverage, extraction_window, evidence_lookup,
 )}
 
 _RAMP = "CASE WHEN {x} <= {a} THEN 10000 WHEN {x} >= {b} THEN 0 ELSE (2 * ({b} - {x}) * 10000 + {d}) // (2 * {d}) END"
-_TOPICS_SQL = f"""WITH {_SCORED_SQL}, it AS (SELECT id // 4 AS g, id, lower(outlet) AS outlet, topic, local IS NOT NULL AS loc, id % 5 = 0 AS off, pub_ts, det_ts FROM b), tc AS (
-  SELECT g, topic, count(*) AS n, min(id) AS f FROM it GROUP BY ALL), tt AS (SELECT g, arg_max(topic, n * 1000000000 - f) AS topic FROM tc GROUP BY g), gr AS (
-  SELECT g, count(*) AS n_items, count(DISTINCT outlet) AS n_sources, bool_or(loc) AS loc, bool_or(off) AS off, count(*) FILTER (pub_ts IS NULL) AS pending, bool_or(id % 28 = 0) AS outside,
+_LONGEST = (
+    "list_max(list_transform(range(1, length({a}) + 1), lambda i: coalesce(list_max(list_filter(range(1, length({a}) - i + 2), "
+    "lambda l: contains({b}, substring({a}, i, l)))), 0) * 100000 + 99999 - i))"
+)
+#: CTEs over mem (g, key, outlet, title): comp (g, key, src), the source of each row. The longest common block of two titles,
+#: of equals the first, is taken out again and again; one that has fewer edits than the ratio allows is looked at only.
+_SOURCES_SQL = rf"""ti AS (SELECT g, key, lower(trim(coalesce(outlet, ''))) AS o,
+    trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(title, ''))), '\([^)]{{1,40}}\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS t FROM mem), nd AS (
+  SELECT g, t, min(key) AS a, max(key) AS z FROM ti GROUP BY ALL), ca AS (
+  SELECT x.g, x.a AS na, y.a AS nb, x.t AS p, y.t AS q, x.a < y.z AS fw, y.a < x.z AS bw FROM nd x JOIN nd y ON x.g IS NOT DISTINCT FROM y.g AND x.a < y.a
+    AND 20 * least(length(x.t), length(y.t)) >= 9 * (length(x.t) + length(y.t)) WHERE 10 * levenshtein(x.t, y.t) <= length(x.t) + length(y.t)), od AS (
+  SELECT DISTINCT p, q FROM (SELECT p, q FROM ca WHERE fw UNION ALL SELECT q, p FROM ca WHERE bw)), ro AS (
+  SELECT p, q, p AS a, q AS b, {_LONGEST.format(a="p", b="q")} AS best FROM od
+  UNION ALL
+  SELECT p, q, s.a, s.b, {_LONGEST.format(a="s.a", b="s.b")} FROM (
+    SELECT p, q, unnest([{{'a': left(a, i - 1), 'b': left(b, j - 1)}}, {{'a': substring(a, i + l), 'b': substring(b, j + l)}}]) AS s
+    FROM (SELECT *, instr(b, substring(a, i, l)) AS j FROM (SELECT *, best // 100000 AS l, 99999 - best % 100000 AS i FROM ro WHERE best >= 100000))) WHERE length(s.a) > 0 AND length(s.b) > 0), sm AS (
+  SELECT p, q FROM ro GROUP BY ALL HAVING 20 * sum(best // 100000) >= 9 * (length(p) + length(q))), ou AS (
+  SELECT DISTINCT ti.g, ti.o, nd.a FROM ti JOIN nd ON ti.g IS NOT DISTINCT FROM nd.g AND ti.t = nd.t), ed AS (
+  SELECT g, a AS x, min(a) OVER (PARTITION BY g, o) AS y FROM ou
+  UNION SELECT g, na, nb FROM ca WHERE (fw AND EXISTS (FROM sm WHERE sm.p = ca.p AND sm.q = ca.q)) OR (bw AND EXISTS (FROM sm WHERE sm.p = ca.q AND sm.q = ca.p))), es AS (
+  SELECT g, x, y FROM ed UNION SELECT g, y, x FROM ed), cc AS (
+  SELECT g, a AS n, a AS r FROM nd UNION SELECT cc.g, es.y, cc.r FROM cc JOIN es ON es.g IS NOT DISTINCT FROM cc.g AND es.x = cc.n), rt AS (
+  SELECT g, n, min(r) AS r FROM cc GROUP BY ALL), comp AS (
+  SELECT ti.g, ti.key, rt.r AS src FROM ti JOIN nd ON ti.g IS NOT DISTINCT FROM nd.g AND ti.t = nd.t JOIN rt ON rt.g IS NOT DISTINCT FROM nd.g AND rt.n = nd.a)"""
+_TOPICS_SQL = f"""WITH RECURSIVE {_SCORED_SQL}, it AS (SELECT id // 4 AS g, id, outlet, title, topic, local IS NOT NULL AS loc, pub_ts, det_ts FROM b), mem AS (
+  SELECT g, id AS key, outlet, title FROM it), {_SOURCES_SQL}, sr AS (SELECT g, count(DISTINCT src) AS n_sources FROM comp GROUP BY g), tc AS (
+  SELECT g, topic, count(*) AS n, min(id) AS f FROM it GROUP BY ALL), tt AS (SELECT g, arg_max(topic, n * 1000000000 - f) AS topic FROM tc GROUP BY g), ct AS (
+  SELECT id // 4 AS g, bool_or(official.slot IS NOT NULL) AS off, count(*) FILTER (official.slot IS NULL) AS pending FROM news LEFT JOIN official ON slot = id % 5 GROUP BY 1), gr AS (
+  SELECT g, count(*) AS n_items, count(DISTINCT lower(trim(coalesce(outlet, '')))) AS n_outlets, bool_or(loc) AS loc, bool_or(id % 28 = 0) AS outside,
     max(coalesce(pub_ts, det_ts)) AS newest, date_diff('hour', min(least(pub_ts, det_ts)), max(greatest(pub_ts, det_ts))) AS span FROM it GROUP BY g), ag AS (
-  SELECT *, greatest(0, date_diff('hour', newest, TIMESTAMP '{REFERENCE}')) AS age FROM gr JOIN tt USING (g)), co AS (
+  SELECT *, greatest(0, date_diff('hour', newest, TIMESTAMP '{REFERENCE}')) AS age FROM gr JOIN tt USING (g) JOIN sr USING (g) JOIN ct USING (g)), co AS (
   SELECT *, CAST(CASE WHEN loc THEN 5000 ELSE 0 END + CASE WHEN topic IN ('politics', 'economy') THEN 5000 ELSE 0 END AS BIGINT) AS relevance,
-    CAST(CASE WHEN outside THEN 10000 ELSE CASE topic {" ".join(f"WHEN '{k}' THEN {v}" for k, v in IMPACT.items())} END END AS BIGINT) AS impact,
-    CAST(CASE WHEN outside THEN 2500 WHEN newest IS NULL THEN 0 ELSE {_RAMP.format(x="age", a=24, b=720, d=696)} END AS BIGINT) AS urgency,
-    CAST(CASE WHEN span IS NULL THEN 10000 ELSE {_RAMP.format(x="span", a=24, b=72, d=48)} END AS BIGINT) AS novelty,
+    CAST(CASE WHEN outside THEN 10000 ELSE CASE topic {" ".join(f"WHEN '{k}' THEN {v}" for k, v in IMPACT.items())} ELSE 3000 END END AS BIGINT) AS impact,
+    CAST(CASE WHEN outside THEN 2500 WHEN newest IS NULL THEN 0 ELSE {_RAMP.format(x="age", a=24, b=168, d=144)} END AS BIGINT) AS urgency,
+    CAST(CASE WHEN span IS NULL THEN 0 ELSE {_RAMP.format(x="span", a=72, b=720, d=648)} END AS BIGINT) AS novelty,
     CAST((2 * 5000 * least(n_sources, 3) + 3) // 6 + CASE WHEN off THEN 5000 ELSE 0 END AS BIGINT) AS evidence FROM ag), sc AS (
   SELECT *, CAST(({" + ".join(f"(2 * {k} * {w} + 100) // 200" for k, w in WEIGHTS.items())} + 5) // 10 AS BIGINT) AS tenths FROM co), tp AS (
-  SELECT g AS "group", topic, n_items, n_sources, pending, CASE WHEN n_sources < 2 AND NOT off THEN 'insufficient' WHEN n_sources >= 2 AND pending = 0 THEN 'sufficient' ELSE 'partial' END AS state,
+  SELECT g AS "group", topic, n_items, n_outlets, n_sources, off AS official, pending, CASE WHEN n_sources < 2 AND NOT off THEN 'insufficient' WHEN n_sources >= 2 AND pending = 0 THEN 'sufficient' ELSE 'partial' END AS state,
     coalesce(span > 72, false) AS recirculated, relevance, impact, urgency, novelty, evidence, tenths, CASE WHEN tenths < 400 THEN 'low' WHEN tenths < 700 THEN 'mid' ELSE 'high' END AS band FROM sc)"""
 
 
@@ -174,6 +230,14 @@ ORACLE = {
     "topic_inbox": f"""{_TOPICS_SQL}, r AS (SELECT CAST(row_number() OVER (ORDER BY tenths DESC, urgency DESC, "group") AS INT) AS place, * FROM tp)
 SELECT place, "group", topic, band, state, tenths, n_items, n_sources FROM r WHERE place <= 20""",
     "filtered_inbox": f"""{_TOPICS_SQL} SELECT "group", band, state, topic FROM tp WHERE band IN ('mid', 'high') AND state IN ('partial', 'sufficient')""",
+    "evidence_state": f'{_TOPICS_SQL} SELECT "group", n_outlets, n_sources, official, pending, state FROM tp',
+    "recommended_actions": f"""{_TOPICS_SQL} SELECT "group", array_to_string(list_filter([CASE WHEN band = 'high' THEN 'review_first' END, CASE WHEN state = 'insufficient' THEN 'find_second_source' END,
+  CASE WHEN pending > 0 THEN 'request_official_data' END, CASE WHEN recirculated THEN 'check_original_date' END, CASE WHEN band = 'low' AND state <> 'sufficient' THEN 'watch' END,
+  CASE WHEN band <> 'low' AND state = 'sufficient' THEN 'draft' END], lambda x: x IS NOT NULL), ',') AS actions FROM tp""",
+    "independent_sources": f"""WITH RECURSIVE {V.SQL["news"]}, mem AS (SELECT lang AS g, id AS key, outlet, title FROM news), {_SOURCES_SQL}
+SELECT g AS "group", count(DISTINCT src) AS n FROM comp GROUP BY g""",
+    "replica_families": f"""WITH RECURSIVE {V.SQL["news"]}, mem AS (SELECT lang AS g, id AS key, CAST(id AS VARCHAR) AS outlet, title FROM news), {_SOURCES_SQL}
+SELECT g AS "group", src AS first, count(*) AS n FROM comp GROUP BY ALL HAVING count(*) > 1""",
     "topics_by_state": f"{_TOPICS_SQL} SELECT state, count(*) AS n FROM tp GROUP BY state",
     "group_summary": f"""WITH {V.SQL["news"]}, g AS (SELECT id // 4 AS g, count(*) AS size, count(DISTINCT lower(outlet)) AS o FROM news GROUP BY 1)
 SELECT size, count(*) AS n_groups, count(*) FILTER (o > 1) AS n_multi_outlet, CAST(sum(size) AS BIGINT) AS n_items FROM g GROUP BY size""",

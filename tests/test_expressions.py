@@ -62,13 +62,6 @@ def test_capped_clusters_guards(spark):
     assert got(hours={1: None, 2: None, 3: None}, least=0.7, margin=0.9, most=2, span_hours=168) == {1: 1, 2: 1, 3: 3}
 
 
-def test_independent_sources_collapse_replicas(spark):
-    title = "the minister announces a new bridge over the river in the north"
-    rows = [(1, i, f"o{i}", title if i % 2 else title.upper() + " !") for i in range(5)] + [(1, 9, "o9", "something else entirely happened elsewhere today"), (2, 20, "a", "x"), (2, 21, "A", "y")]
-    d = spark.createDataFrame(rows, "group long, key long, outlet string, title string")
-    assert {tuple(r) for r in A.independent_sources(d).collect()} == {(1, 2), (2, 1)}
-
-
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8)], "a long, b long")
     assert {tuple(r) for r in A.components(e).collect()} == {(i, 1) for i in range(1, 6)} | {(8, 8), (9, 8)}

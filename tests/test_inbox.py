@@ -67,18 +67,28 @@ def test_topics_by_words_and_phrases(spark):
 
 
 def test_topic_states_and_overrides(spark):
-    rows = [(1, 1, "A", "x", True, False, "2024-01-01 00:00:00", None), (1, 2, "a", "y", False, False, None, "2024-01-05 00:00:00"), (2, 3, "B", "y", False, True, None, None), (3, 4, "C", None, None, None, None, None)]
-    d = spark.createDataFrame(rows, "group long, id long, outlet string, topic string, local boolean, official boolean, pub_ts string, det_ts string")
+    rows = [
+        (1, 1, "A", "one story about the harbour", "x", True, "2024-01-01 00:00:00", None), (1, 2, "a", "quite another one", "y", False, None, "2024-01-05 00:00:00"),
+        (2, 3, "B", "b", "y", False, None, None), (3, 4, "C", "c", None, None, None, None), (4, 5, "D", "one more about the bridge", "z", False, None, "2023-12-20 00:00:00"),
+        (4, 6, "E", "and the reply of the port", "z", False, "2024-01-05 06:00:00", None),
+    ]
+    d = spark.createDataFrame(rows, "group long, id long, outlet string, title string, topic string, local boolean, pub_ts string, det_ts string")
     for c in ("pub_ts", "det_ts"):
         d = d.withColumn(c, F.col(c).cast("timestamp_ntz"))
     new = spark.createDataFrame([(2, 1, None, 3)], "group long, relevance long, impact long, urgency long")
+    links = spark.createDataFrame([(2, "linked"), (2, "pending"), (4, "pending"), (4, "pending")], "group long, status string")
     w = {"relevance": 30, "impact": 25, "urgency": 20, "novelty": 15, "evidence": 10}
-    got = {r["group"]: r for r in I.topics(d, F.lit("2024-01-05 12:00:00").cast("timestamp_ntz"), w, {"x": 9000, "y": 100}, ("x",), new).collect()}
-    assert (got[1]["state"], got[1]["n_sources"], got[1]["pending"], got[1]["topic"], got[1]["recirculated"]) == ("insufficient", 1, 1, "x", True)
-    assert (got[1]["relevance"], got[1]["urgency"], got[1]["novelty"], got[1]["evidence"]) == (10_000, 10_000, 0, 1667)
-    assert (got[2]["state"], got[2]["relevance"], got[2]["impact"], got[2]["urgency"], got[2]["evidence"]) == ("partial", 1, 100, 3, 6667)
-    assert (got[3]["topic"], got[3]["impact"], got[3]["urgency"], got[3]["novelty"]) == (None, 0, 0, 10_000)
-    kept = I.keep(I.topics(d, F.lit("2024-01-05 12:00:00").cast("timestamp_ntz"), w, {}, ()), topic_names=("unclassified", "y")).collect()
+    at = F.lit("2024-01-05 12:00:00").cast("timestamp_ntz")
+    got = {r["group"]: r for r in I.topics(d, at, w, {"x": 9000, "y": 100}, ("x",), new, I.context(links)).collect()}
+    assert (got[1]["state"], got[1]["n_sources"], got[1]["pending"], got[1]["topic"], got[1]["recirculated"]) == ("insufficient", 1, 0, "x", True)
+    # 96 hours between the dates: (720 - 96) / (720 - 72)
+    assert (got[1]["relevance"], got[1]["urgency"], got[1]["novelty"], got[1]["evidence"]) == (10_000, 10_000, 9630, 1667)
+    assert (got[2]["state"], got[2]["relevance"], got[2]["impact"], got[2]["urgency"], got[2]["evidence"], got[2]["pending"]) == ("partial", 1, 100, 3, 6667, 1)
+    assert (got[3]["topic"], got[3]["impact"], got[3]["urgency"], got[3]["novelty"], got[3]["state"]) == (None, 3000, 0, 0, "insufficient")
+    assert (got[4]["impact"], got[4]["state"], got[4]["pending"], got[4]["n_sources"]) == (3000, "partial", 2, 2)
+    strict = {r["group"]: r for r in I.topics(d, at, w, {}, (), criteria=I.Criteria(urgency=(1, 2), base_impact=7, enough_sources=1)).collect()}
+    assert (strict[1]["urgency"], strict[1]["impact"], strict[4]["state"], strict[4]["urgency"]) == (0, 7, "sufficient", 0)
+    kept = I.keep(I.topics(d, at, w, {}, ()), topic_names=("unclassified", "y")).collect()
     assert {r["group"] for r in kept} == {2, 3}
     assert [I.adaptive_unit(n) for n in (45, 46, 210, 211)] == ["day", "week", "week", "month"]
 
