@@ -76,8 +76,10 @@ def _neighbours(nodes: DataFrame, least: float, backwards: bool) -> DataFrame:
 
 def grams(title: Column) -> Column:
     """The grams of a title, the k-th occurrence of one marked by k, so that common ones are counted as often as they stand."""
-    plain = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(title) - (Q - 1)), lambda i: F.substring(title, i, F.lit(Q))))
-    marked = F.transform(plain, lambda x, i: F.concat(x, F.lit("#"), (i + 2 - F.array_position(plain, x)).cast("string")))
+    plain = F.sort_array(F.transform(F.sequence(F.lit(1), F.length(title) - (Q - 1)), lambda i: F.substring(title, i, F.lit(Q))))
+    mark = lambda p: F.transform(p, lambda x, i: F.concat(x, F.lit("#"), (i + 2 - F.array_position(p, x)).cast("string")))
+    # bound to a name, so that the sorted grams are made once and not for every one of them
+    marked = F.transform(F.array(plain), mark)[0]
     return F.when(F.length(title) >= Q, marked).otherwise(F.array().cast("array<string>"))
 
 
@@ -90,7 +92,7 @@ def shown(nodes: DataFrame, least: float = LEAST) -> DataFrame:
     rare = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
     # a partner of a title of n characters has n r / (2 - r) or more; what they must share, the rarest grams cannot all miss
     need = F.greatest(F.lit(1), _shared_grams(F.col("n") * (1 + least / (2 - least)), least))
-    ranked = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    ranked = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     sized = sized.drop("grams").join(ranked, "node").withColumn("g", F.slice("g", 1, F.greatest(F.lit(0), F.size("g") - need + 1)))
     return sized.select("group", F.explode("g.gram").alias("gram"), "node", "n")
 
