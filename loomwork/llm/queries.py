@@ -7,13 +7,12 @@ from importlib import import_module
 _MODULES = ("sharding", "quality", "topk", "jaccard", "substring", "toxicity", "packing", "mixing", "ann", "html", "audit", "repair", "pieces")
 
 
-def _modules():
-    return [import_module(f"loomwork.llm.{m}") for m in _MODULES]
+_LOADED = [import_module(f"loomwork.llm.{m}") for m in _MODULES]
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in _LOADED for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: s for m in _modules() for k, s in m.ORACLE.items()}
+    return {k: s for m in _LOADED for k, s in m.ORACLE.items()}

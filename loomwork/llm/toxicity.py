@@ -34,9 +34,9 @@ from loomwork.llm._words import byte_hashes, mix, slices
 SAMPLE = 20_000
 THRESHOLD = 0.3
 CODES = 1 << 22
-#: Least G statistic and log odds of a sign, and most signs learned: the model's size, like the sample's.
-LEAST_G, LEAST_ODDS, MOST_SIGNS = 25.0, 1.5, 16_384
-#: Spans that a worker remembers the spelling of.
+#: Least G statistic and log odds of a sign. All signs that have both are kept; there are CODES codes at most.
+LEAST_G, LEAST_ODDS = 25.0, 1.5
+#: Spans that a task remembers the spelling of.
 SPANS = 50_000
 PREFIXES = (4, 5, 6, 7)
 
@@ -95,41 +95,50 @@ def char_model(docs: DataFrame) -> np.ndarray:
 def decode(span: str, model: np.ndarray) -> str:
     """The likeliest letters behind a span: Viterbi over (previous two letters), one column per sign."""
     signs = span.lower()
-    beam = {(0, 0): (0.0, "")}
+    # a path is its last letter and the path before: spans of any length take time in proportion
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, c in enumerate(signs):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         letters = [(c, 0.0)] if "a" <= c <= "z" else [(x, 0.7) for x in LOOKS.get(c, "")]
-        for (a, b), (cost, text) in beam.items():
+        for (a, b), (cost, path) in beam.items():
             drop = None
             if not letters or c == "*" or not c.isalnum() and c not in LOOKS:
                 drop = 0.1
-            elif text and letters[0][0] == text[-1]:
+            elif path and letters[0][0] == path[1]:
                 drop = 1.0 if i > 1 and signs[i - 1] == c and signs[i - 2] == c or i + 1 < len(signs) and signs[i - 1] == c and signs[i + 1] == c else 3.0
             elif letters[0][1]:
                 drop = 9.0
             if drop is not None and new.get((a, b), (math.inf,))[0] > cost + drop:
-                new[a, b] = (cost + drop, text)
+                new[a, b] = (cost + drop, path)
             for x, extra in letters:
                 k = ord(x) - 96
                 to = cost + extra - model[a, b, k]
                 if new.get((b, k), (math.inf,))[0] > to:
-                    new[b, k] = (to, text + x)
+                    new[b, k] = (to, (path, x))
         beam = new
-    return min(((cost - model[a, b, 0], text) for (a, b), (cost, text) in beam.items()), default=(0, ""))[1]
+    ends = [(cost - model[a, b, 0], path) for (a, b), (cost, path) in beam.items()]
+    least = min((cost for cost, _ in ends), default=0)
+    return min((_spelt(path) for cost, path in ends if cost == least), default="")
 
 
-_known: dict[str, str] = {}
+def _spelt(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
-def restore(text: str, model: np.ndarray) -> str:
-    """The text with every suspicious span spelled out."""
+def restore(text: str, model: np.ndarray, known: dict[str, str] | None = None) -> str:
+    """The text with every suspicious span spelled out; `known` remembers spans of this model."""
+    known = {} if known is None else known
 
     def spell(m: re.Match) -> str:
         span = m.group(0).lower()
-        if (out := _known.get(span)) is None:
-            if len(_known) >= SPANS:
-                _known.clear()
-            out = _known[span] = decode(span, model)
+        if (out := known.get(span)) is None:
+            if len(known) >= SPANS:
+                known.clear()
+            out = known[span] = decode(span, model)
         return out
 
     return SUSPECT.sub(spell, text)
@@ -173,10 +182,10 @@ def _again(pairs: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([once, *more]))
 
 
-def _restored(batch: pa.RecordBatch, column: str, model: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _restored(batch: pa.RecordBatch, column: str, model: np.ndarray, known: dict[str, str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     i = batch.schema.get_field_index(column)
     for lo in range(0, batch.num_rows, 256):
-        texts = [restore(t or "", model) for t in batch.column(i).slice(lo, 256).to_pylist()]
+        texts = [restore(t or "", model, known) for t in batch.column(i).slice(lo, 256).to_pylist()]
         for a, b, data, offsets in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]), "t"):
             yield lo + a, lo + b, data, offsets
 
@@ -184,9 +193,10 @@ def _restored(batch: pa.RecordBatch, column: str, model: np.ndarray) -> Iterator
 def _count(model: np.ndarray):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of either label by code: rows (toxic, text)."""
+        known: dict[str, str] = {}
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in _restored(batch, "text", model):
+            for lo, _, data, offsets in _restored(batch, "text", model, known):
                 pairs = _again(np.concatenate([t * CODES + c for t, c in codes(data, offsets)]))
                 bad = toxic[lo + pairs // CODES] > 0
                 code, at = np.unique(pairs % CODES, return_inverse=True)
@@ -204,7 +214,7 @@ def _evidence(model: np.ndarray, weights: dict[int, float], text: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(CODES, dtype=np.float32)
         w[keys] = values
-        lead = w > 0
+        lead, known = w > 0, {}
         for lo in range(0, CODES, 1 << 16):
             some = np.arange(lo, lo + (1 << 16), dtype=np.uint64)
             for k in (2, 3):
@@ -212,7 +222,7 @@ def _evidence(model: np.ndarray, weights: dict[int, float], text: str):
         for batch in batches:
             n = batch.num_rows
             top, total, signs = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-            for lo, _, data, offsets in _restored(batch, text, model):
+            for lo, _, data, offsets in _restored(batch, text, model, known):
                 # only codes that lead to a sign, alone or repeated, are sorted
                 found = [t[lead[c]] * CODES + c[lead[c]] for t, c in codes(data, offsets)]
                 pairs = _again(np.concatenate(found))
@@ -257,7 +267,7 @@ def sample_of(labels: DataFrame, label: str, held_out, limit: int = SAMPLE) -> D
     return one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_part: int = 2, limit: int = SAMPLE, keep_text: bool = False, most_signs: int = MOST_SIGNS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out_parts: int = 4, held_out_part: int = 2, limit: int = SAMPLE, keep_text: bool = False, most_signs: int = CODES) -> DataFrame:
     """docs (doc_id, text, ...), without text unless asked, with held_out, score, predicted, strongest, total and signs."""
     spark = docs.sparkSession
     results = ["held_out", "score", "predicted", "strongest", "total", "signs"]

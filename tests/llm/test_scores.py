@@ -92,3 +92,25 @@ def test_trigrams_do_not_run_across_texts(spark):
     a = toxicity.char_model(spark.createDataFrame([("ab",), ("cd",)], "text string"))
     b = toxicity.char_model(spark.createDataFrame([("cd",), ("ab",)], "text string").coalesce(1))
     assert np.allclose(a, b)
+
+
+def test_spellings_belong_to_one_model():
+    r = np.random.default_rng(1)
+    a, b = (np.log(r.dirichlet(np.ones(28), (28, 28))) for _ in range(2))
+    spans = ["he1p", "s0 1o w", "b@d w0rd", "st1ll", "c00l"]
+    first = [toxicity.restore(s, a) for s in spans], [toxicity.restore(s, b) for s in spans]
+    second = [toxicity.restore(s, b) for s in spans], [toxicity.restore(s, a) for s in spans]
+    assert first == second[::-1]
+
+
+def test_two_tables_in_one_session_score_alike_in_either_order(spark, awkward, labels):
+    say = lambda d: sorted((repr(tuple(r)) for r in toxicity.score(d, labels).select("doc_id", "score").collect()))
+    other = awkward.withColumn("text", F.concat(F.lit("he1p h3lp "), F.reverse("text")))
+    one, two = say(awkward), say(other)
+    assert (say(other), say(awkward)) == (two, one)
+
+
+def test_long_spans_take_time_in_proportion():
+    model = np.log(np.full((28, 28, 28), 1 / 28))
+    span = "h3l0" * 25_000
+    assert len(toxicity.decode(span, model)) > 50_000
