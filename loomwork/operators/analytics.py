@@ -170,47 +170,6 @@ def components(edges: DataFrame, shared: str | None = None) -> DataFrame:
             return labels
 
 
-def capped_clusters(items: DataFrame, pairs: DataFrame, least: float, margin: float, most: int, span_hours: int) -> DataFrame:
-    """Greedy average-link groups of items (key, hours or null, v) along pairs (a, b, cosine): (key, group).
-
-    Merges only follow pairs, and a merge looks at its two groups alone, so components of the pair graph are
-    independent and run in parallel; inside one, pairs are taken by (-cosine, a, b).
-    """
-    roots = components(pairs)
-    own = items.join(roots, items["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key")).select("root", "key", "hours", "v")
-    links = pairs.join(roots.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "cosine")
-
-    def cluster(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(left["key"].to_numpy())
-        left = left.set_index("key").loc[keys]
-        n = len(keys)
-        # what is known of a group stands at its smallest member; `up` leads there
-        up, size, total = np.arange(n), np.ones(n, dtype=np.int64), np.array(left["v"].tolist(), dtype=float)
-        hours = left["hours"].to_numpy(dtype=float)
-        early, late = np.where(np.isnan(hours), np.inf, hours), np.where(np.isnan(hours), -np.inf, hours)
-
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        def joinable(x: int, y: int) -> bool:
-            together = size[x] + size[y] <= most and max(late[x], late[y]) - min(early[x], early[y]) <= span_hours
-            return bool(together) and float(total[x] @ total[y]) >= (least - margin) * size[x] * size[y]
-
-        order = np.lexsort((right["b"], right["a"], -right["cosine"]))
-        ends = np.searchsorted(keys, right[["a", "b"]].to_numpy()[order])
-        for i, j in ends:
-            x, y = sorted((top(i), top(j)))
-            if x != y and joinable(x, y):
-                up[y], size[x], total[x] = x, size[x] + size[y], total[x] + total[y]
-                early[x], late[x] = min(early[x], early[y]), max(late[x], late[y])
-        return pd.DataFrame({"key": keys, "group": keys[[top(i) for i in range(n)]]})
-
-    return own.groupBy("root").cogroup(links.groupBy("root")).applyInPandas(cluster, "key long, group long")
-
-
 def pairs_in_time(vectors: DataFrame, key: str, vector: str, hours: str, least: float, window: int, block: int = 1024) -> DataFrame:
     """similar_pairs() of rows whose `hours` lie within `window` of each other, or are missing for one.
 

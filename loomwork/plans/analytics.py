@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import numeric as N
 from loomwork.functions import text as T
 from loomwork.operators import analytics as A
+from loomwork.operators import clusters
 from loomwork.operators import evaluation as X
 from loomwork.operators import inbox as I
 from loomwork.operators import relational as R
@@ -186,7 +187,15 @@ def pairs_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _dated_vectors(spark, sf_dir)
-    return A.capped_clusters(e, A.pairs_in_time(e, "key", "v", "hours", 0.42, 72), 0.42, 0.05, 40, 168)
+    return clusters.clusters(e, A.pairs_in_time(e, "key", "v", "hours", 0.42, 72), 0.42, 0.05, 40, 168).groups
+
+
+def cluster_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs were merged and why others were not, with the size of what came of it."""
+    e = _dated_vectors(spark, sf_dir)
+    made = clusters.clusters(e, A.pairs_in_time(e, "key", "v", "hours", 0.42, 72), 0.42, 0.05, 8, 100)
+    named = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("outlet"))
+    return clusters.summary(made.groups.join(named, "key"), made.counts)[0]
 
 
 def char_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +274,7 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ranked_inbox, score_components, inbox_summary, keyword_topic, topic_choice, decision_summary, call_measures, local_relation, interval_links, keyword_links, confusion_macro_f1,
-    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, char_tfidf_top_terms, bm25_topk,
+    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, cluster_refusals, char_tfidf_top_terms, bm25_topk,
     hybrid_search, abstention_gate, keyword_coverage, figure_check, word_limits, cached_decisions, claim_citations,
 )}
 

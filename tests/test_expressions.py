@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import numeric as N
 from loomwork.functions import text as T
 from loomwork.operators import analytics as A
+from loomwork.operators import clusters as C
 from loomwork.operators import relational as R
 
 
@@ -55,7 +56,7 @@ def test_capped_clusters_guards(spark):
     v = {1: (1.0, 0.0, 0.0), 2: (0.7071, 0.7071, 0.0), 3: (0.0, 1.0, 0.0)}
     items = lambda hours: spark.createDataFrame([(k, hours[k], list(x)) for k, x in v.items()], "key long, hours double, v array<double>")
     pairs = spark.createDataFrame([(1, 2, 0.7071), (2, 3, 0.7071)], "a long, b long, cosine double")
-    got = lambda **k: {r["key"]: r["group"] for r in A.capped_clusters(items(k.pop("hours")), pairs, **k).collect()}
+    got = lambda **k: {r["key"]: r["group"] for r in C.clusters(items(k.pop("hours")), pairs, **k).groups.collect()}
     chain = got(hours={1: 0.0, 2: 0.0, 3: 0.0}, least=0.7, margin=0.05, most=40, span_hours=168)
     assert chain == {1: 1, 2: 1, 3: 3}  # the mean to 3 is too low
     assert got(hours={1: 0.0, 2: 500.0, 3: 0.0}, least=0.7, margin=0.9, most=40, span_hours=168) == {1: 1, 2: 2, 3: 3}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import analytics as A
+from loomwork.operators import clusters as C
 from loomwork.operators import evaluation as X
 from loomwork.operators import inbox as I
 
@@ -55,7 +56,7 @@ def test_clusters_equal_pair_by_pair_merging(spark):
                     group[k] = both
         d = spark.createDataFrame(rows, "key long, hours double, v array<double>")
         p = spark.createDataFrame(pairs, "a long, b long, cosine double")
-        got = {r["key"]: r["group"] for r in A.capped_clusters(d, p, 0.6, 0.05, most, 168).collect()}
+        got = {r["key"]: r["group"] for r in C.clusters(d, p, 0.6, 0.05, most, 168).groups.collect()}
         assert got == {k: min(g) for k, g in group.items()}
 
 
