@@ -12,6 +12,7 @@ from loomwork.operators import clusters
 from loomwork.operators import evaluation as X
 from loomwork.operators import inbox as I
 from loomwork.operators import relational as R
+from loomwork.operators import sparse
 from loomwork.sources import views as V
 
 #: Keyword rules of the demonstration; a deployment brings its own.
@@ -204,6 +205,14 @@ def char_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("id", "rank", "term", F.round("weight", 6).alias("weight"))
 
 
+def similar_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of headlines of like wording, one of each wording, and how many headlines have it."""
+    pairs, members = sparse.similar(A.char_tfidf(V.news(spark, sf_dir).select(F.col("id").alias("doc"), "title"), "doc", "title"), 0.5)
+    n = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c: n.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round("cosine", 6).alias("cosine"), "n_a", "n_b")
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
@@ -274,7 +283,7 @@ def claim_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ranked_inbox, score_components, inbox_summary, keyword_topic, topic_choice, decision_summary, call_measures, local_relation, interval_links, keyword_links, confusion_macro_f1,
-    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, cluster_refusals, char_tfidf_top_terms, bm25_topk,
+    cosine_pairs, nearest_neighbours, pair_precision_recall, components, pairs_in_time, capped_clusters, cluster_refusals, similar_headlines, char_tfidf_top_terms, bm25_topk,
     hybrid_search, abstention_gate, keyword_coverage, figure_check, word_limits, cached_decisions, claim_citations,
 )}
 
@@ -349,6 +358,11 @@ SELECT a, b, round(cosine, 6) AS cosine FROM p JOIN t x ON x.vec_id = a JOIN t y
 SELECT tp, fp, positives - tp AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / positives, 6) AS recall FROM h, t""",
     "components": f"""WITH RECURSIVE {_VEC}, e AS (SELECT a, b FROM p WHERE cosine >= 0.45 UNION ALL SELECT b, a FROM p WHERE cosine >= 0.45), c AS (
   SELECT a AS node, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a) SELECT node, min(root) AS root FROM c GROUP BY node""",
+    "similar_headlines": f"""WITH {V.SQL["news"]}, corpus AS (SELECT id AS doc, title AS text FROM news), {_TFIDF}, sg AS (
+  SELECT doc, list_sort({_TOK.format("text")}) AS s FROM corpus), cl AS (SELECT s, min(doc) AS rep, count(*) AS n FROM sg GROUP BY s), tr AS (
+  SELECT t.*, cl.n FROM tfidf t JOIN cl ON cl.rep = t.doc)
+SELECT a.doc AS a, b.doc AS b, round(sum(a.weight * b.weight), 6) AS cosine, any_value(a.n) AS n_a, any_value(b.n) AS n_b
+FROM tr a JOIN tr b ON a.term = b.term AND a.doc < b.doc GROUP BY a.doc, b.doc HAVING sum(a.weight * b.weight) >= 0.5""",
     "char_tfidf_top_terms": f"""WITH {V.SQL["news"]}, corpus AS (SELECT id AS doc, title AS text FROM news), {_TFIDF}, r AS (
   SELECT doc AS id, term, weight, CAST(row_number() OVER (PARTITION BY doc ORDER BY round(weight, 8) DESC, term) AS INT) AS rank FROM tfidf) SELECT id, rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 3""",
     "bm25_topk": f"""WITH {_Q}, docs AS (SELECT doc_id AS doc, text FROM documents), {_bm25_sql("docs")}, r AS (
