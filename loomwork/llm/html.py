@@ -20,7 +20,6 @@ import html as entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 from zlib import crc32
 
@@ -46,10 +45,11 @@ _RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp"
 _ASIDE = "noscript|template|object|svg|math|canvas|audio|video"
 #: An open element of the left is closed by a start tag of the right.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# possessive: what a part has taken it does not give back, so cut or unclosed markup is read once
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _ASIDES = frozenset(_ASIDE.split("|"))
@@ -58,7 +58,32 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^
 _HIDE = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-Block = tuple[tuple[str, ...], str, float]
+
+
+class Place:
+    """A step of a tag path: paths that begin alike share their beginnings, and each keeps the sum of its steps' hashes."""
+
+    __slots__ = ("above", "tag", "step", "below", "sum", "whole")
+
+    def __init__(self, above: Place | None, tag: str, step: str):
+        self.above, self.tag, self.step, self.below = above, tag, step, {}
+        self.sum = self.whole = None
+
+    def inner(self, tag: str, step: str) -> Place:
+        known = self.below.get(step)
+        if known is None:
+            known = self.below[step] = Place(self, tag, step)
+        return known
+
+    def path(self) -> tuple[str, ...]:
+        steps, at = [], self
+        while at.above is not None:
+            steps.append(at.step)
+            at = at.above
+        return tuple(reversed(steps))
+
+
+Block = tuple[Place, str, float]
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -74,9 +99,10 @@ def _label(tag: str, attributes: str) -> str:
 
 
 def blocks(page: str) -> list[Block]:
-    """(path, text, share of the text inside links) of each block that has text."""
+    """(place, text, share of the text inside links) of each block that has text."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    here = _root(len(page))
+    opened: dict[str, int] = {}  # elements of each tag that are open
     parts: list[str] = []
     linked, link, at = 0, False, 0
     ends: dict[str, list[int]] = {}  # of the closing tags of elements whose content is no text
@@ -88,10 +114,26 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((tuple(x for _, x in stack), text, min(1.0, linked / len(text))))
+                out.append((here, text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def leave() -> None:
+        nonlocal here
+        opened[here.tag] -= 1
+        here = here.above
+
+    def close(tag: str) -> None:
+        if opened.get(tag, 0):
+            while here.tag != tag:
+                leave()
+            leave()
+
+    def enter(tag: str, attributes: str) -> None:
+        nonlocal here
+        here = here.inner(tag, _label(tag, attributes))
+        opened[tag] = opened.get(tag, 0) + 1
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
@@ -104,25 +146,22 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = name.lower(), bool(m[2])
         if tag in _ASIDES and not closing:
-            close = ends.get(tag, [])
-            k = bisect_right(close, at)
-            if k < len(close):
-                at = close[k]
+            known = ends.get(tag, [])
+            k = bisect_right(known, at)
+            if k < len(known):
+                at = known[k]
                 continue
         if tag in _BLOCKS:
             flush()
             link = False
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                close(tag)
             elif tag not in _VOID:
-                if stack and stack[-1][0] in ("p", "head"):
-                    stack.pop()
-                while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
-                    stack.pop()
-                stack.append((tag, _label(tag, m[4])))
+                if here.tag in ("p", "head"):
+                    leave()
+                while tag in _CLOSED_BY.get(here.tag, ()):
+                    leave()
+                enter(tag, m[4])
         elif tag == "a":
             link = not closing
         elif tag == "br":
@@ -131,12 +170,9 @@ def blocks(page: str) -> list[Block]:
             # these split text, and mark what they hold, like blocks
             flush()
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                close(tag)
             else:
-                stack.append((tag, _label(tag, m[4])))
+                enter(tag, m[4])
     if at < len(page):
         parts.append(page[at:])
         if link:
@@ -145,28 +181,63 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-@lru_cache(maxsize=50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tag path: the three nearest steps by place, every step, and neighbouring tags."""
-    v = np.zeros(PATH_SIZE, dtype=np.float32)
-
-    def add(key: str, weight: float) -> None:
-        h = crc32(key.encode())
-        v[h % PATH_SIZE] += weight if h >> 31 else -weight
-
-    for place, step in enumerate(path[::-1]):
-        words = step.split(" ")
-        for word in dict.fromkeys(words):
-            kind = "t" if word is words[0] else "n"
-            add(f"{kind}:{word}", 1.0)
-            if place < 2:
-                add(f"{place}{kind}:{word}", 1.0)
-    tags = [s.split(" ", 1)[0] for s in path]
-    for a, b in zip(tags[-3:], tags[-2:], strict=False):
-        add(f"{a}>{b}", 1.0)
+#: Characters of pages whose places a worker remembers together.
+REMEMBERED = 4 << 20
+_places: list = [Place(None, "", ""), 0]
+
+
+def _root(size: int) -> Place:
+    """The place above all; what is known below it is forgotten after some pages."""
+    if _places[1] > REMEMBERED:
+        _places[0], _places[1] = Place(None, "", ""), 0
+    _places[1] += size
+    return _places[0]
+
+
+def _add(v: np.ndarray, key: str) -> None:
+    h = crc32(key.encode())
+    v[h % PATH_SIZE] += 1.0 if h >> 31 else -1.0
+
+
+def _keys(step: str, near: str = "") -> list[str]:
+    words = step.split(" ")
+    return [f"{near}{'t' if word is words[0] else 'n'}:{word}" for word in dict.fromkeys(words)]
+
+
+def _steps(place: Place) -> np.ndarray:
+    """The sum of the hashes of all steps to a place: that of the place above, and its own."""
+    missing = []
+    while place.above is not None and place.sum is None:
+        missing.append(place)
+        place = place.above
+    v = place.sum if place.above is not None else np.zeros(PATH_SIZE, dtype=np.float32)
+    for p in reversed(missing):
+        v = v.copy()
+        for key in _keys(p.step):
+            _add(v, key)
+        p.sum = v
     return v
 
 
+def path_vector(place: Place) -> np.ndarray:
+    """Hashed tag path: the two nearest steps by place, every step, and neighbouring tags."""
+    if place.whole is None:
+        v, at, tags = _steps(place).copy(), place, []
+        for near in range(3):
+            if at.above is None:
+                break
+            tags.append(at.tag)
+            if near < 2:
+                for key in _keys(at.step, str(near)):
+                    _add(v, key)
+            at = at.above
+        tags.reverse()
+        for a, b in zip(tags, tags[-2:], strict=False):
+            _add(v, f"{a}>{b}")
+        place.whole = v
+    return place.whole
+
+
 def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     """Block vectors of each page; words are hashed for all pages at once."""
     flat = [b for page in pages for b in page]
@@ -200,11 +271,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states of sequences x (steps, pages, inputs), from the first step to the last."""
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+    """Hidden states of sequences x (steps, pages, inputs), from the first step to the last; `state` carries over calls."""
     steps, pages, _ = x.shape
     n = len(u)
-    h, c = np.zeros((pages, n), dtype=x.dtype), np.zeros((pages, n), dtype=x.dtype)
+    h, c = state or (np.zeros((pages, n), dtype=x.dtype), np.zeros((pages, n), dtype=x.dtype))
     out = np.empty((steps, pages, n), dtype=x.dtype)
     inputs = (x.reshape(-1, x.shape[2]) @ w + b).reshape(steps, pages, -1)
     for t in range(steps):
@@ -216,6 +287,8 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list
         c = f * c + i * g
         h = o * np.tanh(c)
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -253,6 +326,23 @@ def forward(x: np.ndarray, sizes: np.ndarray, model: dict[str, np.ndarray]) -> n
     return _sigmoid(np.concatenate([there, back], axis=2) @ model["v"] + model["c"])
 
 
+#: Blocks that are vectors at once; a longer page is read by windows, there and back.
+WINDOW = 8192
+
+
+def label_long(page: list[Block], model: dict[str, np.ndarray]) -> np.ndarray:
+    """Like label() for one page of any number of blocks: both directions carry their states from window to window."""
+    cuts = [page[lo : lo + WINDOW] for lo in range(0, len(page), WINDOW)]
+    there, state = [], []
+    for cut in cuts:
+        there.append(lstm(vectors([cut])[0][:, None], model["wf"], model["uf"], model["bf"], state=state)[:, 0])
+    out, state = [], []
+    for cut, ahead in zip(reversed(cuts), reversed(there), strict=True):
+        back = lstm(vectors([cut])[0][::-1, None], model["wb"], model["ub"], model["bb"], state=state)[::-1, 0]
+        out.append(_sigmoid(np.concatenate([ahead, back], axis=1) @ model["v"] + model["c"]))
+    return np.concatenate(out[::-1])
+
+
 _models: dict[str, dict[str, np.ndarray]] = {}
 
 
@@ -266,8 +356,25 @@ def load_model(path: str | None = None) -> dict[str, np.ndarray]:
 
 def main_text(pages: list[str], model: dict[str, np.ndarray]) -> list[str]:
     """The texts of the blocks labelled main, joined by newlines."""
-    cut = [blocks(p) for p in pages]
-    return ["\n".join(b[1] for b, p in zip(page, probs, strict=True) if p >= 0.5) for page, probs in zip(cut, label(vectors(cut), model), strict=True)]
+    out = [""] * len(pages)
+    held: list[tuple[int, list[Block]]] = []
+    join = lambda page, probs: "\n".join(b[1] for b, p in zip(page, probs, strict=True) if p >= 0.5)
+
+    def read() -> None:
+        for (i, page), probs in zip(held, label(vectors([page for _, page in held]), model), strict=True):
+            out[i] = join(page, probs)
+        held.clear()
+
+    for i, p in enumerate(pages):
+        page = blocks(p)
+        if len(page) > WINDOW:
+            out[i] = join(page, label_long(page, model))
+            continue
+        held.append((i, page))
+        if sum(len(page) for _, page in held) > 8 * WINDOW:
+            read()
+    read()
+    return out
 
 
 def _kernel(model: dict[str, np.ndarray], column: str):

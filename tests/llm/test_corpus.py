@@ -192,7 +192,7 @@ def test_mixing_awkward_rows(awkward, nothing):
 def test_blocks_of_broken_pages():
     page = "<head><title>T</title><p>a &amp;amp; b<br>c<p>d <b>e<div>f<script>var x='</p>'</script>g</div><!-- h --><table><tr><td>i<td>j</table><ul><li>k<li>l</ul>m < n<style>o"
     assert [b[1] for b in html.blocks(page)] == ["a &amp; b c", "d e", "fg", "i", "j", "k", "l", "m < n"]
-    assert [b[0] for b in html.blocks("<head><meta x><svg><p>q<head><body><p>r")][-1] == ("body", "p")
+    assert [b[0] for b in html.blocks("<head><meta x><svg><p>q<head><body><p>r")][-1].path() == ("body", "p")
     assert html.blocks("") == [] and html.blocks("<p") == []
 
 
@@ -236,7 +236,7 @@ def test_gradients():
 def test_extraction_on_unseen_layouts_and_the_table(spark):
     assert html_train.accuracy(html.load_model(), 300, 12345) > 0.985
     rows = html.op10_html_extraction(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect()
-    right = sum(r["text"] == "\n".join(t for p, t, _ in html.blocks(r["html"]) if "article" in p) and r["n_chars"] == len(r["text"]) for r in rows)
+    right = sum(r["text"] == "\n".join(t for p, t, _ in html.blocks(r["html"]) if "article" in p.path()) and r["n_chars"] == len(r["text"]) for r in rows)
     assert right / len(rows) > 0.99
 
 
@@ -281,3 +281,33 @@ def test_pipeline_awkward_rows(spark, awkward, nothing, labels, tmp_path):
         labels.write.parquet(f"{sf}/labels.parquet")
         rows = corpus_pipeline.run(spark, sf).collect()
         assert bool(rows) == (name == "a")
+
+
+def test_deep_and_cut_markup_is_read_once():
+    deep = html.blocks("<div>x" * 100_000 + "</p></td>" * 100_000)
+    assert len(deep) == 100_000 and len(deep[0][0].path()) == 1
+    vectors = html.vectors([deep[-2000:]])[0]
+    assert len(vectors) == 2000
+    tail = html.path_vector(deep[40][0])
+    plain = np.zeros(html.PATH_SIZE, dtype=np.float32)
+    steps = deep[40][0].path()
+    for place, step in enumerate(steps[::-1]):
+        for key in html._keys(step) + (html._keys(step, str(place)) if place < 2 else []):
+            html._add(plain, key)
+    for _ in range(2):
+        html._add(plain, "div>div")
+    assert (tail == plain).all()
+    for cut in ("<" + "a" * 1_000_000, "</" * 300_000, "<a b='" * 100_000, "<p title=" + '"x' * 100_000, "<!" * 300_000, "<script" + " a" * 200_000, "<p><b " * 100_000, "</script" * 100_000):
+        assert html.blocks("<p>before" + cut)[0][1].startswith("before")
+
+
+def test_pages_of_very_many_blocks_are_read_by_windows(monkeypatch):
+    r = np.random.default_rng(3)
+    page = "".join(f"<div class='c{r.integers(9)}'><p>{'word ' * int(r.integers(1, 30))}{i}.</p></div>" for i in range(700))
+    model = html.load_model()
+    own = html.blocks(page)
+    [whole] = html.label(html.vectors([own]), model)
+    monkeypatch.setattr(html, "WINDOW", 64)
+    assert np.allclose(html.label_long(own, model), whole, atol=1e-4)
+    short = "<article><p>One two three, four five six.</p></article>"
+    assert html.main_text([short, page, short], model)[::2] == html.main_text([short, short], model)
