@@ -25,10 +25,16 @@ def stream_weekly_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user by gaps of 12 hours; the stream is closed by a watermark that nothing passes, so it runs in complete mode."""
-    e = _stream(spark, sf_dir, "events").select("user_id", "ts")
-    s = e.withColumn("_t", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("_t", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return S.drain(s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), "complete", ["user_id", "start"])
+    """Sessions of a user by gaps of 12 hours, given out once the watermark, 72 hours behind the newest event, is past their end."""
+    s = S.sessions(_stream(spark, sf_dir, "events").select("user_id", "ts"), "ts", "72 hours", "12 hours", "user_id")
+    return S.drain(s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"))
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of a stream of headlines that are split by how long after their date they were found."""
+    n = V.news(spark, sf_dir, _stream(spark, sf_dir, "documents")).select("id", "pub_ts", "det_ts")
+    current, late = S.split_late(n, "pub_ts", "det_ts", 3)
+    return S.drain(current.select("id", F.lit("current").alias("route"))).union(S.drain(late.select("id", F.lit("late").alias("route"))))
 
 
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +43,9 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (user, type) pairs: a state store keeps the keys seen; what reaches the sink is one row a pair."""
-    e = _stream(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return S.drain(e)
+    """(user, type) pairs as they are first seen; the state forgets a pair once the watermark, a year behind, is past it."""
+    seen = S.first_seen(_stream(spark, sf_dir, "events").select("user_id", "event_type", "ts"), "ts", "365 days", ["user_id", "event_type"])
+    return S.drain(seen.select("user_id", "event_type"))
 
 
 def stream_cached_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,14 +54,15 @@ def stream_cached_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drain(S.cached(asked, cache).select("conv_id", "turn", "origin", "answer"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_weekly_sliding, stream_sessions, stream_latest_state, stream_first_seen, stream_cached_decisions)}
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_weekly_sliding, stream_sessions, stream_late_rows, stream_latest_state, stream_first_seen, stream_cached_decisions)}
 
 ORACLE = {
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_weekly_sliding": "SELECT CAST(CAST(ts AS DATE) - CAST(k AS INT) AS DATE) AS day, count(*) AS n FROM events, range(0, 7) t(k) GROUP BY 1",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (
   SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR""",
+    "stream_late_rows": f"WITH {V.SQL['news']} SELECT id, CASE WHEN date_diff('second', pub_ts, det_ts) > 3 * 3600 THEN 'late' ELSE 'current' END AS route FROM news",
     "stream_latest_state": "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_cached_decisions": """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'cache' ELSE 'open' END AS origin, CAST(CASE WHEN length(text) % 3 = 0 THEN length(text) % 100 END AS INT) AS answer

@@ -12,10 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, title (first 12 words), outlet, lang, pub_ts, det_ts of documents; some dates are missing by rule."""
+def news(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """id, title (first 12 words), outlet, lang, pub_ts, det_ts of documents, or of a stream of them; some dates are missing by rule."""
     at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id * 37 % 720 {} as int), 0, 0)"
-    return table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 12), " ").alias("title"),
         F.col("source").alias("outlet"),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from loomwork.operators.shared import folder
+
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """A Parquet file or folder as a stream; a single file is watched by its name within its folder."""
@@ -86,14 +88,7 @@ def drain(stream: DataFrame, mode: str = "append", key: list[str] | None = None)
     In update mode only the last row of a key counts, in complete mode the last result.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-    out = f"{base}/loomwork/stream-{uuid.uuid4().hex}"
+    out = f"{folder(spark)}/loomwork/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", f"{out}/rows").start()
