@@ -7,11 +7,48 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.operators import editorial as E
-from loomwork.plans.analytics import _SCORED_SQL, cosine_pairs, scored
+from loomwork.operators import rules
+from loomwork.plans.analytics import _SCORED_SQL, _TOPIC_SQL, TOPICS, cosine_pairs, scored
 from loomwork.plans.analytics import ORACLE as _A
 from loomwork.sources import views as V
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+
+
+def rule_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of whole documents by a table of rules."""
+    order = spark.createDataFrame([(t, i) for i, t in enumerate(TOPICS)], "rule string, place int")
+    return rules.topics(_texts(spark, sf_dir), spark.createDataFrame([(t, w) for t, ws in TOPICS.items() for w in ws], "rule string, phrase string"), order)
+
+
+def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each benchmark item: its first four words."""
+    first = F.slice(T.words(F.col("text")), 1, 4)
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), F.array_join(first, " ").alias("phrase"))
+
+
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which benchmark items begin, with the first place and the number of places."""
+    met = rules.matches(_texts(spark, sf_dir), _openings(spark, sf_dir))
+    return met.groupBy("key", "rule").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def rule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the nations that their rules stand for."""
+    targets = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("rule"), F.col("n_name").alias("target"))
+    return rules.links(_texts(spark, sf_dir), _openings(spark, sf_dir), targets)
+
+
+def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that several benchmark items share, and what is wrong with tables read off the data."""
+    bands = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("band"), (F.col("n_nationkey") * 40).alias("low"), (F.col("n_nationkey") * 40 + F.when(F.col("n_nationkey") == 7, 39).otherwise(40)).alias("high"))
+    weights = V.table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), (F.col("r_regionkey") * 10).alias("weight"))
+    two = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ").alias("phrase"))
+    return rules.problems(two, weights, bands)
+
+
 def outlet_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.news(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, F.upper("outlet")).otherwise(F.initcap("outlet")).alias("outlet"))
     return E.display_names(n, "outlet", "id")
@@ -79,10 +116,22 @@ def citation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page_id", F.size("f").alias("n"), T.canonical_key(F.col("f")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (outlet_display_names, case_verdicts, news_by_local_day, reference_instant, recirculated_groups, label_pairs, claim_checks, news_order, claim_pairs, editor_sample, citation_fields)}
+QUERIES = {f.__name__: f for f in (rule_topics, phrase_rules, rule_links, rule_problems, outlet_display_names, case_verdicts, news_by_local_day, reference_instant, recirculated_groups, label_pairs, claim_checks, news_order, claim_pairs, editor_sample, citation_fields)}
 
 _FIG = r"list_sort(list_distinct(list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)*'), lambda x: CASE WHEN ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') = '' THEN '0' ELSE ltrim(regexp_replace(x, '[.,]', '', 'g'), '0') END)))"
+_WORDS = "regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')"
+_PLACES = f"""op AS (SELECT item_id AS rule, {_WORDS}[1:4] AS p FROM benchmark), dw AS (SELECT doc_id AS key, {_WORDS} AS w FROM documents), pl AS (
+  SELECT key, w, unnest(range(len(w))) AS i FROM dw), mt AS (
+  SELECT key, rule, array_to_string(p, ' ') AS phrase, CAST(i AS INT) AS pos FROM pl JOIN op ON w[i + 1] = p[1] WHERE len(p) > 0 AND w[i + 1 : i + len(p)] = p)"""
 ORACLE = {
+    "rule_topics": f"WITH f AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents) SELECT doc_id AS key, {_TOPIC_SQL} AS topic FROM f",
+    "phrase_rules": f"WITH {_PLACES} SELECT key, rule, min(pos) AS first, count(*) AS n FROM mt GROUP BY ALL",
+    "rule_links": f"WITH {_PLACES} SELECT key, n_name AS target, arg_min(phrase, pos) AS phrase FROM mt JOIN nation ON n_nationkey = rule GROUP BY ALL",
+    "rule_problems": f"""WITH p AS (SELECT item_id, array_to_string({_WORDS}[1:2], ' ') AS phrase FROM benchmark)
+SELECT 'rules' AS "table", 'shared_phrase' AS problem, phrase AS detail FROM p WHERE phrase <> '' GROUP BY phrase HAVING count(DISTINCT item_id) > 1
+UNION ALL SELECT 'rules', 'no_words', CAST(item_id AS VARCHAR) FROM p WHERE phrase = ''
+UNION ALL SELECT 'weights', 'sum', CAST(sum(r_regionkey * 10) AS VARCHAR) FROM region HAVING sum(r_regionkey * 10) <> 100
+UNION ALL SELECT 'bands', 'gap_after', n_name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'bands', 'gap_before', n_name FROM nation WHERE n_nationkey = 8""",
     "outlet_display_names": f"""WITH {V.SQL["news"]}, n AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(outlet) ELSE upper(outlet[1]) || lower(outlet[2:]) END AS outlet FROM news)
 SELECT lower(outlet) AS key, arg_min(outlet, id) AS shown FROM n GROUP BY 1""",
     "case_verdicts": """WITH r AS (SELECT o_custkey % 50 AS "case", count(*) FILTER (o_totalprice > 3000) AS p, count(*) FILTER (NOT o_totalprice > 3000) AS f, bool_or(o_custkey % 7 = 0) AS partial FROM orders GROUP BY 1)
