@@ -34,7 +34,7 @@ from loomwork.llm._common import table, tidy
 
 SPACE = "▁"
 #: Cuts that a task remembers; when full, those not asked for since the last time are dropped.
-CACHE = 300_000
+CACHE = 200_000
 #: Cuts longer than this many characters are not remembered.
 LONG = 200
 #: Characters whose cuts are found at once.
@@ -47,18 +47,61 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Pieces:
-    """The vocabulary of a model file, its automaton, and what is known of its pairs."""
+class Spelling:
+    """What the pieces of a model file decode to."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         self.library = lib = SentencePieceProcessor(model_file=path)
+        own = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
+        self.text = {i: lib.id_to_piece(i) for i in own}
+
+    @cached_property
+    def sounds(self) -> pa.Array:
+        """The bytes that each id decodes to."""
+        lib = self.library
+        out = []
+        for i in range(lib.get_piece_size()):
+            if lib.is_byte(i):
+                out.append(bytes([int(lib.id_to_piece(i)[3:-1], 16)]))
+            else:
+                out.append(b"" if lib.is_control(i) else self.text[i].replace(SPACE, " ").encode() if i in self.text else None)
+        return pa.array(out, pa.large_binary())
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of lists of ids that lie end to end."""
+        spelled = pc.take(self.sounds, pa.array(ids, pa.int64()))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), spelled), pa.scalar(b"", pa.large_binary())).to_pylist()
+        out = []
+        for k, raw in enumerate(joined):
+            try:
+                text = raw.decode()
+            except (AttributeError, UnicodeDecodeError):  # the unknown piece, or bytes that are no text
+                text = self.library.decode(ids[offsets[k] : offsets[k + 1]].tolist())
+            else:
+                text = text[1:] if self._starts_with_space(ids[offsets[k] : offsets[k + 1]]) else text
+            out.append(text)
+        return out
+
+    def _starts_with_space(self, ids: np.ndarray) -> bool:
+        """Whether the first piece that is no control piece begins with the space put in front."""
+        for i in ids.tolist():
+            if not self.library.is_control(i):
+                return i in self.text and self.text[i].startswith(SPACE)
+        return False
+
+
+class Pieces(Spelling):
+    """The vocabulary of a model file with its automaton, and what is known of its pairs."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+
+        super().__init__(path)
+        lib = self.library
         n = lib.get_piece_size()
         self.end, self.unknown = lib.eos_id(), lib.unk_id()
-        own = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
-        self.text = {i: lib.id_to_piece(i) for i in own}
         self.score = {t: lib.get_score(i) for i, t in self.text.items()}
         self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(lib.is_byte(i) for i in self.byte)
@@ -183,49 +226,22 @@ class Pieces:
     def forget(self) -> None:
         self._new, self._old = {}, {}
 
-    @cached_property
-    def sounds(self) -> pa.Array:
-        """The bytes that each id decodes to."""
-        lib = self.library
-        out = []
-        for i in range(lib.get_piece_size()):
-            if lib.is_byte(i):
-                out.append(bytes([int(lib.id_to_piece(i)[3:-1], 16)]))
-            else:
-                out.append(b"" if lib.is_control(i) else self.text[i].replace(SPACE, " ").encode() if i in self.text else None)
-        return pa.array(out, pa.large_binary())
+_loaded: dict[tuple[str, type], Spelling] = {}
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
-        """Texts of lists of ids that lie end to end."""
-        spelled = pc.take(self.sounds, pa.array(ids, pa.int64()))
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), spelled), pa.scalar(b"", pa.large_binary())).to_pylist()
-        out = []
-        for k, raw in enumerate(joined):
-            try:
-                text = raw.decode()
-            except (AttributeError, UnicodeDecodeError):  # the unknown piece, or bytes that are no text
-                text = self.library.decode(ids[offsets[k] : offsets[k + 1]].tolist())
-            else:
-                text = text[1:] if self._starts_with_space(ids[offsets[k] : offsets[k + 1]]) else text
-            out.append(text)
-        return out
 
-    def _starts_with_space(self, ids: np.ndarray) -> bool:
-        """Whether the first piece that is no control piece begins with the space put in front."""
-        for i in ids.tolist():
-            if not self.library.is_control(i):
-                return i in self.text and self.text[i].startswith(SPACE)
-        return False
+def _one(path: str, kind: type):
+    """One vocabulary of a kind per worker process and file."""
+    if (path, kind) not in _loaded:
+        _loaded[path, kind] = kind(path)
+    return _loaded[path, kind]
 
 
-_loaded: dict[str, Pieces] = {}
+def pieces(path: str) -> Pieces:
+    return _one(path, Pieces)
 
 
-def pieces(path: str) -> Pieces:
-    """One vocabulary per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+def spelling(path: str) -> Spelling:
+    return _one(path, Spelling)
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType, column: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
@@ -262,7 +278,7 @@ def decode(encoded: DataFrame, model: str | None = None, column: str = "ids") ->
     path = model or default_model()
 
     def make(lists: pa.Array) -> pa.Array:
-        p = pieces(path)
+        p = spelling(path)
         here = lists.is_valid().to_numpy(zero_copy_only=False)
         lists = lists.fill_null([]) if lists.null_count else lists
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
