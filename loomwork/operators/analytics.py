@@ -49,12 +49,10 @@ def local_relation(text: Column, host: Column, words: tuple[str, ...], domains:
 
 
 def _block_pairs(vectors: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(b, c, k, v, k2, v2): every two blocks b <= c of vectors, packed by key order."""
+    """(b, c, k, v, k2, v2): every two blocks b <= c of vectors, dealt by a hash of the key, so that blocks are even whatever the keys."""
     v = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null")
-    low, high, n = v.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-n // block))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
-    packed = v.withColumn("b", F.floor((F.col("k") - F.lit(low or 0)) / width).cast("int")).groupBy("b").agg(F.collect_list("k").alias("k"), F.collect_list("v").alias("v"))
+    blocks = max(1, -(-v.count() // block))
+    packed = v.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list("k").alias("k"), F.collect_list("v").alias("v"))
     right = packed.select(F.col("b").alias("c"), F.col("k").alias("k2"), F.col("v").alias("v2"))
     asked = packed.withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
     return asked.join(right, "c").select("b", "c", "k", "v", "k2", "v2")
@@ -69,7 +67,7 @@ def _cosines(r) -> np.ndarray:
 def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> DataFrame:
     """Exact pairs (a < b, cosine) of at least `least`, computed block against block.
 
-    Vectors are packed into blocks by key order; a task holds two blocks at a time, whatever the input's size.
+    Vectors are packed into blocks by a hash of their keys; a task holds two blocks at a time, whatever the input's size.
     """
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,6 +168,10 @@ def components(edges: DataFrame, shared: str | None = None) -> DataFrame:
             return labels
 
 
+#: Stretches of time whose counts are broadcast.
+STRETCHES = 100_000
+
+
 def pairs_in_time(vectors: DataFrame, key: str, vector: str, hours: str, least: float, window: int, block: int = 1024) -> DataFrame:
     """similar_pairs() of rows whose `hours` lie within `window` of each other, or are missing for one.
 
@@ -179,7 +181,10 @@ def pairs_in_time(vectors: DataFrame, key: str, vector: str, hours: str, least:
     v = vectors.select(F.col(key).alias("k"), F.col(hours).cast("double").alias("h"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null")
     v = v.withColumn("t", F.floor(F.col("h") / window))
     sub = F.pmod(F.xxhash64("k"), F.greatest(F.lit(1), F.ceil(F.col("n") / block))).cast("int")
-    dealt = v.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t"))).withColumn("s", sub)
+    # stretches are counted, never brought together: a hot one, or all rows without a date, is dealt into blocks by hash
+    counts = v.groupBy(F.col("t").alias("ct")).agg(F.count(F.lit(1)).alias("n"))
+    counts = F.broadcast(counts) if counts.limit(STRETCHES + 1).count() <= STRETCHES else counts
+    dealt = v.join(counts, F.col("t").eqNullSafe(F.col("ct"))).withColumn("s", sub)
     packed = dealt.groupBy("t", "s").agg(F.collect_list("k").alias("k"), F.collect_list("h").alias("h"), F.collect_list("v").alias("v"))
     dated, undated = packed.where("t is not null"), packed.where("t is null")
     other = lambda x: x.select("t", *[F.col(c).alias(f"{c}2") for c in "skhv"])

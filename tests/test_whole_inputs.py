@@ -83,3 +83,17 @@ def test_nearest_rows_equal_brute_force(spark):
     for block in (4, 16, 1024):
         rows = analytics.nearest_rows(d, "id", "v", 5, block, 10).collect()
         assert {i: [x["b"] for x in sorted(rows, key=lambda x: x["rank"]) if x["a"] == i] for i in want} == {i: [j for _, j in w] for i, w in want.items()}
+
+
+def test_blocks_are_even_whatever_the_keys(spark):
+    """One key far from all others, and rows that all lack a date."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(90, 4))
+    keys = [*range(89), 10**15]
+    d = spark.createDataFrame([(k, None, x.tolist()) for k, x in zip(keys, v, strict=True)], "id long, hours double, v array<double>")
+    sizes = [len(x["k"]) for x in analytics._block_pairs(d, "id", "v", 10).where("b = c").collect()]
+    assert max(sizes) < 30 and sum(sizes) == 90
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(keys[i], keys[j]) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.8}
+    for got in (analytics.similar_pairs(d, "id", "v", 0.8, 10), analytics.pairs_in_time(d, "id", "v", "hours", 0.8, 72, 10)):
+        assert {(x["a"], x["b"]) for x in got.collect()} == want
