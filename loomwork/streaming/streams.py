@@ -45,10 +45,11 @@ def sliding(events: DataFrame, time: str, late: str, width: str, slide: str, *by
     return stamped.withWatermark("_t", late).groupBy(F.window("_t", width, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sessions(events: DataFrame, time: str, late: str, gap: str, key: str) -> DataFrame:
-    """Events of a key with gaps of at most `gap`."""
+def sessions(events: DataFrame, time: str, late: str | None, gap: str, key: str) -> DataFrame:
+    """Events of a key with gaps of at most `gap`. Without `late` no row is too late, and no session is ever closed."""
     stamped = events.withColumn("_t", F.col(time).cast("timestamp"))
-    return stamped.withWatermark("_t", late).groupBy(key, F.session_window("_t", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    stamped = stamped.withWatermark("_t", late) if late else stamped
+    return stamped.groupBy(key, F.session_window("_t", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_seen(events: DataFrame, time: str, late: str, key: list[str]) -> DataFrame:

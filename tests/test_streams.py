@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from loomwork.plans import streams as plans
 from loomwork.sources import sinks
 from loomwork.streaming import streams as S
 
@@ -60,3 +61,12 @@ def test_a_growing_log_is_read_as_a_stream(spark, tmp_path):
     (tmp_path / "log" / "part-x.json").write_text("{broken\n")
     rows = S.drain(S.read_log(spark, path, "case long, state string")).collect()
     assert sorted((r["case"] or 0, r["state"] or "") for r in rows) == [(0, ""), (1, "approved"), (1, "new"), (2, "new")]
+
+
+def test_sessions_that_are_still_open_are_given_out(spark, tmp_path):
+    """Every event of the table is in a session of the query, also those that no watermark would have closed."""
+    at = lambda h: DAY + datetime.timedelta(hours=h)
+    rows = [(1, at(0)), (1, at(5)), (1, at(40)), (2, at(41)), (2, at(100)), (2, at(101))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in plans.stream_sessions(spark, str(tmp_path)).collect())
+    assert got == [(1, at(0), 2), (1, at(40), 1), (2, at(41), 1), (2, at(100), 2)]
