@@ -97,3 +97,18 @@ def test_blocks_are_even_whatever_the_keys(spark):
     want = {(keys[i], keys[j]) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.8}
     for got in (analytics.similar_pairs(d, "id", "v", 0.8, 10), analytics.pairs_in_time(d, "id", "v", "hours", 0.8, 72, 10)):
         assert {(x["a"], x["b"]) for x in got.collect()} == want
+
+
+def test_blocks_are_not_shuffled_against_each_other(spark):
+    """Pairs of blocks are read from the written blocks: no exchange, whose size would grow as the pairs do."""
+    d = spark.createDataFrame([(i, float(i % 50), [1.0, i / 7]) for i in range(64)], "id long, hours double, v array<double>")
+    for met in (analytics._block_pairs(d, "id", "v", 4), analytics.pairs_in_time(d, "id", "v", "hours", 0.8, 5, 4)):
+        plan = met._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+        assert "Exchange" not in plan and ("NestedLoop" in plan or "CartesianProduct" in plan)
+
+
+def test_equal_keys_of_two_blocks_make_no_pair(spark):
+    d = spark.createDataFrame([(i // 2, None, [1.0, 0.0]) for i in range(24)], "id long, hours double, v array<double>")
+    for got in (analytics.similar_pairs(d, "id", "v", 0.8, 5), analytics.pairs_in_time(d, "id", "v", "hours", 0.8, 5, 5)):
+        rows = [(r["a"], r["b"]) for r in got.collect()]
+        assert all(a < b for a, b in rows) and len(rows) == 4 * 12 * 11 // 2
