@@ -5,7 +5,8 @@ cross-similarity, read off the sums of their vectors, is too low. What a pair do
 group only changes by pairs that touch it. So a pair's turn has come as soon as no earlier pair that touches either of its
 groups is left, wherever other pairs stand, and any order that keeps to this gives the greedy result.
 
-Components of the pair graph are independent; those of up to `limit` pairs are done by one task each. A larger one is done
+Components of the pair graph are independent; those of up to `limit` pairs are done by one task each, many small ones
+by one together. A larger one is done
 in rounds. Every group points to the partner of its first pair; the components of these pointers are the blocks, and each
 block goes through the pairs inside it, stopping at groups that an earlier pair leads out of. A group's first pair is inside
 its block, and so is whatever it waits for: each round does the first pair of every group, at least. Of a block of more than
@@ -27,7 +28,9 @@ from loomwork.operators.analytics import components
 from loomwork.operators.shared import drop, written
 
 #: Pairs that one task goes through.
-LIMIT = 200_000
+LIMIT = 2_000_000
+#: Blocks go to tasks by buckets, at least so many, of about so many groups or pairs: one call of the kernel for each bucket.
+BUCKETS, BUCKET = 32, 50_000
 REFUSALS = ("too_large", "too_long", "too_far")
 
 
@@ -49,6 +52,12 @@ _OUT = "kind string, g long, top long, size long, total array<double>, early dou
 _COUNTS = ("merged", *REFUSALS)
 
 
+def _rows(*columns, chunk: int = 50_000):
+    """Rows of columns as plain values, of which only a chunk is held at a time."""
+    for at in range(0, len(columns[0]), chunk):
+        yield from zip(*[c[at : at + chunk].tolist() for c in columns], strict=True)
+
+
 def _kernel(least: float, most: int, span_hours: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("g")
@@ -68,7 +77,7 @@ def _kernel(least: float, most: int, span_hours: float):
         order = np.lexsort((right["b"], right["a"], -right["cosine"]))
         right = right.iloc[order]
         ends = np.searchsorted(keys, right[["x", "y"]].to_numpy()) if len(right) else np.empty((0, 2), dtype=int)
-        for (i, j), cosine, a, b in zip(ends.tolist(), right["cosine"].tolist(), right["a"].tolist(), right["b"].tolist(), strict=True):
+        for (i, j), cosine, a, b in _rows(ends, right["cosine"], right["a"], right["b"]):
             x, y = sorted((top(i), top(j)))
             if x == y:
                 continue
@@ -117,7 +126,10 @@ def _step(s: _State, block: DataFrame, rules: tuple) -> _State:
     ends = outside.select(F.col("x").alias("g"), rank.alias("r")).union(outside.select(F.col("y").alias("g"), rank.alias("r")))
     first = ends.groupBy("g").agg(F.min("r").alias("r")).select("g", F.col("r.c").alias("wc"), F.col("r.a").alias("wa"), F.col("r.b").alias("wb"))
     left = placed.where("block IS NOT NULL").join(first, "g", "left")
-    out = written(left.groupBy("block").cogroup(inside.groupBy("block")).applyInPandas(_kernel(*rules), _OUT), "clusters")
+    # blocks know nothing of each other, so any number of them is gone through together as if it were one
+    n = max(BUCKETS, -(-max(block.count(), s.edges.count()) // BUCKET))
+    bucket = F.pmod(F.xxhash64("block"), F.lit(n)).alias("bucket")
+    out = written(left.groupBy(bucket).cogroup(inside.groupBy(bucket)).applyInPandas(_kernel(*rules), _OUT), "clusters")
     led = out.where("kind = 'g'").select("g", "top")
     to = lambda df, c: df.join(led.select(F.col("g").alias(c), F.col("top").alias("_top")), c, "left").withColumn(c, F.coalesce("_top", c)).drop("_top")
     names = ["g", "size", "total", "early", "late"]

@@ -68,3 +68,24 @@ def test_ties_undated_items_and_nothing(spark):
         assert run(spark, rows, pairs, 0.6, 0.05, 5, 6, limit) == greedy(rows, pairs, 0.55, 5, 6)
     assert run(spark, rows, [], 0.6, 0.05, 5, 6, 9) == ({k: k for k in range(12)}, {"merged": 0, "too_large": 0, "too_long": 0, "too_far": 0})
     assert run(spark, [], [], 0.6, 0.05, 5, 6, 9)[0] == {}
+
+
+def test_many_small_blocks_are_gone_through_together(spark, monkeypatch, tmp_path):
+    """The kernel is called by buckets, and not once for each of hundreds of components."""
+    plain = C._kernel
+
+    def counted(*rules):
+        run = plain(*rules)
+
+        def noted(left, right):
+            with open(tmp_path / "calls", "a") as f:
+                f.write(".")
+            return run(left, right)
+
+        return noted
+
+    monkeypatch.setattr(C, "_kernel", counted)
+    rows = [(k, float(k % 7), [1.0, k % 3 / 10]) for k in range(900)]
+    pairs = [(k, k + 1, 0.9) for k in range(0, 900, 3)] + [(k + 1, k + 2, 0.8) for k in range(0, 900, 3)]
+    assert run(spark, rows, pairs, 0.6, 0.05, 2, 168, C.LIMIT) == greedy(rows, pairs, 0.55, 2, 168)
+    assert len((tmp_path / "calls").read_text()) <= C.BUCKETS
