@@ -3,15 +3,15 @@
 Titles are compared in a comparable form (text.comparable_title) by the Ratcliff-Obershelp ratio 2M/(|a|+|b|), M being the
 characters in matching blocks. The blocks keep their order, so a ratio of r leaves at most (1-r)(|a|+|b|) characters
 outside; each takes at most q grams of its own text or q-1 of the other along, so both titles share at least
-((2q-1)r/2 - (q-1))(|a|+|b|) - (q-1) grams, and |b| lies between r/(2-r) and (2-r)/r times |a|. Each title therefore shows
-only its rarest grams, as many as it would need to miss all of them together, and titles of a group that show one in
-common are candidates; those with enough grams in common are compared.
+((2q-1)r/2 - (q-1))(|a|+|b|) - (q-1) grams, and |b| lies between r/(2-r) and (2-r)/r times |a|. So they differ in few grams, and in no
+more bits, where a title's characters (q = 1) and pairs of characters (q = 2) are set as bits: that is looked at for all titles of a
+group, block against block, and the ratio of what is left is computed in the same task. No pairs are shuffled or written. The
+work grows as the square of a group's titles, memory and disk grow as the titles.
 
 What comes of it are components, so titles that are known to belong together need no comparison. Equal titles are one node,
 nodes of one outlet hang on one of them, and near copies mostly stand side by side when titles are sorted, from either end:
-these links are found first, by one pass over ranges of the sorted titles. Candidates are then drawn between components
-only: first with one title for each component at each gram, then, between what is still apart, with all of them, where a
-gram's largest component does not look for partners. So thousands of copies of one note do not meet each other.
+these links are found first, by one pass over ranges of the sorted titles, and blocks are compared between components only. So thousands
+of copies of one note do not meet each other.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.operators import analytics
 from loomwork.operators.analytics import components
 from loomwork.operators.shared import drop, written
 
@@ -35,6 +39,18 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, which the matching blocks of two titles do not exceed."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = v = (1 << len(a)) - 1
+    for c in b:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & every
+    return len(a) - v.bit_count()
+
+
 def _shared_grams(lengths: Column, least: float) -> Column:
     """Grams that two titles of these lengths together share at least."""
     return F.ceil(F.lit((2 * Q - 1) * least / 2 - (Q - 1)) * lengths - (Q - 1) - 1e-9).cast("int")
@@ -42,6 +58,8 @@ def _shared_grams(lengths: Column, least: float) -> Column:
 
 def _similar(a: str, b: str, a_first: int, a_last: int, b_first: int, b_last: int, least: float) -> bool:
     """Whether any row of one title is followed by one of the other that is nearly identical: the ratio depends on the order."""
+    if 2 * _common(a, b) < least * (len(a) + len(b)):
+        return False
     return (a_first < b_last and ratio(a, b) >= least) or (b_first < a_last and ratio(b, a) >= least)
 
 
@@ -58,14 +76,19 @@ def _neighbours(nodes: DataFrame, least: float, backwards: bool) -> DataFrame:
     """Edges between similar titles that are neighbours in sorted order. Those at the borders of ranges are left out."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, head = None, 0
         for b in batches:
             out = []
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                similar = False
                 if last is not None and last[0] == row[0]:
                     (_, t, n, z), (_, u, m, y) = last, row
-                    if len(t) + len(u) and 2 * min(len(t), len(u)) >= least * (len(t) + len(u)) and _similar(t, u, n, z, m, y, least):
-                        out.append((n, m))
+                    similar = len(t) + len(u) > 0 and 2 * min(len(t), len(u)) >= least * (len(t) + len(u)) and _similar(t, u, n, z, m, y, least)
+                if similar:
+                    # a run of similar neighbours hangs on its first: no long chains
+                    out.append((head, row[2]))
+                else:
+                    head = row[2]
                 last = row
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], names=["a", "b"])
 
@@ -83,51 +106,136 @@ def grams(title: Column) -> Column:
     return F.when(F.length(title) >= Q, marked).otherwise(F.array().cast("array<string>"))
 
 
-def shown(nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """(group, gram, node, n) of nodes (group, title, node): the grams that a title of n characters shows."""
+def _bits(titles: list[str]) -> np.ndarray:
+    """(titles, 16) words: 512 bits for the characters of a title and 512 for its pairs of characters, k-th occurrences marked by k."""
+    rows, cols = [], []
+    for i, t in enumerate(titles):
+        code = [(c - 96 if c > 96 else c - 21 if c > 47 else 0) % 37 for c in map(ord, t)]
+        k: dict[int, int] = {}
+        for c in code:
+            n = k[c] = k.get(c, -1) + 1
+            cols.append(c * 13 + n if n < 13 else 481 + (c + n) % 31)
+        for c in map(lambda x, y: 40 + 37 * x + y, code, code[1:]):
+            n = k[c] = k.get(c, -1) + 1
+            cols.append(512 + (c * 0x9E3779B1 + n * 0x85EBCA6B >> 7) % 512)
+        rows += [i] * (len(cols) - len(rows))
+    every = np.zeros((len(titles), 1024), bool)
+    every[rows, cols] = True
+    return np.packbits(every, axis=1).view(np.uint64)
+
+
+def _apart(la: np.ndarray, lb: np.ndarray, q: int, least: float) -> np.ndarray:
+    """Grams of q characters that titles of these lengths have at most in one and not in the other, if they are nearly identical."""
+    shared = np.ceil(((2 * q - 1) * least / 2 - (q - 1)) * (la + lb) - (q - 1) - 1e-9)
+    return np.maximum(la - q + 1, 0) + np.maximum(lb - q + 1, 0) - 2 * np.maximum(shared, 0)
+
+
+#: Titles of a block, and those that are compared with a block at a time.
+BLOCK, _STRIP = 4096, 64
+_BLOCKS = "b long, low string, high string, short long, long long, g array<string>, node array<long>, last array<long>, root array<long>, title array<string>, bits binary"
+
+
+def shown(nodes: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """Blocks of nodes (group, title, node, last, root) that stand side by side by group and length, with their bits, written once."""
     if (2 * Q - 1) * least / 2 - (Q - 1) <= 0 or least < LEAST:
         raise ValueError(f"titles are compared by grams from a ratio of {LEAST} on")
-    sized = nodes.select("group", "node", F.length("title").alias("n"), grams(F.col("title")).alias("grams"))
-    each = sized.select("node", F.explode("grams").alias("gram"))
-    rare = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
-    # a partner of a title of n characters has n r / (2 - r) or more; what they must share, the rarest grams cannot all miss
-    need = F.greatest(F.lit(1), _shared_grams(F.col("n") * (1 + least / (2 - least)), least))
-    ranked = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    sized = sized.drop("grams").join(ranked, "node").withColumn("g", F.slice("g", 1, F.greatest(F.lit(0), F.size("g") - need + 1)))
-    return sized.select("group", F.explode("g.gram").alias("gram"), "node", "n")
-
-
-def candidates(posts: DataFrame, nodes: DataFrame, least: float = LEAST, each: bool = True) -> DataFrame:
-    """(a, b), a < b, of the shown grams of nodes (group, title, node, root): pairs with different roots whose lengths and
-    grams allow the ratio. Every pair that has it is among them; unless `each`, one title stands for a root at each gram."""
-    posts = posts.join(nodes.select("node", "root"), "node")
-    if not each:
-        posts = posts.groupBy("group", "gram", "root").agg(F.min(F.struct("node", "n")).alias("x")).select("group", "gram", "root", "x.*")
-    roots = posts.groupBy("group", "gram", "root").agg(F.count(F.lit(1)).alias("k"))
-    most = roots.groupBy("group", "gram").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    # of two components at most one is a gram's largest: the other's titles look for partners
-    left = posts.join(most, ["group", "gram"]).where("root <> most").select("group", "gram", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    fit = (F.col("root") != F.col("rx")) & (2 * F.least("n", "nx") >= least * (F.col("n") + F.col("nx")))
-    met = left.join(posts, ["group", "gram"]).where(fit).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    own = nodes.select(F.col("group").cast("string").alias("g"), "node", "last", "root", "title").where("g is not null")
+    n = own.count()
+    parts = max(1, min(-(-n // block), analytics.PARTS), -(-n // (analytics.PART * block)))
+    order = ["g", F.length("title"), "title"]
+    ranged = own.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts > 1 else own.coalesce(1).sortWithinPartitions(*order)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                cols = batch.slice(at, block).to_pydict()
+                sizes = [len(t) for t in cols["title"]]
+                row = {"b": (part << 33) + place, "low": min(cols["g"]), "high": max(cols["g"]), "short": min(sizes), "long": max(sizes), **cols, "bits": _bits(cols["title"]).tobytes()}
+                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in shape], schema=shape)
+                place += 1
+
+    shape = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _BLOCKS.split(", ")])
+    return written(ranged.mapInArrow(pack, _BLOCKS), "replica-blocks")
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+
+
+def _met(blocks: DataFrame, least: float) -> DataFrame:
+    """Every two blocks b <= c that may hold nearly identical titles of one group. Tasks read written blocks against each other."""
+    other = blocks.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
+    ratio_ = F.lit(least / (2 - least) - 1e-9)
+    near = (F.col("low") <= F.col("high2")) & (F.col("low2") <= F.col("high")) & (F.col("long") >= F.col("short2") * ratio_) & (F.col("long2") >= F.col("short") * ratio_)
+    return blocks.crossJoin(other).where((F.col("b") <= F.col("b2")) & near)
+
+
+def _close(r, least: float) -> Iterator[tuple[int, int]]:
+    """Places of the titles of a pair of blocks that are of one group and differ in few enough bits; their roots differ."""
+    x, y = (np.frombuffer(z, np.uint64).reshape(-1, 16) for z in (r.bits, r.bits2))
+    la, lb = (np.array([len(t) for t in z], dtype=float) for z in (r.title, r.title2))
+    one = r.low == r.high == r.low2 == r.high2
+    codes = np.zeros(len(la) + len(lb)) if one else np.unique([*r.g, *r.g2], return_inverse=True)[1]
+    ga, gb = codes[: len(x)], codes[len(x) :]
+    ra, rb = np.asarray(r.root), np.asarray(r.root2)
+    ia, ib = la.astype(int), lb.astype(int)
+    most = _apart(np.arange(ia.max() + ib.max() + 1.0), 0.0, 1, least).astype(np.uint16)
+    flipped = np.ascontiguousarray(y[:, :8].T)
+    for at in range(0, len(x), _STRIP):
+        rows = slice(at, at + _STRIP)
+        far = np.zeros((len(x[rows]), len(y)), np.uint16)
+        for w in range(8):
+            far += np.bitwise_count(x[rows, w, None] ^ flipped[w])
+        close = far <= most[ia[rows, None] + ib]
+        i, j = np.nonzero(close if one else close & (ga[rows, None] == gb))
+        i += at
+        keep = (ra[i] != rb[j]) & (2 * np.minimum(la[i], lb[j]) >= least * (la[i] + lb[j])) & ((i < j) if r.b == r.b2 else True)
+        i, j = i[keep], j[keep]
+        near = np.bitwise_count(x[i, 8:] ^ y[j, 8:]).sum(axis=1) <= _apart(la[i], lb[j], 2, least)
+        yield from zip(i[near].tolist(), j[near].tolist(), strict=True)
+
+
+def candidates(blocks: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b), a < b, of shown() nodes (group, title, node, root): pairs with different roots whose lengths and grams allow the
+    ratio. Every pair that has it is among them."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                yield pd.DataFrame([sorted((r.node[i], r.node2[j])) for i, j in _close(r, least)], columns=["a", "b"], dtype="int64")
+
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("title").alias(f"t{c}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
+    both = _met(blocks, least).mapInPandas(kernel, _EDGE).join(side("a"), "a").join(side("b"), "b")
     return both.where(F.size(F.array_intersect(grams(F.col("ta")), grams(F.col("tb")))) >= _shared_grams(F.length("ta") + F.length("tb"), least)).select("a", "b")
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*[c.to_pylist() for c in b.columns], strict=True)
-            out = [(a, c) for a, c, t, u, z, y in rows if _similar(t, u, a, z, c, y, least)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], names=["a", "b"])
+def _joined(blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b): roots that nearly identical titles join. A task compares no titles whose roots it has joined already."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        for f in frames:
+            for r in f.itertuples(index=False):
+                out = []
+                for i, j in _close(r, least):
+                    a, b = top(int(r.root[i])), top(int(r.root2[j]))
+                    if a != b and _similar(r.title[i], r.title2[j], r.node[i], r.last[i], r.node2[j], r.last2[j], least):
+                        up[max(a, b)] = min(a, b)
+                        out.append((a, b))
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("title").alias(f"t{c}"), F.col("last").alias(f"z{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb", "za", "zb").mapInArrow(kernel, _EDGE)
+    return _met(blocks, least).mapInPandas(kernel, _EDGE)
 
 
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(roots, "node", "left").select("group", "title", "node", "last", F.coalesce("root", "node").alias("root"))
 
 
 def source_of(members: DataFrame, least: float = LEAST) -> DataFrame:
@@ -145,16 +253,15 @@ def source_of(members: DataFrame, least: float = LEAST) -> DataFrame:
     outlets = named.join(star, ["group", "outlet"]).where("node <> b").select(F.col("node").alias("a"), "b")
     near = _neighbours(nodes, least, False).union(_neighbours(nodes, least, True))
     edges = written(outlets.union(near), "replica-edges")
-    posts = written(shown(nodes, least), "replica-grams")
-    for each in (False, True):
-        rooted = written(_rooted(nodes, edges).select("group", "title", "node", "last", "root"), "replica-roots")
-        more = written(edges.union(_compared(candidates(posts, rooted, least, each), rooted, least)), "replica-edges")
-        drop(rooted, edges)
-        edges = more
+    rooted = written(_rooted(nodes, edges), "replica-roots")
+    drop(edges)
+    blocks = shown(rooted, least)
+    # only roots are joined anew
+    again = components(_joined(blocks, least)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    drop(blocks)
+    rooted = rooted.join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     # a source's name is its smallest key: that of its first title
-    out = held.join(_rooted(nodes.select("node"), edges), "node").select("group", "key", F.col("root").alias("source"))
-    drop(posts, edges)
-    return out
+    return held.join(rooted, "node").select("group", "key", F.col("root").alias("source"))
 
 
 def independent_sources(members: DataFrame, least: float = LEAST) -> DataFrame:

@@ -107,3 +107,17 @@ def test_one_agency_text_in_five_outlets_is_one_source(spark):
     assert (got[1]["urgency"], got[1]["novelty"], got[1]["impact"]) == (5000, 10_000, 8000)
     assert (got[2]["urgency"], got[2]["novelty"], got[2]["impact"]) == (0, 0, 3000)
     assert replicas.source_of(d.selectExpr("group", "id AS key", "outlet", "title").limit(0)).collect() == []
+
+
+def test_disk_does_not_grow_as_the_pairs_of_titles(spark):
+    """Titles of few different words share most grams; blocks of them are compared without writing or shuffling pairs."""
+    r = random.Random(11)
+    words = ["the", "minister", "of", "trade", "opens", "new", "canal", "bridge", "port", "today"]
+    rows = [(1, k, f"o{k}", " ".join(r.choices(words, k=12)) + ("" if k % 3 else "!")) for k in range(300)] + [(2, 1000 + k, f"o{k}", f"{k // 2} note on the harbour and the {'b' if k // 2 else 'sea'}") for k in range(6)]
+    d = spark.createDataFrame(rows, FIELDS)
+    assert {x["key"]: x["source"] for x in replicas.source_of(d).collect()} == brute(rows)
+    nodes = replicas.title_nodes(d).withColumn("root", F.col("node"))
+    plan = replicas._joined(replicas.shown(nodes, block=64), 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    rebuilt = {tuple(x) for x in replicas.candidates(replicas.shown(nodes, block=64), nodes).collect()}
+    assert rebuilt == {tuple(x) for x in replicas.candidates(replicas.shown(nodes), nodes).collect()}

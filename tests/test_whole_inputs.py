@@ -112,3 +112,17 @@ def test_equal_keys_of_two_blocks_make_no_pair(spark):
     for got in (analytics.similar_pairs(d, "id", "v", 0.8, 5), analytics.pairs_in_time(d, "id", "v", "hours", 0.8, 5, 5)):
         rows = [(r["a"], r["b"]) for r in got.collect()]
         assert all(a < b for a, b in rows) and len(rows) == 4 * 12 * 11 // 2
+
+
+def test_components_of_a_long_chain_take_few_jobs(spark):
+    """The driver's memory goes by the plans it has made: a chain is not walked in rounds; cut into forests it gives the same."""
+    chain = [(i + 1, i) for i in range(600)]
+    random.Random(3).shuffle(chain)
+    e = spark.createDataFrame(chain + [(1000, 1001), (7, 7), (2000, 2000)], "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("chain", "components")
+    got = {tuple(r) for r in analytics.components(e).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert got == {(i, 0) for i in range(601)} | {(1000, 1000), (1001, 1000)}
+    assert jobs <= 8, jobs
+    assert {tuple(r) for r in analytics.components(e, most=40).collect()} == got
