@@ -2,7 +2,7 @@
 
 A rule table has rows (rule, phrase). Texts and phrases are folded to words; every word of a text meets the phrases that begin
 with it, once, whatever the number of rules, and the words that follow decide. Rules may be many: the join is by the first
-word, and small tables are broadcast by their measured size.
+word. Up to SMALL phrases are broadcast, so that the words of the texts are not shuffled; beyond, the join is shuffled.
 """
 
 from __future__ import annotations
@@ -13,20 +13,26 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 
 
+#: Phrases that are broadcast.
+SMALL = 200_000
+
+
 def prepared(rules: DataFrame) -> DataFrame:
     """(rule, head, phrase, size) of rules (rule, phrase): folded phrases by their first word, each once a rule; without words: none."""
     words = rules.select("rule", T.words(F.coalesce("phrase", F.lit(""))).alias("w")).where(F.size("w") > 0)
     return words.select("rule", F.col("w")[0].alias("head"), F.array_join("w", " ").alias("phrase"), F.size("w").alias("size")).distinct()
 
 
-def matches(texts: DataFrame, rules: DataFrame, longest: int = 8) -> DataFrame:
+def matches(texts: DataFrame, rules: DataFrame, longest: int = 8, small: int = SMALL) -> DataFrame:
     """(key, rule, phrase, at) of texts (key, text): every place, counted in words from 0, where a phrase of up to `longest` words stands."""
-    p = prepared(rules)
+    p = prepared(rules).where(F.col("size") <= longest)
+    if p.limit(small + 1).count() <= small:
+        p = F.broadcast(p)
     every = T.words(F.coalesce("text", F.lit("")))
     words = texts.select("key", every.alias("w")).select("key", "w", F.posexplode("w").alias("at", "head"))
     # what follows is cut to the longest phrase before the join, so that no row carries a whole text
     near = words.select("key", "at", "head", F.array_join(F.slice("w", F.col("at") + 1, longest), " ").alias("next"))
-    met = near.join(p.where(F.col("size") <= longest), "head")
+    met = near.join(p, "head")
     return met.where((F.col("next") == F.col("phrase")) | F.startswith("next", F.concat("phrase", F.lit(" ")))).select("key", "rule", "phrase", "at")
 
 

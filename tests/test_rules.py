@@ -28,3 +28,12 @@ def test_problems_of_tables(spark):
     assert {("rules", "shared_phrase", "one two"), ("rules", "no_words", "c"), ("weights", "sum", "90"), ("weights", "negative", "i"), ("weights", "repeated", "i"), ("bands", "repeated", "low"), ("bands", "empty", "low"), ("bands", "gap_after", "mid"), ("bands", "gap_before", "high")} <= got
     good = R.problems(r.where("rule in ('a', 'd')"), spark.createDataFrame([("r", 60), ("i", 40)], "name string, weight int"), spark.createDataFrame([("low", 0, 400), ("high", 400, 1000)], "band string, low int, high int"))
     assert good.collect() == []
+
+
+def test_words_of_texts_are_not_shuffled_to_a_few_rules(spark):
+    t = spark.createDataFrame([(1, "the panama canal"), (2, "water")], "key long, text string")
+    r = spark.createDataFrame([("canal", "Panama Canal"), ("water", "water")], "rule string, phrase string")
+    few, many = R.matches(t, r), R.matches(t, r, small=1)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 2
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(R.matches(t, r, small=1)) and "SortMergeJoin" not in plan(R.matches(t, r))
