@@ -286,6 +286,8 @@ def pairs_in_time(vectors: DataFrame, key: str, vector: str, hours: str, least:
 # ---- retrieval -------------------------------------------------------------------------------------------------
 
 
+#: Documents that a task of bm25() scores, about.
+DOCS = 2048
 #: Folders of a written index; a term's folder is its hash, so that a question opens those of its terms only.
 FOLDERS = 64
 
@@ -323,7 +325,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     asked = _asked(queries)
     near = F.broadcast if asked.limit(small + 1).count() <= small else lambda df: df
     df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    words = docs.select("doc", "text").repartition("doc").select("doc", T.tokens(F.col("text")).alias("w"))
+    # a task counts and scores so many documents, whatever the input's size
+    parts = max(-(-docs.count() // DOCS), docs.sparkSession.sparkContext.defaultParallelism)
+    words = docs.select("doc", "text").repartition(parts, "doc").select("doc", T.tokens(F.col("text")).alias("w"))
     tokens = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).join(near(asked.select("term").distinct()), "term", "left_semi")
     index = tokens.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return _scored(index, near(term_weights(docs, df, floor).join(near(asked), "term")), k1, b)
@@ -366,6 +370,39 @@ def fuse(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.6) -> DataFra
     return both.join(tops, "query").select("query", "doc", score.alias("score"), "cosine", F.col("lex").alias("lexical"))
 
 
+def first_of_tasks(scored: DataFrame, k: int, held: int = 1 << 18) -> DataFrame:
+    """Rows (query, doc, score) of which top_k() keeps the same as of all: each task's k best of every query.
+
+    Rows stream through a task, which holds `held` of them, or the k best of its queries if these are more, and sorts no others.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n, most = [], 0, held
+        for batch in batches:
+            kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n >= most:
+                kept = [_best(kept, k)]
+                n = len(kept[0][0])
+                most = max(held, 2 * n)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(_best(kept, k), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "doc", "score"])
+
+    return scored.select(F.col("query").cast("long"), F.col("doc").cast("long"), F.col("score").cast("double")).mapInArrow(kernel, "query long, doc long, score double")
+
+
+def _best(parts: list, k: int) -> list[np.ndarray]:
+    """The k rows (query, doc, score) of each query that top_k() puts first, and those that may be equal to the last by rounding."""
+    q, d, s = map(np.concatenate, zip(*parts, strict=True))
+    o = np.lexsort((d, -s, q))
+    q, d, s = q[o], d[o], s[o]
+    first = np.searchsorted(q, q)
+    ends = np.minimum(first + k, np.searchsorted(q, q, side="right")) - 1
+    # scores count to nine places: those within a place of the k-th stay for top_k() to order
+    keep = s >= s[ends] - 2e-9
+    return [q[keep], d[keep], s[keep]]
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

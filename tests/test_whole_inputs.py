@@ -126,3 +126,12 @@ def test_components_of_a_long_chain_take_few_jobs(spark):
     assert got == {(i, 0) for i in range(601)} | {(1000, 1000), (1001, 1000)}
     assert jobs <= 8, jobs
     assert {tuple(r) for r in analytics.components(e, most=40).collect()} == got
+
+
+def test_the_best_of_tasks_hold_the_best_of_all(spark):
+    r = random.Random(5)
+    rows = [(q, d, r.choice([1.0, 2.0, 3.0, 3.0000000001, 2.0000000004]) if d % 7 else r.random()) for q in range(4) for d in range(500)]
+    s = spark.createDataFrame(rows, "query long, doc long, score double").repartition(3)
+    few = analytics.first_of_tasks(s, 5, held=64)
+    best = lambda df: sorted((x["query"], x["rank"], x["doc"]) for x in analytics.top_k(df, 5).collect())
+    assert best(few) == best(s) and analytics.first_of_tasks(s.limit(0), 5).collect() == []
