@@ -8,6 +8,8 @@ more bits, where a title's characters (q = 1) and pairs of characters (q = 2) ar
 group, block against block, and the ratio of what is left is computed in the same task. No pairs are shuffled or written. The
 work grows as the square of a group's titles, memory and disk grow as the titles.
 
+Groups of few rows lie each in one task, which compares them at once; what follows is for the others.
+
 What comes of it are components, so titles that are known to belong together need no comparison. Equal titles are one node,
 nodes of one outlet hang on one of them, and near copies mostly stand side by side when titles are sorted, from either end:
 these links are found first, by one pass over ranges of the sorted titles, and blocks are compared between components only. So thousands
@@ -63,6 +65,12 @@ def _similar(a: str, b: str, a_first: int, a_last: int, b_first: int, b_last: in
     return (a_first < b_last and ratio(a, b) >= least) or (b_first < a_last and ratio(b, a) >= least)
 
 
+def _alike(first: str, then: str, least: float) -> bool:
+    """Whether two titles in this order are nearly identical."""
+    both = least * (len(first) + len(then))
+    return 2 * min(len(first), len(then)) >= both and 2 * _common(first, then) >= both and ratio(first, then) >= least
+
+
 def title_nodes(members: DataFrame) -> DataFrame:
     """(group, title, node, last) of members (group, key, title): distinct comparable titles by their first and last key."""
     own = members.select("group", "key", T.comparable_title(F.coalesce("title", F.lit(""))).alias("title"))
@@ -238,15 +246,61 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("group", "title", "node", "last", F.coalesce("root", "node").alias("root"))
 
 
-def source_of(members: DataFrame, least: float = LEAST) -> DataFrame:
+#: Rows of a group that one task compares by itself.
+SMALL = 256
+
+
+def _small(own: DataFrame, least: float) -> DataFrame:
+    """(group, key, source) of own (group, key, outlet, title), title comparable, of groups of up to SMALL rows: a group lies in one task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sources = [], []
+            for rows in batch.column(1).to_pylist():
+                rows = sorted((r["key"], r["outlet"], r["title"]) for r in rows)
+                up = {k: k for k, _, _ in rows}
+
+                def top(x: int) -> int:
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                for i, (b, outlet, title) in enumerate(rows):
+                    for a, other, before in rows[:i]:
+                        x, y = top(a), top(b)
+                        # the ratio depends on the order: the row that comes first stands first
+                        if x != y and (outlet == other or title == before or _alike(before, title, least)):
+                            up[max(x, y)] = min(x, y)
+                keys.append([r[0] for r in rows])
+                sources.append([top(r[0]) for r in rows])
+            made = [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["group", "key", "source"])
+
+    kind = own.schema["group"].dataType.simpleString()
+    held = own.groupBy("group").agg(F.collect_list(F.struct("key", "outlet", "title")).alias("rows"))
+    each = held.mapInArrow(kernel, f"group {kind}, key array<long>, source array<long>")
+    return each.select("group", F.explode(F.arrays_zip("key", "source")).alias("x")).select("group", "x.key", "x.source")
+
+
+def source_of(members: DataFrame, least: float = LEAST, small: int = SMALL) -> DataFrame:
     """(group, key, source) of members (group, key, outlet, title), keys unique: rows of one outlet or with nearly identical
     titles, directly or by others, have one source, named by its smallest key.
 
-    A null outlet is an outlet; a null title is empty; case and outer spaces of outlets do not count.
+    A null outlet is an outlet; a null title is empty; case and outer spaces of outlets do not count. Groups of up to `small`
+    rows are compared each by one task, the others block against block.
     """
-    own = members.select("group", F.col("key").cast("long").alias("key"), F.lower(F.trim(F.coalesce("outlet", F.lit("")))).alias("outlet"), "title")
-    nodes = written(title_nodes(own), "replica-titles")
-    titled = own.select("group", "key", "outlet", T.comparable_title(F.coalesce("title", F.lit(""))).alias("title"))
+    own = members.select("group", F.col("key").cast("long").alias("key"), F.lower(F.trim(F.coalesce("outlet", F.lit("")))).alias("outlet"), T.comparable_title(F.coalesce("title", F.lit(""))).alias("title"))
+    own = written(own.where("group is not null"), "replica-rows")
+    large = written(own.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("group"), "replica-large")
+    if large.isEmpty():
+        return _small(own, least)
+    rest = _small(own.join(large, "group", "left_anti"), least)
+    return rest.unionByName(_sources(own.join(large, "group", "left_semi"), least))
+
+
+def _sources(titled: DataFrame, least: float) -> DataFrame:
+    """source_of() of rows (group, key, outlet, title), title comparable, of groups of any size."""
+    nodes = written(titled.groupBy("group", "title").agg(F.min("key").alias("node"), F.max("key").alias("last")), "replica-titles")
     held = written(titled.join(nodes, ["group", "title"]).select("group", "key", "outlet", "node"), "replica-members")
     named = held.groupBy("group", "outlet", "node").agg(F.count(F.lit(1)).alias("n"))
     star = named.groupBy("group", "outlet").agg(F.min("node").alias("b"))

@@ -11,6 +11,7 @@ from loomwork.operators import editorial as E
 from loomwork.operators import evaluation as X
 from loomwork.operators import inbox as I
 from loomwork.operators import replicas
+from loomwork.operators.shared import written
 from loomwork.plans.analytics import _BM25_NEWS, _SCORED_SQL, EDITORIAL, IMPACT, REFERENCE, WEIGHTS, official_values, scored
 from loomwork.sources import views as V
 
@@ -29,7 +30,8 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
+    # the texts are read once: what follows reads items
+    items = written(_items(spark, sf_dir), "items")
     outside = items.where("id % 28 = 0").select("group", F.lit(None).cast("long").alias("relevance"), F.lit(10_000).cast("long").alias("impact"), F.lit(2500).cast("long").alias("urgency"))
     official = I.context(_linked(spark, sf_dir).select(F.floor(F.col("id") / 4).alias("group"), "status"))
     return I.topics(items, F.lit(REFERENCE).cast("timestamp_ntz"), WEIGHTS, IMPACT, EDITORIAL, outside, official)

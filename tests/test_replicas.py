@@ -67,6 +67,23 @@ def test_sources_equal_comparing_all_pairs(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("small", [0, 100])
+def test_groups_of_any_size_have_the_same_sources(spark, small):
+    rows = headlines(3, 260)
+    got = {r["key"]: r["source"] for r in replicas.source_of(spark.createDataFrame(rows, FIELDS), small=small).collect()}
+    assert got == brute(rows)
+
+
+def test_small_groups_are_compared_without_blocks(spark, monkeypatch):
+    def blocked(*_):
+        raise AssertionError("small groups are written as blocks")
+
+    monkeypatch.setattr(replicas, "shown", blocked)
+    rows = [(k // 12, k, o, t) for _, k, o, t in headlines(6, 200)]
+    got = {r["key"]: r["source"] for r in replicas.source_of(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == brute(rows)
+
+
 def test_every_similar_pair_is_a_candidate_and_few_others_are(spark):
     rows = [(1, k, f"o{k}", t) for _, k, _, t in headlines(5, 400)]
     nodes = replicas.title_nodes(spark.createDataFrame(rows, FIELDS)).withColumn("root", F.col("node"))
