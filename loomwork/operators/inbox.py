@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import numeric as N
 from loomwork.operators import relational as R
 from loomwork.operators.replicas import independent_sources
+from loomwork.operators.shared import near
 
 COMPONENTS = ("relevance", "impact", "urgency", "novelty", "evidence")
 
@@ -125,11 +126,11 @@ def series_links(links: DataFrame, values: DataFrame, key: str, years: int = 5)
     """
     known = values.where("value is not null")
     last = known.groupBy(key).agg(F.max("year").alias("year"), F.max_by("value", "year").alias("value"))
-    near = known.withColumnRenamed("year", "y").join(last.select(key, "year"), key).where(F.col("y") > F.col("year") - years)
+    recent = known.withColumnRenamed("year", "y").join(last.select(key, "year"), key).where(F.col("y") > F.col("year") - years)
     text = F.concat(F.col("y").cast("string"), F.lit(":"), F.col("value").cast("string"))
-    series = near.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(text)), " ").alias("series"))
+    series = recent.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(text)), " ").alias("series"))
     status = F.when(F.col("year").isNull(), "pending").otherwise("linked")
-    return links.join(last, key, "left").join(series, key, "left").withColumn("status", status)
+    return links.join(near(last), key, "left").join(near(series), key, "left").withColumn("status", status)
 
 
 def adaptive_unit(days: int) -> str:

@@ -24,6 +24,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.operators import analytics
 from loomwork.operators.analytics import components
+from loomwork.operators.grams import few, spread
 from loomwork.operators.shared import drop, written
 
 #: Grams of three characters; the least ratio for which every two unequal titles must share one.
@@ -246,35 +248,70 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("group", "title", "node", "last", F.coalesce("root", "node").alias("root"))
 
 
-#: Rows of a group that one task compares by itself.
-SMALL = 256
+#: Rows of a group that one task compares by itself; rows of groups, and pairs of them, that it holds at a time, about.
+SMALL, ROWS, PAIRS = 256, 1 << 15, 1 << 16
+
+
+def _possible(titles: list[str], start: np.ndarray, before: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """(i, j): rows i and j < i of the `before` rows from start[i] on that share characters enough to be nearly identical."""
+    n, length = len(titles), np.fromiter(map(len, titles), np.int64, len(titles))
+    c = np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.where(c > 96, c - 96, np.where(c > 47, c - 21, 0)) % 37
+    held = np.bincount(np.repeat(np.arange(n), length) * 37 + code, minlength=37 * n).reshape(n, 37).astype(np.int32)
+    ends, at = np.cumsum(before), 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        i, j = np.repeat(np.arange(at, to), before[at:to]), spread(start[at:to], before[at:to])
+        both = least * (length[i] + length[j])
+        some = 2 * np.minimum(length[i], length[j]) >= both
+        i, j, both = i[some], j[some], both[some]
+        some = 2 * np.minimum(held[i], held[j]).sum(axis=1) >= both
+        yield from zip(i[some].tolist(), j[some].tolist(), strict=True)
+        at = to
 
 
 def _small(own: DataFrame, least: float) -> DataFrame:
-    """(group, key, source) of own (group, key, outlet, title), title comparable, of groups of up to SMALL rows: a group lies in one task."""
+    """(group, key, source) of own (group, key, outlet, title), title comparable, of groups of up to SMALL rows: a group lies in one task.
+
+    Titles are counted by characters and compared as arrays first: pairs that share too few are not looked at one by one.
+    """
+
+    def sources(held: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+        size, rows = pc.list_value_length(held).to_numpy().astype(np.int64), held.flatten()
+        group = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((rows.field("key").to_numpy(), group))
+        key, outlet, title = (rows.field(c).take(pa.array(order)) for c in ("key", "outlet", "title"))
+        start, place, up = (np.cumsum(size) - size)[group], np.arange(len(order)), list(range(len(order)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def join(x: int, y: int) -> None:
+            up[max(x, y)] = min(x, y)
+
+        for same in (outlet, title):
+            coded = same.dictionary_encode()
+            _, first, back = np.unique(group * len(coded.dictionary) + coded.indices.to_numpy(), return_index=True, return_inverse=True)
+            for i in np.flatnonzero(first[back] != place).tolist():
+                join(top(i), top(int(first[back[i]])))
+        titles = title.to_pylist()
+        # the ratio depends on the order: the row that comes first stands first
+        for i, j in _possible(titles, start, place - start, least):
+            x, y = top(i), top(j)
+            if x != y and _alike(titles[j], titles[i], least):
+                join(x, y)
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        tops = pa.array(np.fromiter(map(top, range(len(up))), np.int64, len(up)))
+        return pa.ListArray.from_arrays(ends, key), pa.ListArray.from_arrays(ends, key.take(tops))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sources = [], []
-            for rows in batch.column(1).to_pylist():
-                rows = sorted((r["key"], r["outlet"], r["title"]) for r in rows)
-                up = {k: k for k, _, _ in rows}
-
-                def top(x: int) -> int:
-                    while up[x] != x:
-                        up[x] = x = up[up[x]]
-                    return x
-
-                for i, (b, outlet, title) in enumerate(rows):
-                    for a, other, before in rows[:i]:
-                        x, y = top(a), top(b)
-                        # the ratio depends on the order: the row that comes first stands first
-                        if x != y and (outlet == other or title == before or _alike(before, title, least)):
-                            up[max(x, y)] = min(x, y)
-                keys.append([r[0] for r in rows])
-                sources.append([top(r[0]) for r in rows])
-            made = [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(made, names=["group", "key", "source"])
+            at = 0
+            for held in few(batch.column(1), ROWS):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), *sources(held)], names=["group", "key", "source"])
+                at += len(held)
 
     kind = own.schema["group"].dataType.simpleString()
     held = own.groupBy("group").agg(F.collect_list(F.struct("key", "outlet", "title")).alias("rows"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -39,6 +40,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def near(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, broadcast to a join while it has at most `most` rows, which are counted: few keys then deal nobody's rows to few tasks."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes tables of written() that nothing reads again."""
     for df in frames:

@@ -18,22 +18,23 @@ from loomwork.sources import views as V
 # ---- topics ----------------------------------------------------------------------------------------------------
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
+def _items(spark: SparkSession, sf_dir: str, values: DataFrame | None = None) -> DataFrame:
+    s = scored(spark, sf_dir, values)
     return s.select(F.floor(F.col("id") / 4).alias("group"), "id", "outlet", "title", "topic", F.col("local").isNotNull().alias("local"), "pub_ts", "det_ts")
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked(spark: SparkSession, sf_dir: str, values: DataFrame | None = None) -> DataFrame:
     """id, slot, year, value, series, status: news with the official series of its slot."""
     news = V.news(spark, sf_dir).select("id", (F.col("id") % 5).alias("slot"))
-    return I.series_links(news, official_values(spark, sf_dir), "slot")
+    return I.series_links(news, official_values(spark, sf_dir) if values is None else values, "slot")
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the texts are read once: what follows reads items
-    items = written(_items(spark, sf_dir), "items")
+    # the texts are read once, and orders: what follows reads items and official values
+    values = official_values(spark, sf_dir)
+    items = written(_items(spark, sf_dir, values), "items")
     outside = items.where("id % 28 = 0").select("group", F.lit(None).cast("long").alias("relevance"), F.lit(10_000).cast("long").alias("impact"), F.lit(2500).cast("long").alias("urgency"))
-    official = I.context(_linked(spark, sf_dir).select(F.floor(F.col("id") / 4).alias("group"), "status"))
+    official = I.context(_linked(spark, sf_dir, values).select(F.floor(F.col("id") / 4).alias("group"), "status"))
     return I.topics(items, F.lit(REFERENCE).cast("timestamp_ntz"), WEIGHTS, IMPACT, EDITORIAL, outside, official)
 
 

@@ -1,6 +1,7 @@
 """Operators over grouped topics, answers and clusters, against plain versions."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -131,3 +132,38 @@ def test_chosen_topics_and_schema(spark):
     assert got == [(0, "d", "decision", 0.8, None), (1, "w", "words", None, "budget"), (2, "w", "words", None, "no_answer"), (3, "w", "words", None, None)]
     schema = X.answer_schema({"t": ("a", "b"), "s": 3, "y": None})
     assert schema["required"] == ["t", "s", "y"] and schema["properties"]["s"] == {"type": "integer", "enum": [0, 1, 2]} and schema["properties"]["y"] == {"type": "boolean"}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_slots_do_not_deal_all_news_to_few_tasks(spark):
+    """News meet official series by five slots: a shuffle by slot would put all of them into five tasks."""
+    from loomwork.plans import analytics, inbox
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (analytics.scored(spark, SF), inbox.series_links(spark, SF)):
+            assert not re.search("SortMergeJoin .*LeftOuter", plan(df)) and re.search("BroadcastHashJoin .*LeftOuter", plan(df))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    links, values = spark.range(40).selectExpr("id", "id % 5 AS slot"), spark.createDataFrame([(s, y, s * y) for s in range(4) for y in (2000, 2003)], "slot long, year int, value long")
+    want = {tuple(r) for r in I.series_links(links, values, "slot").collect()}
+    assert len(want) == 40 and {r[-1] for r in want} == {"linked", "pending"}
+
+
+def test_topics_read_orders_once(spark):
+    from loomwork.plans import inbox
+
+    assert "orders.parquet" not in plan(inbox.topic_scores(spark, SF))
+
+
+def test_keys_beyond_the_limit_are_joined_without_broadcast(spark):
+    from loomwork.operators.shared import near
+
+    few = spark.range(4)
+    assert "BroadcastHashJoin" in plan(spark.range(100).join(near(few, 4), "id")) and near(few, 3) is few

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,17 @@ def test_small_groups_are_compared_without_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_few_pairs_of_small_groups_are_looked_at_one_by_one(monkeypatch):
+    monkeypatch.setattr(replicas, "PAIRS", 50)
+    groups = [[comparable(t) for _, _, _, t in headlines(seed, 30)] for seed in range(20)] + [["only one"], ["", ""], ["ab", "ba", "año"]]
+    titles, sizes = [t for g in groups for t in g], [len(g) for g in groups]
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    got = set(replicas._possible(titles, start, np.arange(len(titles)) - start, 0.9))
+    every = [(i, j) for i in range(len(titles)) for j in range(start[i], i)]
+    want = {(i, j) for i, j in every if replicas.ratio(titles[j], titles[i]) >= 0.9}
+    assert want and want <= got and len(got) < len(every) / 5
+
+
 def test_every_similar_pair_is_a_candidate_and_few_others_are(spark):
     rows = [(1, k, f"o{k}", t) for _, k, _, t in headlines(5, 400)]
     nodes = replicas.title_nodes(spark.createDataFrame(rows, FIELDS)).withColumn("root", F.col("node"))
