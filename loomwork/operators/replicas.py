@@ -33,7 +33,7 @@ from loomwork.functions import text as T
 from loomwork.operators import analytics
 from loomwork.operators.analytics import components
 from loomwork.operators.grams import few, spread
-from loomwork.operators.shared import drop, written
+from loomwork.operators.shared import drop, in_small_batches, written
 
 #: Grams of three characters; the least ratio for which every two unequal titles must share one.
 Q, LEAST = 3, 0.9
@@ -140,8 +140,8 @@ def _apart(la: np.ndarray, lb: np.ndarray, q: int, least: float) -> np.ndarray:
     return np.maximum(la - q + 1, 0) + np.maximum(lb - q + 1, 0) - 2 * np.maximum(shared, 0)
 
 
-#: Titles of a block, and those that are compared with a block at a time.
-BLOCK, _STRIP = 4096, 64
+#: Titles of a block, those that are compared with a block at a time, and characters up to which many titles are compared at once.
+BLOCK, _STRIP, LONG = 4096, 16, 256
 _BLOCKS = "b long, low string, high string, short long, long long, g array<string>, node array<long>, last array<long>, root array<long>, title array<string>, bits binary"
 
 
@@ -166,7 +166,7 @@ def shown(nodes: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFra
                 place += 1
 
     shape = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _BLOCKS.split(", ")])
-    return written(ranged.mapInArrow(pack, _BLOCKS), "replica-blocks")
+    return in_small_batches(written(ranged.mapInArrow(pack, _BLOCKS), "replica-blocks"))
 
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
@@ -180,29 +180,93 @@ def _met(blocks: DataFrame, least: float) -> DataFrame:
     return blocks.crossJoin(other).where((F.col("b") <= F.col("b2")) & near)
 
 
+def _codes(titles: list[str]) -> np.ndarray:
+    """A row of codes for each title: 1 to 26 letters, 27 to 36 digits, 0 a space, 37 after its end. Titles over LONG characters are cut."""
+    cut = [t[:LONG] for t in titles]
+    length = np.fromiter(map(len, cut), np.int64, len(cut))
+    c = np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32).astype(np.int64)
+    out = np.full((len(cut), length.max(initial=0)), 37, np.uint8)
+    out[np.repeat(np.arange(len(cut)), length), spread(np.zeros(len(cut), np.int64), length)] = np.where(c > 96, c - 96, np.where(c > 47, c - 21, 0)) % 37
+    return out
+
+
+def _masks(codes: np.ndarray) -> np.ndarray:
+    """(words, titles * 38): the places of each code in each title as bits."""
+    n, longest = codes.shape
+    out = np.zeros((max(1, -(-longest // 64)), n, 38), np.uint64)
+    for p in range(longest):
+        out[p >> 6, np.arange(n), codes[:, p]] |= np.uint64(1 << (p & 63))
+    out[:, :, 37] = 0
+    return out.reshape(len(out), n * 38)
+
+
+def _commons(masks: np.ndarray, codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """_common() of many titles at once: i of _masks(), j of _codes(). Codes that stand for more than one character can only make it larger."""
+    v = np.full((len(masks), len(i)), np.iinfo(np.uint64).max, np.uint64)
+    for p in range(codes.shape[1]):
+        at = i * 38 + codes[j, p]
+        carry = np.zeros(len(i), np.uint64)
+        for w, m in enumerate(masks):
+            here = m[at]
+            u = v[w] & here
+            first = v[w] + u
+            whole = first + carry
+            carry = ((first < u) | (whole < carry)).astype(np.uint64)
+            v[w] = whole | (v[w] & ~here)
+    return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+
+
 def _close(r, least: float) -> Iterator[tuple[int, int]]:
-    """Places of the titles of a pair of blocks that are of one group and differ in few enough bits; their roots differ."""
+    """Places of the titles of a pair of blocks that are of one group, differ in few enough bits and have characters enough in common in
+    one order; their roots differ.
+
+    What most pairs differ in are few bits: the 64 characters' bits in which the block's titles vary most are looked at for all pairs, the others for
+    what these leave. Every title's bits are among its 512, so no pair is lost.
+    """
     x, y = (np.frombuffer(z, np.uint64).reshape(-1, 16) for z in (r.bits, r.bits2))
-    la, lb = (np.array([len(t) for t in z], dtype=float) for z in (r.title, r.title2))
+    la, lb = (np.array([len(t) for t in z]) for z in (r.title, r.title2))
     one = r.low == r.high == r.low2 == r.high2
     codes = np.zeros(len(la) + len(lb)) if one else np.unique([*r.g, *r.g2], return_inverse=True)[1]
     ga, gb = codes[: len(x)], codes[len(x) :]
     ra, rb = np.asarray(r.root), np.asarray(r.root2)
-    ia, ib = la.astype(int), lb.astype(int)
-    most = _apart(np.arange(ia.max() + ib.max() + 1.0), 0.0, 1, least).astype(np.uint16)
-    flipped = np.ascontiguousarray(y[:, :8].T)
-    for at in range(0, len(x), _STRIP):
-        rows = slice(at, at + _STRIP)
-        far = np.zeros((len(x[rows]), len(y)), np.uint16)
-        for w in range(8):
-            far += np.bitwise_count(x[rows, w, None] ^ flipped[w])
-        close = far <= most[ia[rows, None] + ib]
-        i, j = np.nonzero(close if one else close & (ga[rows, None] == gb))
-        i += at
-        keep = (ra[i] != rb[j]) & (2 * np.minimum(la[i], lb[j]) >= least * (la[i] + lb[j])) & ((i < j) if r.b == r.b2 else True)
+    most = _apart(np.arange(la.max() + lb.max() + 1.0), 0.0, 1, least)
+    # by lengths up to these: what may differ jumps by parity and is not monotonic
+    upto = np.minimum(np.maximum.accumulate(most), 64).astype(np.uint8)
+    most_chars, most_pairs = lambda i, j: most[la[i] + lb[j]], lambda i, j: _apart(la[i], lb[j], 2, least)
+    words, words2 = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    every, every2 = (np.unpackbits(np.ascontiguousarray(z[:, :8]).view(np.uint8).reshape(len(z), -1), axis=1) for z in (x, y))
+    share = every.mean(axis=0)
+    chosen = np.argsort(-share * (1 - share), kind="stable")[:64]
+    p, q = (np.packbits(np.ascontiguousarray(z[:, chosen]), axis=1).view(np.uint64)[:, 0] for z in (every, every2))
+    differ, far = np.empty((_STRIP, len(q)), np.uint64), np.empty((_STRIP, len(q)), np.uint8)
+    masks, codes2 = _masks(_codes(r.title)), _codes(r.title2)
+
+    def kept(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        keep = (ra[i] != rb[j]) & (2 * np.minimum(la[i], lb[j]) >= least * (la[i] + lb[j])) & ((i < j) if r.b == r.b2 else True) & (True if one else ga[i] == gb[j])
         i, j = i[keep], j[keep]
-        near = np.bitwise_count(x[i, 8:] ^ y[j, 8:]).sum(axis=1) <= _apart(la[i], lb[j], 2, least)
-        yield from zip(i[near].tolist(), j[near].tolist(), strict=True)
+        for at, most in ((0, most_chars), (8, most_pairs)):
+            apart = np.zeros(len(i), np.uint16)
+            for w in range(at, at + 8):
+                apart += np.bitwise_count(words[w][i] ^ words2[w][j])
+            keep = apart <= most(i, j)
+            i, j = i[keep], j[keep]
+        # longer titles are compared one by one only
+        keep = (la[i] > LONG) | (lb[j] > LONG)
+        keep[~keep] = 2 * _commons(masks, codes2, i[~keep], j[~keep]) >= least * (la[i] + lb[j])[~keep]
+        yield from zip(i[keep].tolist(), j[keep].tolist(), strict=True)
+
+    held, n = [], 0
+    for at in range(0, len(x), _STRIP):
+        k = min(_STRIP, len(x) - at)
+        np.bitwise_xor(p[at : at + k, None], q[None, :], out=differ[:k])
+        np.bitwise_count(differ[:k], out=far[:k])
+        limit = upto[la[at : at + k].max() + lb]
+        i, j = np.divmod(np.flatnonzero(far[:k] <= limit), len(q))
+        held.append((i + at, j))
+        n += len(i)
+        if n > PAIRS or at + k == len(x):
+            yield from kept(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
 
 
 def candidates(blocks: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:

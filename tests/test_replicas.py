@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -150,3 +151,21 @@ def test_disk_does_not_grow_as_the_pairs_of_titles(spark):
     assert "Exchange hashpartitioning" not in plan
     rebuilt = {tuple(x) for x in replicas.candidates(replicas.shown(nodes, block=64), nodes).collect()}
     assert rebuilt == {tuple(x) for x in replicas.candidates(replicas.shown(nodes), nodes).collect()}
+
+
+def test_blocks_leave_only_pairs_with_characters_enough_in_common():
+    """What bits leave is narrowed for many titles at once, and no pair with enough in common is lost."""
+    r = random.Random(17)
+    words = ["the", "minister", "of", "trade", "opens", "new", "canal", "bridge", "port", "today"]
+    titles = [" ".join(r.choices(words, k=12)) for _ in range(150)]
+    titles += [t.replace("canal", "channel")[r.randrange(3) :] for t in titles[:60]] + ["", "x", "ab 1" * 90, "ab 1" * 90 + "c"]
+    n = len(titles)
+    assert all(c == replicas._common(titles[i], titles[n - 1 - i][: replicas.LONG]) for i, c in zip(range(n - 2), replicas._commons(replicas._masks(replicas._codes(titles)), replicas._codes(titles), np.arange(n - 2), n - 1 - np.arange(n - 2)), strict=True))
+    bits = replicas._bits(titles).tobytes()
+    block = SimpleNamespace(b=0, b2=0, low="g", high="g", low2="g", high2="g", g=["g"] * n, g2=["g"] * n, root=list(range(n)), root2=list(range(n)), title=titles, title2=titles, bits=bits, bits2=bits)
+    enough = lambda i, j: 2 * replicas._common(titles[i], titles[j]) >= 0.9 * (len(titles[i]) + len(titles[j]))
+    found = set(replicas._close(block, 0.9))
+    near = {(i, j) for i, j in itertools.combinations(range(n), 2) if enough(i, j)}
+    similar = {(i, j) for i, j in near if min(map(len, (titles[i], titles[j]))) and max(replicas.ratio(titles[i], titles[j]), replicas.ratio(titles[j], titles[i])) >= 0.9}
+    assert similar and similar <= found
+    assert all(enough(i, j) for i, j in found)
